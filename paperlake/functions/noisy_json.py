@@ -62,6 +62,30 @@ def json_array(text: Column) -> Column:
     return F.coalesce(strict_array(bracketed(text)), F.array().cast("array<string>"))
 
 
+def object_elements(response: Column) -> Column:
+    """(no, text) of the object elements of the array inside a noisy response.
+
+    ``no`` is the place in the array; elements that are not objects are left out, and a response
+    without a strict array gives an empty array.
+    """
+    marked = F.transform(
+        F.arrays_zip(
+            json_array(response).alias("text"), object_flags(bracketed(response)).alias("ok")
+        ),
+        lambda e, i: F.struct(i.alias("no"), e["text"].alias("text"), e["ok"].alias("ok")),
+    )
+    objects = F.transform(
+        F.filter(marked, lambda e: e["ok"]),
+        lambda e: F.struct(e["no"].alias("no"), e["text"].alias("text")),
+    )
+    return F.coalesce(objects, F.array().cast("array<struct<no:int,text:string>>"))
+
+
+def object_fields(text: Column) -> Column:
+    """Keys and values of a JSON object as (key, value) entries, repeated keys included."""
+    return F.map_entries(F.from_json(text, "map<string,string>"))
+
+
 def query_list(text: Column) -> Column:
     """The ``queries`` list of the object inside a noisy response; NULL when there is none."""
     body = braced(text)

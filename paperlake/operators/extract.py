@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paperlake.functions.noisy_json import bracketed, json_array, object_flags
+from paperlake.functions.noisy_json import object_elements, object_fields
 from paperlake.functions.paper import (
     abstract_of,
     filled_meta,
@@ -73,15 +73,11 @@ def response_objects(responses: DataFrame, keep: list[str]) -> DataFrame:
 
     Elements that are not objects are dropped. ``keep`` names the columns to carry.
     """
-    body = bracketed(F.col("response"))
-    elements = F.arrays_zip(
-        json_array(F.col("response")).alias("text"), object_flags(body).alias("is_object")
-    )
-    return (
-        responses.select(*keep, F.posexplode(elements).alias("element_no", "_e"))
-        .where(F.col("_e.is_object"))
-        .select(*keep, "element_no", F.from_json("_e.text", "map<string,string>").alias("_raw"))
-        .select(*keep, "element_no", last_wins(F.map_entries("_raw")).alias("fields"))
+    return responses.select(
+        *keep, F.explode(object_elements(F.col("response"))).alias("_o")
+    ).select(
+        *keep, F.col("_o.no").alias("element_no"),
+        last_wins(object_fields(F.col("_o.text"))).alias("fields"),
     )
 
 
@@ -108,26 +104,14 @@ def response_records(papers: DataFrame, responses: DataFrame) -> DataFrame:
     answered = papers.select(
         *keys, "paper_no", "text", "meta", F.coalesce("url", F.lit("")).alias("source_url")
     ).join(responses, keys)
-    body = bracketed(F.col("response"))
-    flags = object_flags(body)
-    texts = json_array(F.col("response"))
-    objects = F.filter(
-        F.transform(
-            F.arrays_zip(texts.alias("text"), flags.alias("is_object")),
-            lambda e, i: F.struct(i.alias("no"), e["text"].alias("text"), e["is_object"].alias("ok")),
-        ),
-        lambda e: e["ok"],
-    )
     failed = F.col("error").isNotNull()
-    none = F.array().cast("array<struct<no:int,text:string,ok:boolean>>")
-    exploded = answered.withColumn("_objects", F.when(failed, none).otherwise(
-        F.coalesce(objects, none))).select(
-        *keys, "attempt", "paper_no", "source_url", "meta",
-        F.when(failed, F.col("text")).alias("_failed_text"), failed.alias("_failed"),
-        F.explode_outer("_objects").alias("_o"),
+    exploded = answered.select(
+        *keys, "attempt", "paper_no", "source_url", "meta", failed.alias("_failed"),
+        F.when(failed, F.col("text")).alias("_failed_text"),
+        F.explode_outer(F.when(~failed, object_elements(F.col("response")))).alias("_o"),
     )
     meta = meta_map(F.col("meta"))
-    parsed = last_wins(F.map_entries(F.from_json("_o.text", "map<string,string>")))
+    parsed = last_wins(object_fields(F.col("_o.text")))
     fields = (
         F.when(F.col("_failed"), metadata_fields(F.col("_failed_text"), F.col("meta")))
         .when(F.col("_o").isNull(), meta)

@@ -44,13 +44,14 @@ def prefix_cap(
     A constant cap up to 1000 is pruned map-side by Spark. Any other cap goes through a salted
     stage first: a hot key is cut to ``cap`` rows in each of ``salts`` parts, then once more in
     the union of the parts. The first ``cap`` rows overall are among the firsts of their parts,
-    so the result is the same.
+    so the result is the same. The salt comes from the order columns given by name.
     """
     order_by = _columns(order)
     rank = rank_name or "_rn"
     limit = F.lit(cap) if isinstance(cap, int) else cap
     if not (isinstance(cap, int) and cap <= MAP_SIDE_LIMIT):
-        salted = df.withColumn("_salt", F.pmod(F.xxhash64(*order_by), F.lit(salts)))
+        spread = [c for c in order if isinstance(c, str)]
+        salted = df.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)))
         part = Window.partitionBy(*keys, "_salt").orderBy(*order_by)
         df = (
             salted.withColumn("_part_rn", F.row_number().over(part))

@@ -78,18 +78,20 @@ def preprint_papers(runs: DataFrame, items: DataFrame, limits: DataFrame) -> Dat
     places = once.select("paper_id", "server_no", "window_no", "feed_pos")
 
     matched = match.substring_hits(wanted, match.word_index(once)).join(places, "paper_id")
-    capped = prefix_cap(matched.join(caps, "run_id"), ["run_id"], order, F.col("cap"))
+    capped = prefix_cap(
+        matched.join(caps, "run_id"), ["run_id"], order, F.col("cap"), rank_name="position"
+    )
 
-    # A run without keywords takes the head of the feed: slot k of the run meets item k.
+    # A run without keywords takes the head of the feed: position k of the run meets item k.
     free = match.unfiltered_runs(wanted).select("run_id").join(caps, "run_id")
     most = limits.agg(F.greatest(F.max("budget"), F.lit(50)).alias("most")).first()["most"] or 50
     head = prefix_cap(
         places.orderBy(*order).limit(most).withColumn("_all", F.lit(1)),
-        ["_all"], order, most, rank_name="slot",
+        ["_all"], order, most, rank_name="position",
     )
-    slots = free.withColumn("slot", F.explode(F.sequence(F.lit(1), F.col("cap"))))
-    unfiltered = slots.join(head, "slot").withColumn("matches", F.lit(0).cast("long"))
-    columns = ["run_id", "paper_id", "server_no", "window_no", "feed_pos", "matches"]
+    slots = free.withColumn("position", F.explode(F.sequence(F.lit(1), F.col("cap"))))
+    unfiltered = slots.join(head, "position").withColumn("matches", F.lit(0).cast("long"))
+    columns = ["run_id", "paper_id", "server_no", "window_no", "position", "matches"]
     return capped.select(*columns).unionByName(unfiltered.select(*columns))
 
 
@@ -104,7 +106,7 @@ def ordered_union(by_query: DataFrame, preprints: DataFrame | None = None) -> Da
     second = preprints.select(
         "run_id", "paper_id", (F.col("server_no") + 2).alias("source_no"),
         F.lit(0).alias("query_no"), F.col("window_no").alias("step_no"),
-        F.col("feed_pos").cast("long").alias("position"),
+        F.col("position").cast("long").alias("position"),
     )
     return first.unionByName(second)
 

@@ -31,7 +31,9 @@ def read_preprint_items(spark: SparkSession, path: str, source: str) -> DataFram
 def malformed_pages(spark: SparkSession, path: str) -> DataFrame:
     """(page) of every page file that is not JSON."""
     pages = spark.read.option("multiLine", True).schema(PAGE_SCHEMA).json(path)
-    return pages.where(F.col("_corrupt_record").isNotNull()).select(
+    # Spark wants a second data column next to the corrupt-record column.
+    no_items = F.coalesce(F.size("collection"), F.lit(0)) <= 0
+    return pages.where(F.col("_corrupt_record").isNotNull() & no_items).select(
         F.col("_metadata.file_path").alias("page")
     )
 
