@@ -43,47 +43,41 @@ def strict_array(text: Column) -> Column:
     return F.when(_is_one_value(text), parsed)
 
 
-def object_flags(text: Column) -> Column:
-    """For each element of a JSON array, whether it is an object.
+def object_flags(body: Column, texts: Column) -> Column:
+    """For each element of the JSON array ``body``, whether it is an object.
 
-    A *string* element that holds JSON looks like an object once its quotes are gone, so the
-    variant type decides. Arrays variant refuses (repeated keys) fall back to the text test.
+    ``texts`` are the elements as :func:`strict_array` gives them. A *string* element that holds
+    JSON looks like an object once its quotes are gone. Only a body with a quote before a brace
+    can hold one; there the variant type decides, unless variant refuses the array because of
+    repeated keys.
     """
+    plain = F.transform(texts, lambda e: F.startswith(e, F.lit("{")))
     typed = F.transform(
-        F.from_json(_in_object(text), "x array<variant>", _STRICT)["x"],
+        F.from_json(_in_object(body), "x array<variant>", _STRICT)["x"],
         lambda v: F.startswith(F.schema_of_variant(v), F.lit("OBJECT<")),
     )
-    plain = F.transform(strict_array(text), lambda e: F.startswith(e, F.lit("{")))
-    return F.coalesce(typed, plain)
+    doubtful = body.rlike(r'"(\{|\\u007[bB])')
+    return F.when(doubtful, F.coalesce(typed, plain)).otherwise(plain)
 
 
-def json_array(text: Column) -> Column:
-    """Elements of the array inside a noisy response; an empty array when there is none."""
-    return F.coalesce(strict_array(bracketed(text)), F.array().cast("array<string>"))
+def object_elements(body: Column, texts: Column) -> Column:
+    """(no, text) of the object elements; ``no`` is the place in the array.
 
-
-def object_elements(response: Column) -> Column:
-    """(no, text) of the object elements of the array inside a noisy response.
-
-    ``no`` is the place in the array; elements that are not objects are left out, and a response
-    without a strict array gives an empty array.
+    Elements that are not objects are left out.
     """
     marked = F.transform(
-        F.arrays_zip(
-            json_array(response).alias("text"), object_flags(bracketed(response)).alias("ok")
-        ),
+        F.arrays_zip(texts.alias("text"), object_flags(body, texts).alias("ok")),
         lambda e, i: F.struct(i.alias("no"), e["text"].alias("text"), e["ok"].alias("ok")),
     )
-    objects = F.transform(
+    return F.transform(
         F.filter(marked, lambda e: e["ok"]),
         lambda e: F.struct(e["no"].alias("no"), e["text"].alias("text")),
     )
-    return F.coalesce(objects, F.array().cast("array<struct<no:int,text:string>>"))
 
 
-def object_fields(text: Column) -> Column:
-    """Keys and values of a JSON object as (key, value) entries, repeated keys included."""
-    return F.map_entries(F.from_json(text, "map<string,string>"))
+def object_map(text: Column) -> Column:
+    """Keys and values of a JSON object; a repeated key is still there as often as it occurs."""
+    return F.from_json(text, "map<string,string>")
 
 
 def query_list(text: Column) -> Column:

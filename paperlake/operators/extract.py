@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paperlake.functions.noisy_json import object_elements, object_fields
+from paperlake.functions.noisy_json import bracketed, object_elements, object_map, strict_array
 from paperlake.functions.paper import (
     abstract_of,
     filled_meta,
@@ -68,16 +68,30 @@ def landed_responses(responses: DataFrame) -> Responder:
     return respond
 
 
+def _with_objects(responses: DataFrame) -> DataFrame:
+    # One column per step: Spark keeps a costly column that later steps use several times,
+    # whereas one nested expression would parse the response again for each use.
+    return (
+        responses.withColumn("_body", bracketed(F.col("response")))
+        .withColumn("_texts", strict_array(F.col("_body")))
+        .withColumn("_objects", object_elements(F.col("_body"), F.col("_texts")))
+        .drop("_body", "_texts", "response")
+    )
+
+
 def response_objects(responses: DataFrame, keep: list[str]) -> DataFrame:
     """One row per object element of each response's array, with ``element_no``.
 
     Elements that are not objects are dropped. ``keep`` names the columns to carry.
     """
-    return responses.select(
-        *keep, F.explode(object_elements(F.col("response"))).alias("_o")
-    ).select(
-        *keep, F.col("_o.no").alias("element_no"),
-        last_wins(object_fields(F.col("_o.text"))).alias("fields"),
+    return (
+        _with_objects(responses)
+        .select(*keep, F.explode("_objects").alias("_o"))
+        .withColumn("_map", object_map(F.col("_o.text")))
+        .select(
+            *keep, F.col("_o.no").alias("element_no"),
+            last_wins(F.map_entries("_map")).alias("fields"),
+        )
     )
 
 
@@ -105,17 +119,21 @@ def response_records(papers: DataFrame, responses: DataFrame) -> DataFrame:
         *keys, "paper_no", "text", "meta", F.coalesce("url", F.lit("")).alias("source_url")
     ).join(responses, keys)
     failed = F.col("error").isNotNull()
-    exploded = answered.select(
-        *keys, "attempt", "paper_no", "source_url", "meta", failed.alias("_failed"),
-        F.when(failed, F.col("text")).alias("_failed_text"),
-        F.explode_outer(F.when(~failed, object_elements(F.col("response")))).alias("_o"),
+    exploded = (
+        _with_objects(answered)
+        .select(
+            *keys, "attempt", "paper_no", "source_url", "meta", failed.alias("_failed"),
+            F.when(failed, F.col("text")).alias("_failed_text"),
+            F.explode_outer(F.when(~failed, F.col("_objects"))).alias("_o"),
+        )
+        .withColumn("_map", object_map(F.col("_o.text")))
+        .withColumn("_record", last_wins(F.map_entries("_map")))
+        .withColumn("_meta", meta_map(F.col("meta")))
     )
-    meta = meta_map(F.col("meta"))
-    parsed = last_wins(object_fields(F.col("_o.text")))
     fields = (
         F.when(F.col("_failed"), metadata_fields(F.col("_failed_text"), F.col("meta")))
-        .when(F.col("_o").isNull(), meta)
-        .otherwise(back_fill(parsed, meta))
+        .when(F.col("_record").isNull(), F.col("_meta"))
+        .otherwise(back_fill(F.col("_record"), F.col("_meta")))
     )
     return exploded.select(
         "run_id", "attempt", "paper_no", F.coalesce("_o.no", F.lit(0)).alias("element_no"),

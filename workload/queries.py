@@ -332,11 +332,14 @@ def atom_column(spark, sf):
 
 @query
 def atom_files(spark, sf):
-    """Feed entries landed as files and read back."""
-    papers = document_papers(spark, sf)
+    """Feed pages of 100 entries landed as files and read back."""
+    papers = document_papers(spark, sf).withColumn("page", F.expr("paper_id div 100"))
     folder = scratch(spark, "feed")
-    papers.select(_entry_xml(papers)).write.text(folder)
-    return _feed_view(atom.read_atom(spark, folder))
+    pages = papers.groupBy("page").agg(F.collect_list(_entry_xml(papers)).alias("entries"))
+    pages.select(
+        "page", F.concat(F.lit(_FEED), F.array_join("entries", "\n"), F.lit("</feed>")).alias("value")
+    ).write.partitionBy("page").text(folder)
+    return _feed_view(atom.read_atom(spark, f"{folder}/*"))
 
 
 @query
