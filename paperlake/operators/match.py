@@ -138,21 +138,27 @@ def unfiltered_runs(runs: DataFrame) -> DataFrame:
     return runs.join(filter_keywords(runs).select("run_id").distinct(), "run_id", "left_anti")
 
 
-def phrase_hits(queries: DataFrame, corpus: DataFrame, words: DataFrame) -> DataFrame:
-    """Queries without keywords: papers whose title or abstract holds the whole query.
+def phrase_queries(queries: DataFrame) -> DataFrame:
+    """(run_id, query_no, phrase) of the queries that have words but no keywords."""
+    return (
+        queries.where(F.size(keywords(F.col("query"))) == 0)
+        .select("run_id", "query_no", strip(F.lower(F.col("query"))).alias("phrase"))
+        .where(F.col("phrase") != "")
+    )
+
 
-    The longest word of the query narrows the papers; the whole phrase is then looked up in
+def phrase_hits(phrases: DataFrame, corpus: DataFrame, words: DataFrame) -> DataFrame:
+    """Papers whose title or abstract holds the whole phrase.
+
+    The longest word of the phrase narrows the papers; the whole phrase is then looked up in
     those papers only.
     """
-    phrases = queries.where(F.size(keywords(F.col("query"))) == 0).select(
-        "run_id", "query_no", strip(F.lower(F.col("query"))).alias("phrase")
-    )
     longest = F.array_max(
         F.transform(
             split_words(F.col("phrase")), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))
         )
     )["w"]
-    phrases = phrases.where(F.col("phrase") != "").withColumn("needle", longest)
+    phrases = phrases.withColumn("needle", longest)
     narrowed = substring_papers(words, phrases.select("needle")).join(phrases, "needle")
     texts = corpus.select("paper_id", F.lower("title").alias("_t"), F.lower("abstract").alias("_a"))
     holds = F.contains(F.col("_t"), F.col("phrase")) | F.contains(F.col("_a"), F.col("phrase"))

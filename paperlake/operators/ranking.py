@@ -37,19 +37,25 @@ def prefix_cap(
     order: Sequence[str | Column],
     cap: int | Column,
     rank_name: str | None = None,
+    most: int | None = None,
     salts: int = 64,
 ) -> DataFrame:
     """The first ``cap`` rows per key in ``order``; ``rank_name`` keeps the position.
 
-    A constant cap up to 1000 is pruned map-side by Spark. Any other cap goes through a salted
-    stage first: a hot key is cut to ``cap`` rows in each of ``salts`` parts, then once more in
-    the union of the parts. The first ``cap`` rows overall are among the firsts of their parts,
-    so the result is the same. The salt comes from the order columns given by name.
+    ``most`` is the largest value of a cap that is a column. A cap known to be at most 1000 is
+    pruned map-side by Spark. Any other cap goes through a salted stage first: a hot key is cut
+    to ``cap`` rows in each of ``salts`` parts, then once more in the union of the parts. The
+    first ``cap`` rows overall are among the firsts of their parts, so the result is the same.
+    The salt comes from the order columns given by name.
     """
     order_by = _columns(order)
     rank = rank_name or "_rn"
     limit = F.lit(cap) if isinstance(cap, int) else cap
-    if not (isinstance(cap, int) and cap <= MAP_SIDE_LIMIT):
+    most = cap if isinstance(cap, int) else most
+    within = F.col(rank) <= limit
+    if most is not None and most <= MAP_SIDE_LIMIT:
+        within = within & (F.col(rank) <= most)
+    else:
         spread = [c for c in order if isinstance(c, str)]
         salted = df.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)))
         part = Window.partitionBy(*keys, "_salt").orderBy(*order_by)
@@ -59,7 +65,7 @@ def prefix_cap(
             .drop("_salt", "_part_rn")
         )
     whole = Window.partitionBy(*keys).orderBy(*order_by)
-    out = df.withColumn(rank, F.row_number().over(whole)).where(F.col(rank) <= limit)
+    out = df.withColumn(rank, F.row_number().over(whole)).where(within)
     return out if rank_name else out.drop(rank)
 
 

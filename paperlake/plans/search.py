@@ -23,31 +23,41 @@ def budgets(runs: DataFrame, queries: DataFrame) -> DataFrame:
     )
 
 
-def strategy_union(queries: DataFrame, corpus: DataFrame, limits: DataFrame) -> DataFrame:
+def largest(limits: DataFrame) -> dict[str, int]:
+    """The largest of each cap over all runs; three numbers that let Spark prune early."""
+    row = limits.agg(*[F.max(c).alias(c) for c in ("max_papers", "budget", "bound")]).first()
+    return {c: v or 0 for c, v in row.asDict().items()}
+
+
+def strategy_union(
+    queries: DataFrame, corpus: DataFrame, limits: DataFrame, most: dict[str, int]
+) -> DataFrame:
     """All strategies of all queries, each cut to its fetch bound.
 
-    Within a strategy papers stand in order of matched keywords, then of id.
+    Within a strategy papers stand in order of matched keywords, then of id. The phrase strategy
+    reads the corpus twice more, so it is planned only when some query has no keywords.
     """
-    index, words = match.token_index(corpus), match.word_index(corpus)
-    hits = match.strategy_hits(match.keyword_hits(queries, index)).unionByName(
-        match.phrase_hits(queries, corpus, words)
-    )
+    hits = match.strategy_hits(match.keyword_hits(queries, match.token_index(corpus)))
+    phrases = match.phrase_queries(queries)
+    if not phrases.isEmpty():
+        hits = hits.unionByName(match.phrase_hits(phrases, corpus, match.word_index(corpus)))
     return prefix_cap(
         hits.join(limits.select("run_id", "bound"), "run_id"),
         ["run_id", "query_no", "strategy_no"],
         [F.desc("matched"), "paper_id"],
         F.col("bound"),
         rank_name="position",
+        most=most["bound"],
     ).drop("bound")
 
 
-def query_papers(union: DataFrame, limits: DataFrame) -> DataFrame:
+def query_papers(union: DataFrame, limits: DataFrame, most: dict[str, int]) -> DataFrame:
     """First appearance of each paper within a query, cut to the query's budget."""
     order = ["strategy_no", "position"]
     distinct = first_wins(union, ["run_id", "query_no", "paper_id"], order)
     return prefix_cap(
         distinct.join(limits.select("run_id", "budget"), "run_id"),
-        ["run_id", "query_no"], order, F.col("budget"),
+        ["run_id", "query_no"], order, F.col("budget"), most=most["budget"],
     ).drop("budget")
 
 
@@ -65,7 +75,9 @@ def feed_window_items(
     )
 
 
-def preprint_papers(runs: DataFrame, items: DataFrame, limits: DataFrame) -> DataFrame:
+def preprint_papers(
+    runs: DataFrame, items: DataFrame, limits: DataFrame, most: dict[str, int]
+) -> DataFrame:
     """Preprints of each run that has the source switched on.
 
     ``items`` comes from :func:`feed_window_items`. Both servers share one cap per run; an item
@@ -73,21 +85,22 @@ def preprint_papers(runs: DataFrame, items: DataFrame, limits: DataFrame) -> Dat
     """
     wanted = runs.where(~F.col("no_preprint"))
     caps = limits.select("run_id", F.greatest("budget", F.lit(50)).alias("cap"))
+    slots_at_most = max(most["budget"], 50)
     order = ["server_no", "window_no", "feed_pos", "paper_id"]
     once = first_wins(items, ["paper_id"], order)
     places = once.select("paper_id", "server_no", "window_no", "feed_pos")
 
     matched = match.substring_hits(wanted, match.word_index(once)).join(places, "paper_id")
     capped = prefix_cap(
-        matched.join(caps, "run_id"), ["run_id"], order, F.col("cap"), rank_name="position"
+        matched.join(caps, "run_id"), ["run_id"], order, F.col("cap"), rank_name="position",
+        most=slots_at_most,
     )
 
     # A run without keywords takes the head of the feed: position k of the run meets item k.
     free = match.unfiltered_runs(wanted).select("run_id").join(caps, "run_id")
-    most = limits.agg(F.greatest(F.max("budget"), F.lit(50)).alias("most")).first()["most"] or 50
     head = prefix_cap(
-        places.orderBy(*order).limit(most).withColumn("_all", F.lit(1)),
-        ["_all"], order, most, rank_name="position",
+        places.orderBy(*order).limit(slots_at_most).withColumn("_all", F.lit(1)),
+        ["_all"], order, slots_at_most, rank_name="position",
     )
     slots = free.withColumn("position", F.explode(F.sequence(F.lit(1), F.col("cap"))))
     unfiltered = slots.join(head, "position").withColumn("matches", F.lit(0).cast("long"))
@@ -122,11 +135,12 @@ def unique_titles(union: DataFrame, titles: DataFrame) -> DataFrame:
     return first_wins(keyed, ["run_id", "title_key"], UNION_ORDER)
 
 
-def select_papers(unique: DataFrame, runs: DataFrame) -> DataFrame:
+def select_papers(unique: DataFrame, runs: DataFrame, most: dict[str, int]) -> DataFrame:
     """The first ``max_papers`` hits of each run; ``paper_no`` is the place in the run."""
     capped = prefix_cap(
         unique.join(runs.select("run_id", "max_papers"), "run_id"),
         ["run_id"], UNION_ORDER, F.col("max_papers"), rank_name="paper_no",
+        most=most["max_papers"],
     )
     return capped.drop("max_papers")
 
@@ -141,13 +155,14 @@ def search(
     """(run_id, paper_no, paper_id, …): the papers of every run."""
     queries = run_queries(runs, responses)
     limits = budgets(runs, queries)
-    by_query = query_papers(strategy_union(queries, corpus, limits), limits)
+    most = largest(limits)
+    by_query = query_papers(strategy_union(queries, corpus, limits, most), limits, most)
     titles = corpus.select("paper_id", "title")
     second = None
     if preprints is not None:
-        second = preprint_papers(runs, feed_window_items(preprints, as_of), limits)
+        second = preprint_papers(runs, feed_window_items(preprints, as_of), limits, most)
         titles = titles.unionByName(preprints.select("paper_id", "title"))
-    return select_papers(unique_titles(ordered_union(by_query, second), titles), runs)
+    return select_papers(unique_titles(ordered_union(by_query, second), titles), runs, most)
 
 
 def step_counters(union: DataFrame, unique: DataFrame) -> DataFrame:

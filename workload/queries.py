@@ -23,6 +23,7 @@ from paperlake.sinks import writers
 from paperlake.sources import atom, preprint
 from paperlake.sources.papers import as_papers
 from paperlake.sources.runs import run_table
+from paperlake.sources.tables import read_table
 from paperlake.streaming.harvest import harvest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,14 +35,14 @@ def query(fn: Callable[[SparkSession, str], DataFrame]):
 
 
 # --------------------------------------------------------------------------- inputs
-def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+def table(spark: SparkSession, sf: str, name: str, spread: bool = False) -> DataFrame:
+    return read_table(spark, f"{sf}/{name}.parquet", spread)
 
 
 def corpus(spark: SparkSession, sf: str) -> DataFrame:
     """Documents as papers: the first line is the title, the rest the abstract."""
     break_at = F.locate("\n", F.col("text"))
-    return table(spark, sf, "documents").select(
+    return table(spark, sf, "documents", spread=True).select(
         F.col("doc_id").alias("paper_id"),
         tx.collapse(F.substring_index("text", "\n", 1)).alias("title"),
         F.when(break_at > 0, F.substr("text", break_at + 1)).otherwise("").alias("abstract"),
@@ -64,7 +65,7 @@ def as_of() -> Column:
 def preprints(spark: SparkSession, sf: str) -> DataFrame:
     """Pages as preprints of two servers, dated over the last 200 days."""
     body = F.regexp_extract("html", r"(?s)<article>(.*)</article>", 1)
-    return table(spark, sf, "pages").select(
+    return table(spark, sf, "pages", spread=True).select(
         (F.col("page_id") + 1_000_000_000_000).alias("paper_id"),
         tx.collapse(F.regexp_extract("html", r"(?s)<title>(.*?)</title>", 1)).alias("title"),
         tx.collapse(F.regexp_replace(body, "<[^>]*>", " ")).alias("abstract"),
@@ -147,14 +148,14 @@ def query_expansion(spark, sf):
 @query
 def topic_flag(spark, sf):
     flag = tx.is_life_science(F.col("text")).alias("life_science")
-    return table(spark, sf, "documents").groupBy("lang", flag).agg(F.count("*").alias("n_docs"))
+    return table(spark, sf, "documents", spread=True).groupBy("lang", flag).agg(F.count("*").alias("n_docs"))
 
 
 @query
 def document_keywords(spark, sf):
     """How often each keyword occurs in the whole corpus."""
     found = F.explode(tx.keywords(F.col("text"))).alias("kw")
-    return table(spark, sf, "documents").select(found).groupBy("kw").agg(F.count("*").alias("n"))
+    return table(spark, sf, "documents", spread=True).select(found).groupBy("kw").agg(F.count("*").alias("n"))
 
 
 @query
@@ -177,7 +178,7 @@ def markup_links(spark, sf):
         ),
     )
     tags = F.regexp_extract_all("html", F.lit("<([a-z0-9]+)"), F.lit(1))
-    return table(spark, sf, "pages").select(
+    return table(spark, sf, "pages", spread=True).select(
         "page_id", pp.pdf_link(links).alias("pdf_url"), pp.doi_link(links).alias("doi"),
         F.array_join(pp.category_list(F.array(F.lit("p"), F.lit("")), tags), ", ").alias("categories"),
         F.array_join(pp.author_list(hrefs), ", ").alias("authors"),
@@ -227,7 +228,9 @@ def phrase_match(spark, sf):
         F.array_join(F.slice(stop, 1, 3), " ").alias("query"),
     )
     papers = corpus(spark, sf)
-    return match.phrase_hits(phrases, papers, match.word_index(papers)).select("run_id", "paper_id")
+    return match.phrase_hits(
+        match.phrase_queries(phrases), papers, match.word_index(papers)
+    ).select("run_id", "paper_id")
 
 
 @query
@@ -264,9 +267,9 @@ def search_counters(spark, sf):
     asked, papers = runs(spark, sf), corpus(spark, sf)
     queries = run_queries(asked)
     limits = search.budgets(asked, queries)
-    union = search.ordered_union(
-        search.query_papers(search.strategy_union(queries, papers, limits), limits)
-    )
+    most = search.largest(limits)
+    hits = search.strategy_union(queries, papers, limits, most)
+    union = search.ordered_union(search.query_papers(hits, limits, most))
     return search.step_counters(union, search.unique_titles(union, papers))
 
 
@@ -391,7 +394,7 @@ def responses(spark: SparkSession, sf: str) -> DataFrame:
         .otherwise("[]")
     )
     failed = F.col("event_id") % 7 == 0
-    return table(spark, sf, "events").select(
+    return table(spark, sf, "events", spread=True).select(
         F.lit(0).cast("bigint").alias("run_id"), F.col("event_id").alias("paper_id"),
         F.lit(0).alias("attempt"), F.when(~failed, text).alias("response"),
         F.when(failed, "timeout").alias("error"),
@@ -405,7 +408,7 @@ def event_papers(spark: SparkSession, sf: str) -> DataFrame:
         "url": F.concat(F.lit("http://e/"), F.col("event_id")), "pdf_url": F.lit(""),
         "categories": F.col("event_type"), "source": F.lit("bioRxiv"),
     }
-    return table(spark, sf, "events").select(
+    return table(spark, sf, "events", spread=True).select(
         F.lit(0).cast("bigint").alias("run_id"), F.col("event_id").alias("paper_no"),
         F.col("event_id").alias("paper_id"), values["url"].alias("url"),
         F.concat(F.lit("TITLE: x\nABSTRACT: "), F.col("props")).alias("text"),
@@ -488,7 +491,7 @@ def run_summary(spark, sf):
 # --------------------------------------------------------------------------- merging
 @query
 def normalise(spark, sf):
-    part = table(spark, sf, "part").select(
+    part = table(spark, sf, "part", spread=True).select(
         "p_partkey",
         F.create_map(
             F.lit(" Part-Name "), F.concat(F.lit(" "), F.col("p_name"), F.lit("\t")),
@@ -566,7 +569,7 @@ def part_records(spark: SparkSession, sf: str) -> DataFrame:
         F.lit("a_key_longer_than_twenty_six"), F.concat(F.lit(' "q", é '), F.col("p_type")),
         F.lit("_raw"), F.lit("internal"),
     )
-    return table(spark, sf, "part").select(
+    return table(spark, sf, "part", spread=True).select(
         F.regexp_extract("p_brand", "[0-9]+", 0).cast("bigint").alias("run_id"),
         F.col("p_partkey").alias("paper_no"), F.lit(0).alias("element_no"),
         F.map_concat(rest, F.coalesce(size, F.create_map().cast("map<string,string>"))).alias("fields"),
