@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paperlake.functions.records import field_names, is_filled, normalise, truthy
+from paperlake.functions.records import field_names, is_filled, truthy, with_key_names
 from paperlake.operators.ranking import prefix_cap
 
 # Borders (all strict) and factors of the score, and the most attempts after the first.
@@ -18,7 +18,7 @@ MAX_RETRIES = 2
 def record_tallies(records: DataFrame, runs: DataFrame, keys: list[str]) -> DataFrame:
     """Per ``keys``: records, requested cells, filled cells and records with the first field."""
     asked = runs.select("run_id", field_names(F.col("fields")).alias("_names"))
-    record = normalise(F.col("fields"))
+    record = with_key_names(F.col("fields"))
     cells = (
         records.select(*keys, record.alias("_record"))
         .join(asked, "run_id")

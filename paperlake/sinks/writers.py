@@ -4,30 +4,44 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperlake.operators.ranking import number_rows
-from paperlake.sinks.columns import ordered_columns, wide
+from paperlake.sinks.columns import ordered_columns
 
 ORDER = ("run_id", "paper_no", "element_no")
 RULE = "─" * 60
 
 
+def csv_cell(value: Column) -> Column:
+    """A CSV cell, quoted only when it holds a comma, a quote or a line break."""
+    text = F.coalesce(value, F.lit(""))
+    quoted = F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))
+    return F.when(text.rlike('[",\r\n]'), quoted).otherwise(text)
+
+
 def write_csv(
     records: DataFrame, fields: Sequence[str], path: str, order: Sequence[str] = ORDER
 ) -> bool:
-    """CSV with header; missing values empty, quotes doubled. Writes nothing for no records."""
+    """CSV with a header in each part file, missing values empty, CRLF after each record.
+
+    Written as text: the CSV writer would turn line breaks inside values into CRLF, too.
+    """
     if records.isEmpty():
         return False
     columns = ordered_columns(records, fields)
-    (
-        wide(records.orderBy(*order), columns)
-        .write.option("header", True).option("encoding", "UTF-8").option("lineSep", "\r\n")
-        .option("escape", '"').option("emptyValue", "").option("nullValue", "")
-        .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
-        .csv(path)
+    header = ",".join(
+        '"' + c.replace('"', '""') + '"' if any(m in c for m in ',"\r\n') else c for c in columns
     )
+    cells = [csv_cell(F.col("fields")[c]) for c in columns]
+    line = F.concat_ws(",", *cells)
+    if len(columns) == 1:
+        line = F.when(line == "", F.lit('""')).otherwise(line)
+    # The low 33 bits number the rows of a partition; its first row carries the header.
+    starts_part = F.expr("monotonically_increasing_id() & 8589934591") == 0
+    shown = F.when(starts_part, F.concat(F.lit(header + "\r\n"), line)).otherwise(line)
+    records.orderBy(*order).select(shown).write.option("lineSep", "\r\n").text(path)
     return True
 
 
