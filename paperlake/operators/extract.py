@@ -17,6 +17,7 @@ from paperlake.functions.paper import (
 )
 from paperlake.functions.records import last_wins, truthy
 from paperlake.functions.vocab import UNKNOWN_SOURCE
+from paperlake.operators.rows import one_row_each
 
 #: prompts (run_id, paper_id, attempt, prompt) -> responses (run_id, paper_id, attempt,
 #: response, error). A join, a pandas UDF or ``mapInPandas`` all fit.
@@ -85,8 +86,7 @@ def response_objects(responses: DataFrame, keep: list[str]) -> DataFrame:
     Elements that are not objects are dropped. ``keep`` names the columns to carry.
     """
     return (
-        _with_objects(responses)
-        .select(*keep, F.explode("_objects").alias("_o"))
+        one_row_each(_with_objects(responses), keep, F.col("_objects"), "_o")
         .withColumn("_map", object_map(F.col("_o.text")))
         .select(
             *keep, F.col("_o.no").alias("element_no"),

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from paperlake.functions.text import keywords, split_words, strip, tokens
 from paperlake.operators.queries import filter_keywords, query_keywords
+from paperlake.operators.rows import one_row_each
 
 TITLE, ABSTRACT = 1, 2
 STRICT, SHORT, BROAD, TITLE_ONLY, PHRASE = 1, 2, 3, 4, 5
@@ -28,15 +29,14 @@ def token_index(corpus: DataFrame) -> DataFrame:
             lambda w: F.struct(w.alias("token"), F.lit(place).alias("place")),
         )
 
-    return corpus.select(
-        "paper_id", F.inline(F.concat(placed("title", TITLE), placed("abstract", ABSTRACT)))
-    )
+    both = F.concat(placed("title", TITLE), placed("abstract", ABSTRACT))
+    return one_row_each(corpus, ["paper_id"], both, "_t").select("paper_id", "_t.*")
 
 
 def word_index(corpus: DataFrame) -> DataFrame:
     """(paper_id, word): distinct whitespace-separated words of the lower-cased paper."""
     text = F.lower(F.concat_ws(" ", strip(F.col("title")), strip(F.col("abstract"))))
-    return corpus.select("paper_id", F.explode(F.array_distinct(split_words(text))).alias("word"))
+    return one_row_each(corpus, ["paper_id"], F.array_distinct(split_words(text)), "word")
 
 
 # --------------------------------------------------------------------------- token strategies
@@ -80,16 +80,16 @@ def strategy_hits(hits: DataFrame) -> DataFrame:
         found(BROAD, abstract.bitwiseAND(first(6)) != 0, abstract, 6),
         found(TITLE_ONLY, has_all(title, 3), title, 3),
     )
-    return hits.select("run_id", "query_no", "paper_id", F.inline(F.array_compact(ways)))
+    keep = ["run_id", "query_no", "paper_id"]
+    return one_row_each(hits, keep, ways, "_way").select(*keep, "_way.*")
 
 
 # --------------------------------------------------------------------------- substrings
 def _grams(word: Column) -> Column:
     """All substrings of one, two and three characters (a look-ahead keeps this linear)."""
-    one, two, three = (
-        F.regexp_extract_all(word, F.lit("(?s)(?=(.{%d}))" % k), F.lit(1)) for k in (1, 2, 3)
-    )
-    return F.array_distinct(F.concat(one, two, three))
+    heads = F.regexp_extract_all(word, F.lit("(?s)(?=(.{1,3}))"), F.lit(1))
+    cut = lambda k: F.transform(heads, lambda h: F.left(h, F.lit(k)))
+    return F.array_distinct(F.concat(heads, cut(2), cut(1)))
 
 
 def contained_in(words: DataFrame, needles: DataFrame) -> DataFrame:
@@ -100,7 +100,7 @@ def contained_in(words: DataFrame, needles: DataFrame) -> DataFrame:
     """
     heads = needles.select("needle", F.left(F.col("needle"), F.lit(3)).alias("_gram"))
     return (
-        words.select("word", F.explode(_grams(F.col("word"))).alias("_gram"))
+        one_row_each(words, ["word"], _grams(F.col("word")), "_gram")
         .join(heads, "_gram")
         .where(F.contains(F.col("word"), F.col("needle")))
         .select("word", "needle")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from paperlake.functions.noisy_json import query_list
 from paperlake.functions.text import expand_queries, filter_words, keywords
+from paperlake.operators.rows import one_row_each
 
 #: Keywords beyond this position take part in no strategy.
 USED_KEYWORDS = 6
@@ -61,7 +62,7 @@ def query_keywords(queries: DataFrame) -> DataFrame:
 def filter_keywords(runs: DataFrame) -> DataFrame:
     """(run_id, keyword, times) used by the substring filter, with repeats counted."""
     return (
-        runs.select("run_id", F.explode(filter_words(F.col("prompt"))).alias("keyword"))
+        one_row_each(runs, ["run_id"], filter_words(F.col("prompt")), "keyword")
         .groupBy("run_id", "keyword")
         .agg(F.count("*").cast("int").alias("times"))
     )

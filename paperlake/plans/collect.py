@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from paperlake.operators import extract, merge, quality
 from paperlake.operators.encode import Encoder
+from paperlake.session import materialise
 
 
 @dataclass
@@ -38,6 +39,8 @@ def collect_records(
     """Extract, score, choose attempts, normalise and deduplicate.
 
     Without a responder, records come from the papers' metadata and there is one attempt.
+    Responses and records are written once, since scoring and merging both read them and a
+    responder may be costly or give other answers when asked again.
     """
     if responder is None:
         records = extract.metadata_records(papers).withColumn("attempt", F.lit(0))
@@ -45,9 +48,10 @@ def collect_records(
             "run_id", *[F.lit("").alias(c) for c in ("stage", "ref", "message")]
         )
     else:
-        responses = responder(extract.prompts(papers, runs))
+        responses = materialise(responder(extract.prompts(papers, runs)), "responses")
         records = extract.response_records(papers, responses)
         errors = extract.response_errors(papers, responses)
+    records = materialise(records, "records")
     marks = quality.run_quality(records, runs, by_attempt=True)
     chosen = quality.select_attempts(marks)
     accepted = merge.normalised(records.join(chosen, ["run_id", "attempt"], "left_semi"))

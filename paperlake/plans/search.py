@@ -10,6 +10,7 @@ from paperlake.operators import match
 from paperlake.operators.queries import fetch_bound, per_query_budget, run_queries
 from paperlake.operators.ranking import first_wins, prefix_cap
 from paperlake.operators.windows import date_windows
+from paperlake.session import materialise
 
 UNION_ORDER = ["source_no", "query_no", "step_no", "position", "paper_id"]
 
@@ -87,7 +88,8 @@ def preprint_papers(
     caps = limits.select("run_id", F.greatest("budget", F.lit(50)).alias("cap"))
     slots_at_most = max(most["budget"], 50)
     order = ["server_no", "window_no", "feed_pos", "paper_id"]
-    once = first_wins(items, ["paper_id"], order)
+    # At most the page bound of items per server and window, read by several branches below.
+    once = materialise(first_wins(items, ["paper_id"], order), "feed")
     places = once.select("paper_id", "server_no", "window_no", "feed_pos")
 
     matched = match.substring_hits(wanted, match.word_index(once)).join(places, "paper_id")
@@ -153,8 +155,8 @@ def search(
     responses: DataFrame | None = None,
 ) -> DataFrame:
     """(run_id, paper_no, paper_id, …): the papers of every run."""
-    queries = run_queries(runs, responses)
-    limits = budgets(runs, queries)
+    queries = materialise(run_queries(runs, responses), "queries")
+    limits = materialise(budgets(runs, queries), "limits")
     most = largest(limits)
     by_query = query_papers(strategy_union(queries, corpus, limits, most), limits, most)
     titles = corpus.select("paper_id", "title")

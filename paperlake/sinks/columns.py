@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paperlake.functions.text import key_name
+from paperlake.operators.rows import one_row_each
 
 #: Most columns a wide output may have; more means keys are data, not names.
 MAX_COLUMNS = 5000
@@ -16,7 +17,7 @@ MAX_COLUMNS = 5000
 def record_keys(records: DataFrame) -> DataFrame:
     """(key): distinct record keys without internal ones."""
     return (
-        records.select(F.explode(F.map_keys("fields")).alias("key"))
+        one_row_each(records, [], F.map_keys("fields"), "key")
         .where(~F.startswith("key", F.lit("_")))
         .distinct()
     )

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from paperlake.functions.paper import author_list, category_list, doi_link, pdf_link
 from paperlake.functions.text import collapse, date_prefix, strip
 from paperlake.functions.vocab import ATOM_SOURCE
+from paperlake.operators.rows import one_row_each
 from paperlake.sources.papers import as_papers
 
 # Arrays are declared because inference makes a struct of an element that occurs once.
@@ -52,7 +53,7 @@ def read_atom(spark: SparkSession, path: str) -> DataFrame:
 def atom_column(pages: DataFrame, column: str, keep: list[str]) -> DataFrame:
     """Papers of Atom pages held in a text column; a malformed page contributes nothing."""
     feed = F.from_xml(F.col(column), f"entry array<struct<{ENTRY_FIELDS}>>")
-    entries = pages.select(*keep, F.explode(feed["entry"]).alias("_entry"))
+    entries = one_row_each(pages, keep, feed["entry"], "_entry")
     return entries_to_papers(entries.select(*keep, "_entry.*"), keep)
 
 

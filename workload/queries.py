@@ -15,9 +15,10 @@ from paperlake.operators import extract, match, merge, quality, similarity
 from paperlake.operators.encode import hashed_tokens
 from paperlake.operators.queries import run_queries
 from paperlake.operators.ranking import first_wins
+from paperlake.operators.rows import one_row_each
 from paperlake.operators.windows import date_windows
 from paperlake.plans import collect, search
-from paperlake.session import scratch_dir
+from paperlake.session import materialise, scratch_dir
 from paperlake.sinks import columns as sink_columns
 from paperlake.sinks import writers
 from paperlake.sources import atom, preprint
@@ -39,13 +40,14 @@ def table(spark: SparkSession, sf: str, name: str, spread: bool = False) -> Data
     return read_table(spark, f"{sf}/{name}.parquet", spread)
 
 
-def corpus(spark: SparkSession, sf: str) -> DataFrame:
+def corpus(spark: SparkSession, sf: str, *keep: str | Column) -> DataFrame:
     """Documents as papers: the first line is the title, the rest the abstract."""
     break_at = F.locate("\n", F.col("text"))
     return table(spark, sf, "documents", spread=True).select(
         F.col("doc_id").alias("paper_id"),
         tx.collapse(F.substring_index("text", "\n", 1)).alias("title"),
         F.when(break_at > 0, F.substr("text", break_at + 1)).otherwise("").alias("abstract"),
+        *keep,
     )
 
 
@@ -77,12 +79,7 @@ def preprints(spark: SparkSession, sf: str) -> DataFrame:
 
 def document_papers(spark: SparkSession, sf: str) -> DataFrame:
     """Documents as full papers with text block and metadata."""
-    base = corpus(spark, sf).join(
-        table(spark, sf, "documents").select(
-            F.col("doc_id").alias("paper_id"), "lang", F.col("source").alias("src"), "n_chars"
-        ),
-        "paper_id",
-    )
+    base = corpus(spark, sf, "lang", F.col("source").alias("src"), "n_chars")
     doi = F.when(F.col("paper_id") % 3 == 0, "").otherwise(
         F.concat(F.lit("10.5555/"), F.col("paper_id"))
     )
@@ -102,10 +99,7 @@ def document_papers(spark: SparkSession, sf: str) -> DataFrame:
 
 def document_records(spark: SparkSession, sf: str, run_id: Column) -> DataFrame:
     """Documents as records of title, abstract, lang and source."""
-    base = corpus(spark, sf).join(
-        table(spark, sf, "documents").select(F.col("doc_id").alias("paper_id"), "lang", "source"),
-        "paper_id",
-    )
+    base = corpus(spark, sf, "lang", "source")
     names = ("title", "abstract", "lang", "source")
     return base.select(
         run_id.cast("bigint").alias("run_id"), F.col("paper_id").alias("paper_no"),
@@ -124,7 +118,8 @@ def source_number(name: str = "source") -> Column:
 
 
 def pairs(df: DataFrame, *keep: str) -> DataFrame:
-    return df.select(*keep, F.explode("fields").alias("key", "value"))
+    """One row per key of a record; the outer form computes the record once (see one_row_each)."""
+    return df.select(*keep, F.explode_outer("fields").alias("key", "value")).where("key IS NOT NULL")
 
 
 def scratch(spark: SparkSession, label: str) -> str:
@@ -154,8 +149,9 @@ def topic_flag(spark, sf):
 @query
 def document_keywords(spark, sf):
     """How often each keyword occurs in the whole corpus."""
-    found = F.explode(tx.keywords(F.col("text"))).alias("kw")
-    return table(spark, sf, "documents", spread=True).select(found).groupBy("kw").agg(F.count("*").alias("n"))
+    docs = table(spark, sf, "documents", spread=True)
+    found = one_row_each(docs, [], tx.keywords(F.col("text")), "kw")
+    return found.groupBy("kw").agg(F.count("*").alias("n"))
 
 
 @query
@@ -265,11 +261,11 @@ def two_source_search(spark, sf):
 @query
 def search_counters(spark, sf):
     asked, papers = runs(spark, sf), corpus(spark, sf)
-    queries = run_queries(asked)
+    queries = materialise(run_queries(asked), "queries")
     limits = search.budgets(asked, queries)
     most = search.largest(limits)
     hits = search.strategy_union(queries, papers, limits, most)
-    union = search.ordered_union(search.query_papers(hits, limits, most))
+    union = materialise(search.ordered_union(search.query_papers(hits, limits, most)), "union")
     return search.step_counters(union, search.unique_titles(union, papers))
 
 
