@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from paperlake.functions.text import keywords, split_words, strip, tokens
 from paperlake.operators.queries import filter_keywords, query_keywords
 from paperlake.operators.rows import one_row_each
+from paperlake.session import materialise, sized_side
 
 TITLE, ABSTRACT = 1, 2
 STRICT, SHORT, BROAD, TITLE_ONLY, PHRASE = 1, 2, 3, 4, 5
@@ -47,7 +48,7 @@ def keyword_hits(queries: DataFrame, index: DataFrame) -> DataFrame:
         F.when(F.col("place") == place, F.col("mask")).otherwise(0)
     )
     return (
-        index.join(wanted, F.col("token") == F.col("keyword"))
+        index.join(sized_side(wanted), F.col("token") == F.col("keyword"))
         .groupBy("run_id", "query_no", "n_keywords", "paper_id")
         .agg(here(TITLE).alias("in_title"), here(ABSTRACT).alias("in_abstract"))
     )
@@ -92,30 +93,37 @@ def _grams(word: Column) -> Column:
     return F.array_distinct(F.concat(heads, cut(2), cut(1)))
 
 
+def numbered_needles(needles: DataFrame) -> DataFrame:
+    """(needle, needle_id): distinct needles under short unique numbers."""
+    return materialise(
+        needles.select("needle").distinct().withColumn("needle_id", F.monotonically_increasing_id()),
+        "needles",
+    )
+
+
 def contained_in(words: DataFrame, needles: DataFrame) -> DataFrame:
-    """(word, needle) for every needle that is a substring of a word.
+    """(word, needle_id) for every needle that is a substring of a word.
 
-    ``words`` and ``needles`` are distinct. A needle can only lie in words that hold its first
-    three characters, so words meet needles on those and the test itself settles it.
+    ``words`` are distinct and ``needles`` numbered. A needle can only lie in words that hold
+    its first three characters, so words meet needles on those and the test itself settles it.
     """
-    heads = needles.select("needle", F.left(F.col("needle"), F.lit(3)).alias("_gram"))
+    heads = needles.withColumn("_gram", F.left(F.col("needle"), F.lit(3)))
     return (
         one_row_each(words, ["word"], _grams(F.col("word")), "_gram")
-        .join(heads, "_gram")
+        .join(sized_side(heads), "_gram")
         .where(F.contains(F.col("word"), F.col("needle")))
-        .select("word", "needle")
+        .select("word", "needle_id")
     )
 
 
 def substring_papers(words: DataFrame, needles: DataFrame) -> DataFrame:
-    """(paper_id, needle) for every whitespace-free needle that occurs in a paper.
+    """(paper_id, needle_id) for every whitespace-free needle that occurs in a paper.
 
     A needle without white space lies within one word, so it is enough to find the words of the
     vocabulary that contain it; papers follow by equality of words.
     """
-    vocabulary = words.select("word").distinct()
-    pairs = contained_in(vocabulary, needles.select("needle").distinct())
-    return words.join(pairs, "word").select("paper_id", "needle").distinct()
+    pairs = materialise(contained_in(words.select("word").distinct(), needles), "pairs")
+    return words.join(sized_side(pairs), "word").select("paper_id", "needle_id").distinct()
 
 
 def substring_hits(runs: DataFrame, words: DataFrame) -> DataFrame:
@@ -124,10 +132,12 @@ def substring_hits(runs: DataFrame, words: DataFrame) -> DataFrame:
     ``matches`` counts repeated keywords of the prompt each time. Runs without any filter
     keyword pass every paper and are left to :func:`unfiltered_runs`.
     """
-    wanted = filter_keywords(runs)
-    found = substring_papers(words, wanted.select(F.col("keyword").alias("needle")))
+    wanted = filter_keywords(runs).withColumnRenamed("keyword", "needle")
+    needles = numbered_needles(wanted)
+    found = substring_papers(words, needles)
+    wanted = wanted.join(needles, "needle").select("run_id", "needle_id", "times")
     return (
-        found.join(wanted, F.col("needle") == F.col("keyword"))
+        found.join(sized_side(wanted), "needle_id")
         .groupBy("run_id", "paper_id")
         .agg(F.sum("times").alias("matches"))
     )
@@ -159,11 +169,15 @@ def phrase_hits(phrases: DataFrame, corpus: DataFrame, words: DataFrame) -> Data
         )
     )["w"]
     phrases = phrases.withColumn("needle", longest)
-    narrowed = substring_papers(words, phrases.select("needle")).join(phrases, "needle")
+    needles = numbered_needles(phrases)
+    wanted = phrases.join(needles, "needle").select("run_id", "query_no", "phrase", "needle_id")
+    narrowed = materialise(
+        substring_papers(words, needles).join(sized_side(wanted), "needle_id"), "narrowed"
+    )
     texts = corpus.select("paper_id", F.lower("title").alias("_t"), F.lower("abstract").alias("_a"))
     holds = F.contains(F.col("_t"), F.col("phrase")) | F.contains(F.col("_a"), F.col("phrase"))
     return (
-        narrowed.join(texts, "paper_id")
+        texts.join(sized_side(narrowed), "paper_id")
         .where(holds)
         .select(
             "run_id", "query_no", "paper_id",

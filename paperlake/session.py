@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Settings the operators rely on. All are ordinary Spark settings a cluster may override.
 SETTINGS = {
@@ -60,3 +61,19 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Most bytes a table may have to be broadcast.
+BROADCAST_BYTES = 64 << 20
+
+
+def sized_side(df: DataFrame, limit: int | None = None) -> DataFrame:
+    """``df`` as one side of a join: broadcast when its measured size allows, else merge join.
+
+    Spark estimates a table that comes out of ``explode`` by the size of its input, which is far
+    too low. So the size is measured, by one aggregate over the side that may be small, and
+    beyond the limit the join is kept from broadcasting either side.
+    """
+    size = F.sum(F.octet_length(F.to_json(F.struct(*df.columns))))
+    small = (df.agg(size).first()[0] or 0) <= (BROADCAST_BYTES if limit is None else limit)
+    return F.broadcast(df) if small else df.hint("merge")
