@@ -36,6 +36,10 @@ def local_session(cores: int | str = 8, app: str = "paperlake", **extra: str) ->
     return spark
 
 
+_local_folders: dict[str, str] = {}
+_written: list[str] = []
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, taken from ``spark.checkpoint.dir``.
 
@@ -47,9 +51,17 @@ def scratch_dir(spark: SparkSession) -> str:
         return configured.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    folder = tempfile.mkdtemp(prefix="paperlake-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    app = spark.sparkContext.applicationId
+    if app not in _local_folders:
+        _local_folders[app] = tempfile.mkdtemp(prefix="paperlake-")
+    return _local_folders[app]
+
+
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A new path in the scratch folder."""
+    path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
@@ -58,11 +70,21 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     This cuts the lineage of iterative operators and survives the loss of any executor.
     """
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release_scratch(spark: SparkSession) -> int:
+    """Delete the scratch tables of this process, once their results are written elsewhere."""
+    paths, _written[:] = list(_written), []
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(hadoop).delete(target, True)
+    return len(paths)
+
+
 #: Most bytes a table may have to be broadcast.
 BROADCAST_BYTES = 64 << 20
 

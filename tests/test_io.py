@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from paperlake.operators import extract
 from paperlake.plans import collect
-from paperlake.session import scratch_dir
+from paperlake.session import materialise, release_scratch, scratch_dir
 from paperlake.sinks import columns, writers
 from paperlake.sources import atom, papers, preprint
 from paperlake.streaming.harvest import first_arrivals, harvest
@@ -192,8 +192,27 @@ def test_first_arrivals_by_state(spark, tmp_path, delay):
     assert sorted(r["title_key"] for r in spark.table(name).collect()) == ["a", "b"]
 
 
+class Session:
+    """Just the parts of a session that decide on the scratch folder."""
+
+    def __init__(self, master, configured):
+        self.conf = {"spark.checkpoint.dir": configured} if configured else {}
+        self.sparkContext = type("Context", (), {"master": master, "applicationId": "app"})
+
+
 def test_scratch_dir_follows_the_session(spark):
-    assert scratch_dir(spark) == spark.conf.get("spark.checkpoint.dir")
+    assert scratch_dir(Session("spark://host:7077", "hdfs://shared/x/")) == "hdfs://shared/x"
+    assert scratch_dir(Session("local[2]", "/shared")) == "/shared"
+    with pytest.raises(RuntimeError):
+        scratch_dir(Session("yarn", None))
+    assert scratch_dir(spark) == scratch_dir(spark)
+
+
+def test_scratch_tables_can_be_released(spark):
+    release_scratch(spark)
+    table = materialise(spark.range(3), "probe")
+    assert table.count() == 3 and release_scratch(spark) == 1 and release_scratch(spark) == 0
+    assert not glob.glob(f"{scratch_dir(spark)}/probe-*")
 
 
 def test_collect_with_responder_and_retries(spark):

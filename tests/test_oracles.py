@@ -27,6 +27,8 @@ def key(row):
 @pytest.mark.parametrize("name", sorted(contract.queries()))
 def test_query(spark, con, name):
     frame = contract.queries()[name](spark, SF)
+    plan = frame._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
     columns = sorted(frame.columns)
     got = [tuple(r) for r in frame.select(*[f"`{c}`" for c in columns]).collect()]
     names = ", ".join(f'"{c}"' for c in columns)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,7 +17,7 @@ from paperlake.operators.ranking import first_wins
 from paperlake.operators.rows import one_row_each
 from paperlake.operators.windows import date_windows
 from paperlake.plans import collect, search
-from paperlake.session import materialise, scratch_dir
+from paperlake.session import materialise, scratch_path
 from paperlake.sinks import columns as sink_columns
 from paperlake.sinks import writers
 from paperlake.sources import atom, preprint
@@ -122,10 +121,6 @@ def pairs(df: DataFrame, *keep: str) -> DataFrame:
     return df.select(*keep, F.explode_outer("fields").alias("key", "value")).where("key IS NOT NULL")
 
 
-def scratch(spark: SparkSession, label: str) -> str:
-    return f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
-
-
 # --------------------------------------------------------------------------- text functions
 @query
 def keywords(spark, sf):
@@ -333,7 +328,7 @@ def atom_column(spark, sf):
 def atom_files(spark, sf):
     """Feed pages of 100 entries landed as files and read back."""
     papers = document_papers(spark, sf).withColumn("page", F.expr("paper_id div 100"))
-    folder = scratch(spark, "feed")
+    folder = scratch_path(spark, "feed")
     pages = papers.groupBy("page").agg(F.collect_list(_entry_xml(papers)).alias("entries"))
     pages.select(
         "page", F.concat(F.lit(_FEED), F.array_join("entries", "\n"), F.lit("</feed>")).alias("value")
@@ -350,7 +345,7 @@ def preprint_files(spark, sf):
         F.col("meta.doi").alias("doi"), F.col("meta.published_date").alias("date"),
         F.col("meta.categories").alias("category"), F.when(F.col("paper_id") % 2 == 0, "2").alias("version"),
     )
-    folder = scratch(spark, "preprints")
+    folder = scratch_path(spark, "preprints")
     pages = papers.groupBy(F.expr("paper_id div 100").alias("page")).agg(F.collect_list(item).alias("collection"))
     pages.select("page", F.to_json(F.struct("collection"))).write.partitionBy("page").text(folder)
     items = preprint.read_preprint_items(spark, f"{folder}/*", "bioRxiv")
@@ -366,7 +361,7 @@ def harvest_stream(spark, sf):
         F.col("doc_id").alias("paper_id"),
         tx.collapse(F.substring_index("text", "\n", 1)).alias("title"),
     )
-    folder = scratch(spark, "harvest")
+    folder = scratch_path(spark, "harvest")
     harvest(papers, f"{folder}/table", f"{folder}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{folder}/table").select("paper_id", "title_key")
 
@@ -594,7 +589,7 @@ def preview(spark, sf):
 @query
 def csv_export(spark, sf):
     """Records written as CSV and read back as raw lines."""
-    folder = scratch(spark, "csv")
+    folder = scratch_path(spark, "csv")
     writers.write_csv(part_records(spark, sf), PART_FIELDS, folder)
     lines = spark.read.option("lineSep", "\r\n").text(folder)
     return lines.groupBy("value").agg(F.count("*").alias("n")).where(~F.startswith("value", F.lit("title,")))
@@ -603,7 +598,7 @@ def csv_export(spark, sf):
 @query
 def json_export(spark, sf):
     """Records written as JSON lines with internal keys and read back."""
-    folder = scratch(spark, "json")
+    folder = scratch_path(spark, "json")
     writers.write_json(part_records(spark, sf), folder, include_internal=True)
     schema = "title string, part_size string, authors string, _raw string, _source string, _source_url string"
     return spark.read.schema(schema).json(folder)
@@ -612,6 +607,6 @@ def json_export(spark, sf):
 @query
 def text_export(spark, sf):
     """Records written as framed text: how often each line occurs."""
-    folder = scratch(spark, "text")
+    folder = scratch_path(spark, "text")
     writers.write_text(part_records(spark, sf), PART_FIELDS, folder)
     return spark.read.text(folder).groupBy("value").agg(F.count("*").alias("n"))
