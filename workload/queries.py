@@ -196,7 +196,7 @@ def metadata_record(spark, sf):
 @query
 def prompt_rendering(spark, sf):
     """Prompts over whole texts (no window)."""
-    papers = document_papers(spark, sf).select(F.lit(0).cast("bigint").alias("run_id"), "paper_id", "text")
+    papers = document_papers(spark, sf).select(source_number("src").alias("run_id"), "paper_id", "text")
     asked = run_rows(papers, F.lit("title, abstract,doi,title"))
     return extract.prompts(papers, asked, window=None).select(
         "paper_id", F.regexp_replace("prompt", r"(?s)^.*?\n\n", "").alias("prompt")
@@ -523,8 +523,8 @@ def similarity_join(spark, sf):
 
 @query
 def text_semantic_dedup(spark, sf):
-    """Whole documents by hashed word counts at the default threshold."""
-    records = document_records(spark, sf, F.lit(0))
+    """Whole documents by hashed word counts at the default threshold, all in one run."""
+    records = document_records(spark, sf, F.length("lang"))
     asked = run_rows(records, F.lit("title,abstract,lang,source"))
     return merge.similarity_dedup(records, asked, hashed_tokens()).select("paper_id")
 
