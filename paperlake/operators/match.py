@@ -88,9 +88,10 @@ def strategy_hits(hits: DataFrame) -> DataFrame:
 # --------------------------------------------------------------------------- substrings
 def _grams(word: Column) -> Column:
     """All substrings of one, two and three characters (a look-ahead keeps this linear)."""
-    heads = F.regexp_extract_all(word, F.lit("(?s)(?=(.{1,3}))"), F.lit(1))
-    cut = lambda k: F.transform(heads, lambda h: F.left(h, F.lit(k)))
-    return F.array_distinct(F.concat(heads, cut(2), cut(1)))
+    of_length = lambda k: F.regexp_extract_all(
+        word, F.lit("(?s)(?=(.{%d}))" % k), F.lit(1)
+    )
+    return F.array_distinct(F.concat(of_length(1), of_length(2), of_length(3)))
 
 
 def numbered_needles(needles: DataFrame) -> DataFrame:
