@@ -32,6 +32,15 @@ from pyspark.sql import functions as F
 from paperlake.llm.common import col
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+#: Code points that are letters or numbers to the ``regex`` module here, whose Unicode version is newer, but not yet to
+#: the tiktoken library (fixed values). To the pattern they are neither.
+YOUNG = (
+    "0558 058B-058C 088F 0C5C 0CDC 208F 209D-209F A7CE-A7CF A7D2 A7D4 A7DD A7E2 A7F1 AB6C-AB6D 107BB-107BF "
+    "10940-10959 10EC5-10EC7 10ED9-10EEE 11B0A 11DB0-11DDB 11DE0-11DE9 11DF1 1246F 12475-1247F 12550-12686 "
+    "16EA0-16EB8 16EBB-16ED3 16FF2-16FF6 187F8-187FF 18CD6-18CDA 18D09-18D20 18D80-18DF2 18E00-19191 191A0-191D2 "
+    "1B123-1B128 1B168 1D6A6 1DF1F-1DF24 1DF2B-1DF81 1DF90-1DF96 1DFCD-1DFFF 1E6C0-1E6DE 1E6E0-1E6E2 1E6E4-1E6E5 "
+    "1E6E7-1E6ED 1E6F0-1E6F4 1E6FE-1E6FF 2B73A-2B73F 2B81E 2CEA2-2CEAD 323B0-33479 3D000-3FC3F"
+)
 #: Bytes up to which a half is merged directly; tokens on each side of a border to begin with.
 LEAF, MARGIN = 24, 1
 #: Remembered parts; all are forgotten beyond this number, or this many of their characters.
@@ -44,7 +53,10 @@ class Codec:
     def __init__(self, ranks: dict[bytes, int], pattern: str = public_tokenizers.PATTERN) -> None:
         self.ranks = ranks
         self.bytes_of = {i: b for b, i in ranks.items()}
-        self.split = regex.compile(pattern)
+        young = "".join("-".join(chr(int(c, 16)) for c in r.split("-")) for r in YOUNG.split())
+        for kind in (r"\p{L}", r"\p{N}"):
+            pattern = pattern.replace(kind, f"[{kind}--[{young}]]")
+        self.split = regex.compile(pattern, regex.VERSION1)
         self.pairs: dict[tuple[int, int], bool] = {}
         self.parts: dict[str, tuple[list[int], str]] = {}
         self.chars = 0

@@ -1,7 +1,7 @@
 """Personal data: patterns of known form, and bootstrapped contextual extraction.
 
 Four kinds are found by their form. They are the seeds: every identifier-like run of a text (one that holds
-three digits or more) is an instance, the one or two words before it are its lexical patterns, and an
+three digits or more, or an at sign) is an instance, the one or two words before it are its lexical patterns, and an
 instance that a seed covers is known. Patterns and instances form a graph, whose edges are counted once
 however many copies of a text there are. In each round a pattern is trusted for a kind if enough of its
 instances are known to be of this kind, and the unknown instances of trusted patterns become known;
@@ -30,7 +30,7 @@ CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])"
 IP_FORM = rf"^{OCTET}(?:\.{OCTET}){{3}}$"
-RUN = r"(?<![A-Za-z0-9@._%+-])[A-Za-z@._%+-]*+[0-9][A-Za-z0-9@._%+-]*+"
+RUN = r"(?<![A-Za-z0-9@._%+-])[A-Za-z._%+-]*+[0-9@][A-Za-z0-9@._%+-]*+"
 KINDS = ("email", "ip", "card", "phone")
 #: Digits an instance must hold; known instances a trusted pattern needs, and their least share.
 MIN_DIGITS, MIN_KNOWN, MIN_SHARE = 3, 4, 0.75
@@ -91,8 +91,8 @@ def found(docs: DataFrame, id: str, text: str) -> DataFrame:
         "doc_id", F.md5("text").alias("key"),
         *[found.alias(k) for k, found in per_kind.items()],
         F.when(
-            F.col("text").rlike("[0-9]"),
-            spans(F.col("text"), RUN, lambda v: F.char_length(_digits(v)) >= MIN_DIGITS),
+            F.col("text").rlike("[0-9@]"),
+            spans(F.col("text"), RUN, lambda v: (F.char_length(_digits(v)) >= MIN_DIGITS) | F.contains(v, F.lit("@"))),
         ).otherwise(F.array().cast(SPANS)).alias("runs"),
     )
     base = F.concat(*[tagged(F.col(k), k, i) for i, k in enumerate(KINDS)])

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperlake.llm.common import SPANS, col, fresh, joined_spans, spans
-from paperlake.session import materialise, scratch_path
+from paperlake.session import materialise, scratch_path, sized_side
 
 FINDINGS = "array<struct<start:int,order:int,end:int,kind:string,rule:string>>"
 LEDGER = f"blob binary, rules array<string>, findings {FINDINGS}"
@@ -170,8 +170,6 @@ def without_secrets(docs: DataFrame, path: str | None = None, text: str = "text"
     Only the rows of blobs with findings change. The findings travel to the texts as a broadcast
     while their measured size allows; beyond, texts and findings meet in a merge join.
     """
-    from paperlake.session import sized_side
-
     spark = docs.sparkSession
     path = open_ledger(spark, path or scratch_path(spark, "ledger"))
     update_ledger(docs, path, text, rules)
@@ -180,13 +178,8 @@ def without_secrets(docs: DataFrame, path: str | None = None, text: str = "text"
         F.col("blob").alias(key), F.col("findings").alias(hit)
     )
     joined = docs.withColumn(key, blob_id(col(text))).join(sized_side(bad), key, "left")
-    clean = F.when(col(hit).isNull(), col(text)).otherwise(redact(col(text), col(hit)))
-    out = []
-    for c in docs.columns:
-        if c == text:
-            out.append(clean.alias(c))
-        elif c == chars:
-            out.append(F.when(col(hit).isNull(), col(c)).otherwise(F.char_length(clean)).cast(docs.schema[c].dataType).alias(c))
-        else:
-            out.append(col(c))
-    return joined.select(*out)
+    joined = joined.withColumn(text, F.when(col(hit).isNull(), col(text)).otherwise(redact(col(text), col(hit))))
+    size = lambda c: F.when(col(hit).isNull(), col(c)).otherwise(F.char_length(col(text)))
+    return joined.select(*[
+        size(c).cast(docs.schema[c].dataType).alias(c) if c == chars else col(c) for c in docs.columns
+    ])
