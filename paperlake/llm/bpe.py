@@ -9,9 +9,10 @@ the same merge happens when the two are encoded as a pair.) Pairs within a half
 within the new window hold as it is an encoding, so only the two pairs at the window's ends are
 checked; where one fails, the window grows on that side, by doubling, up to the end of the half.
 
-Texts are cut at blanks that are followed by something other than white space: the split pattern
-always begins a new match there, whatever stands before, so encodings of the parts concatenate.
-Decoding concatenates the tokens' bytes.
+Texts are halved as well, at blanks that are followed by something other than white space: the split
+pattern always begins a new match there, whatever stands before, so encodings of halves concatenate. Leaves of
+at most 1,024 characters are encoded by the tiktoken library; longer ones without such a blank are split by
+the pattern, and their matches encoded from bytes as above. Decoding concatenates the tokens' bytes.
 
 Defined cases: a null text is empty and has no ids. Rows are encoded one by one, in Arrow batches;
 repeated rows, null ids and foreign columns do no harm. An id outside the vocabulary is an error.
@@ -26,6 +27,7 @@ from collections.abc import Callable, Iterator
 import public_tokenizers
 import pyarrow as pa
 import regex
+import tiktoken
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,10 +43,15 @@ YOUNG = (
     "1B123-1B128 1B168 1D6A6 1DF1F-1DF24 1DF2B-1DF81 1DF90-1DF96 1DFCD-1DFFF 1E6C0-1E6DE 1E6E0-1E6E2 1E6E4-1E6E5 "
     "1E6E7-1E6ED 1E6F0-1E6F4 1E6FE-1E6FF 2B73A-2B73F 2B81E 2CEA2-2CEAD 323B0-33479 3D000-3FC3F"
 )
-#: Bytes up to which a half is merged directly; tokens on each side of a border to begin with.
-LEAF, MARGIN = 24, 1
-#: Remembered parts; all are forgotten beyond this number, or this many of their characters.
-REMEMBERED, REMEMBERED_CHARS = 200_000, 8_000_000
+#: Bytes up to which a half, and a window between halves, is merged directly; tokens on each side of a border to begin with.
+LEAF, WINDOW, MARGIN = 12, 48, 1
+#: Bytes up to which the encoding of a half is remembered.
+SHORT = 32
+#: Characters of a text up to which the library encodes it as a leaf.
+LEAF_CHARS = 1024
+#: Remembered halves and pairs; all of a kind are forgotten beyond this number.
+REMEMBERED = 200_000
+NONE = 1 << 60
 
 
 class Codec:
@@ -53,13 +60,14 @@ class Codec:
     def __init__(self, ranks: dict[bytes, int], pattern: str = public_tokenizers.PATTERN) -> None:
         self.ranks = ranks
         self.bytes_of = {i: b for b, i in ranks.items()}
+        self.library = tiktoken.Encoding("leaves", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         young = "".join("-".join(chr(int(c, 16)) for c in r.split("-")) for r in YOUNG.split())
         for kind in (r"\p{L}", r"\p{N}"):
             pattern = pattern.replace(kind, f"[{kind}--[{young}]]")
         self.split = regex.compile(pattern, regex.VERSION1)
         self.pairs: dict[tuple[int, int], bool] = {}
-        self.parts: dict[str, tuple[list[int], str]] = {}
-        self.chars = 0
+        self.halves: dict[bytes, list[int]] = {}
+        self.decimal = {i: str(i) for i in self.bytes_of}
 
     @staticmethod
     def parse(content: bytes) -> Codec:
@@ -68,18 +76,21 @@ class Codec:
 
     def merged(self, data: bytes) -> list[int]:
         """Plain merging: always the pair of lowest rank, the leftmost among equals."""
-        ranks = self.ranks
+        get = self.ranks.get
         parts = [data[i:i + 1] for i in range(len(data))]
-        while len(parts) > 1:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                rank = ranks.get(parts[i] + parts[i + 1])
-                if rank is not None and (best is None or rank < best):
-                    best, at = rank, i
-            if best is None:
+        open_ranks = [get(data[i:i + 2], NONE) for i in range(len(data) - 1)]
+        while open_ranks:
+            best = min(open_ranks)
+            if best == NONE:
                 break
-            parts[at:at + 2] = [parts[at] + parts[at + 1]]
-        return [ranks[p] for p in parts]
+            at = open_ranks.index(best)
+            parts[at] += parts.pop(at + 1)
+            del open_ranks[at]
+            if at:
+                open_ranks[at - 1] = get(parts[at - 1] + parts[at], NONE)
+            if at < len(open_ranks):
+                open_ranks[at] = get(parts[at] + parts[at + 1], NONE)
+        return [self.ranks[p] for p in parts]
 
     def stable(self, a: int, b: int) -> bool:
         """Whether the pair is the encoding of its own bytes."""
@@ -98,8 +109,8 @@ class Codec:
         while True:
             n, m = min(n, len(left)), min(m, len(right))
             window = b"".join(self.bytes_of[i] for i in (*left[len(left) - n:], *right[:m]))
-            middle = self.merged(window) if len(window) <= 4 * LEAF else self.tree(window)
-            left_fine = n == len(left) or self.stable(left[len(left) - n - 1], middle[0])
+            middle = self.merged(window) if len(window) <= WINDOW else self.tree(window)
+            left_fine = n == len(left) or self.stable(left[-n - 1], middle[0])
             right_fine = m == len(right) or self.stable(middle[-1], right[m])
             if left_fine and right_fine:
                 return left[:len(left) - n] + middle + right[m:]
@@ -107,45 +118,50 @@ class Codec:
 
     def tree(self, data: bytes) -> list[int]:
         """Encoding of bytes: halves first, then their join."""
-        if len(data) <= LEAF:
-            return self.merged(data)
-        half = len(data) // 2
-        return self.join(self.tree(data[:half]), self.tree(data[half:]))
+        if len(data) > SHORT:
+            half = len(data) // 2
+            return self.join(self.tree(data[:half]), self.tree(data[half:]))
+        known = self.halves.get(data)
+        if known is None:
+            half = len(data) // 2
+            known = (
+                self.merged(data) if len(data) <= LEAF
+                else self.join(self.tree(data[:half]), self.tree(data[half:]))
+            )
+            if len(self.halves) > REMEMBERED:
+                self.halves.clear()
+            self.halves[data] = known
+        return known
 
     def piece(self, data: bytes) -> list[int]:
         """Encoding of one match of the pattern; a match that is a token stays whole."""
         whole = self.ranks.get(data)
         return [whole] if whole is not None else self.tree(data)
 
-    def part(self, text: str) -> tuple[list[int], str]:
-        """Ids of a part of a text between two sure borders, and their decimals."""
-        known = self.parts.get(text)
-        if known is None:
-            ids = [i for match in self.split.findall(text) for i in self.piece(match.encode())]
-            known = ids, ",".join(map(str, ids))
-            self.chars += len(text)
-            if len(self.parts) > REMEMBERED or self.chars > REMEMBERED_CHARS:
-                self.parts.clear()
-                self.chars = len(text)
-            self.parts[text] = known
-        return known
-
-    def cut(self, text: str) -> list[str]:
-        """Parts of a text, cut before every blank that something other than white space follows."""
-        parts: list[str] = []
-        held = ""
-        for k, x in enumerate(text.split(" ")):
-            x = " " + x if k else x
-            if k and (len(x) == 1 or x[1].isspace()):
-                held += x
-            else:
-                if held:
-                    parts.append(held)
-                held = x
-        return [*parts, held] if held else parts
+    def border(self, text: str) -> int:
+        """The sure border nearest to the middle of a text; 0 if there is none.
+
+        The split pattern begins a new match at every blank that something other than white space
+        follows, whatever stands before it.
+        """
+        middle = len(text) // 2
+        after = before = middle
+        while (after := text.find(" ", after, -1)) > 0 and text[after + 1].isspace():
+            after += 1
+        while (before := text.rfind(" ", 1, before)) > 0 and text[before + 1].isspace():
+            pass
+        found = [k for k in (after, before) if k > 0]
+        return min(found, key=lambda k: abs(k - middle), default=0)
 
     def encode(self, text: str) -> list[int]:
-        return [i for p in self.cut(text) for i in self.part(p)[0]]
+        """Ids of a text: halves at sure borders, whose ids follow each other. Leaves go to the
+        library; long ones without a border are split by the pattern and encoded from bytes here."""
+        if len(text) <= LEAF_CHARS and self.library is not None:
+            return self.library.encode_ordinary(text)
+        at = self.border(text) if len(text) > 1 else 0
+        if at:
+            return self.encode(text[:at]) + self.encode(text[at:])
+        return [i for match in self.split.findall(text) for i in self.piece(match.encode())]
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -214,10 +230,9 @@ def digests(docs: DataFrame, id: str = "doc_id", text: str = "text", path: str |
     def work(codec: Codec, part: pa.RecordBatch) -> list[pa.Array]:
         n, listed, back = [], [], []
         for t in part.column(1).to_pylist():
-            parts = [codec.part(p) for p in codec.cut(t)]
-            ids = [i for p in parts for i in p[0]]
+            ids = codec.encode(t)
             n.append(len(ids))
-            listed.append(hashlib.sha256(",".join([p[1] for p in parts if p[1]]).encode()).hexdigest())
+            listed.append(hashlib.sha256(",".join(map(codec.decimal.__getitem__, ids)).encode()).hexdigest())
             back.append(hashlib.sha256(codec.decode(ids)).hexdigest())
         return [pa.array(n, pa.int64()), pa.array(listed, pa.string()), pa.array(back, pa.string())]
 
