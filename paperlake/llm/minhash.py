@@ -10,7 +10,8 @@ less above it.
 Documents with equal sets form a class; one stands for all. Keys that several classes share give candidates. First
 each class meets the smallest class of its keys (a star, so a group of near copies sends no list of pairs),
 the closest of them is confirmed on full sets, and links are joined to components. Then keys whose
-classes still lie in different components are compared in blocks by signature; only candidates between
+classes still lie in different components are compared in blocks by signature (keys with the same classes
+once, keys of two classes by the star already); only candidates between
 different components are confirmed, the closest first and more in each round, until none is left. So every link
 between components is found, but links within a component need not be.
 
@@ -43,7 +44,7 @@ VALUES = CHUNKS * CHUNK
 RADIUS = 2 * CHUNKS - 1
 WORDS, PERCENT = 5, 80
 #: Candidates per class that a round confirms; None: all.
-ROUNDS = (1, 8, 64, None)
+ROUNDS = (8, 64, None)
 _MIX = np.uint64(0xFF51AFD7ED558CCD)
 #: Remembered word hashes of a Python worker.
 REMEMBERED = 500_000
@@ -57,12 +58,9 @@ def shingle_set(text: str | None, size: int) -> np.ndarray:
         return np.zeros(0, np.uint64)
     if len(_words) > REMEMBERED:
         _words.clear()
-    hashes = np.empty(len(words), np.uint64)
-    for i, w in enumerate(words):
-        h = _words.get(w)
-        if h is None:
-            h = _words[w] = xxhash.xxh3_64_intdigest(w)
-        hashes[i] = h
+    new = set(words).difference(_words)
+    _words.update(zip(new, map(xxhash.xxh3_64_intdigest, new), strict=True))
+    hashes = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
     if len(words) < size:
         return np.array([xxhash.xxh3_64_intdigest(hashes.tobytes(), seed=len(words))], np.uint64)
     out = np.zeros(len(words) - size + 1, np.uint64)
@@ -74,21 +72,22 @@ def shingle_set(text: str | None, size: int) -> np.ndarray:
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _rng = np.random.default_rng(5)
-_FACTORS = _rng.integers(1, 1 << 63, VALUES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_TERMS = _rng.integers(0, 1 << 63, VALUES, dtype=np.uint64)
+_FACTORS = (_rng.integers(0, 1 << 31, VALUES, dtype=np.uint32) * np.uint32(2) + np.uint32(1))[:, None]
+_TERMS = _rng.integers(0, 1 << 32, VALUES, dtype=np.uint32)[:, None]
 
 
 def signature(shingles: np.ndarray) -> bytes:
-    """The lowest 16 bits of each MinHash value, after mixing."""
-    low = np.full(VALUES, np.iinfo(np.uint64).max, np.uint64)
-    for s in range(0, len(shingles), 4096):
-        part = shingles[s:s + 4096]
-        mixed = part[None, :] * _FACTORS[:, None] + _TERMS[:, None]
-        mixed ^= mixed >> np.uint64(31)
+    """The lowest 16 bits of each MinHash value, after mixing. Values are 32 bits wide, which numpy
+    multiplies many at a time."""
+    short = ((shingles * _MIX) >> np.uint64(32)).astype(np.uint32)
+    low = np.full(VALUES, np.iinfo(np.uint32).max, np.uint32)
+    for s in range(0, len(short), 1024):
+        mixed = short[None, s:s + 1024] * _FACTORS
+        mixed ^= mixed >> np.uint32(15)
+        mixed += _TERMS
         low = np.minimum(low, mixed.min(axis=1))
-    low = low * _MIX
-    low ^= low >> np.uint64(33)
-    return low.astype(">u2").tobytes()
+    low = low * np.uint32(0x9E3779B1)
+    return (low ^ (low >> np.uint32(16))).astype(">u2").tobytes()
 
 
 def sketches(docs: DataFrame, id: str, text: str, size: int, *more: Column) -> DataFrame:
@@ -236,11 +235,19 @@ def near_classes(docs: DataFrame, id: str, text: str, size: int, percent: int, *
             "key", "cid", F.coalesce("root", "cid").alias("comp")
         )
         mixed = placed.groupBy("key").agg(
-            F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")
-        ).where("lo < hi").select("key", "n")
+            F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n"),
+            F.sum(F.xxhash64("cid") % (1 << 40)).alias("h1"), F.bit_xor(F.xxhash64("cid", F.lit(1))).alias("h2"),
+        ).where("lo < hi and n > 2")
+        mixed = mixed.groupBy("n", "h1", "h2").agg(F.min("key").alias("key")).select("key", "n")
         open_rows = placed.join(mixed, "key").join(signs, "cid").select("key", "n", "cid", "comp", "signature")
         found = map_groups(block_pairs(open_rows), _near(ROUNDS[step]), "a bigint, b bigint, dist bigint, cut int")
-        found = materialise(found.groupBy("a", "b").agg(F.max("cut").alias("cut")), "near-candidates")
+        first = roots.select(F.col("id").alias("a"), F.col("root").alias("ra"))
+        second = roots.select(F.col("id").alias("b"), F.col("root").alias("rb"))
+        hubs = star.join(first, "a", "left").join(second, "b", "left").where(
+            F.coalesce("ra", "a") != F.coalesce("rb", "b")
+        )
+        both = found.select("a", "b", "cut").union(hubs.select("a", "b", F.lit(0).alias("cut")))
+        found = materialise(both.groupBy("a", "b").agg(F.max("cut").alias("cut")), "near-candidates")
         cut = found.agg(F.max("cut")).first()[0]
         new = materialise(found.join(tried, ["a", "b"], "left_anti").select("a", "b"), "near-new")
         if not new.isEmpty():
