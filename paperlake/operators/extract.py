@@ -22,6 +22,8 @@ from paperlake.operators.rows import one_row_each
 #: prompts (run_id, paper_id, attempt, prompt) -> responses (run_id, paper_id, attempt,
 #: response, error). A join, a pandas UDF or ``mapInPandas`` all fit.
 Responder = Callable[[DataFrame], DataFrame]
+#: Error of a paper for which an attempt brought no response row.
+NO_RESPONSE = "no response"
 
 
 def _optional(name: str, value: Column) -> Column:
@@ -51,11 +53,15 @@ def metadata_records(papers: DataFrame) -> DataFrame:
     )
 
 
-def prompts(papers: DataFrame, runs: DataFrame, window: int | None = 4000) -> DataFrame:
-    """(run_id, paper_id, prompt) for every selected paper."""
+def prompts(
+    papers: DataFrame, runs: DataFrame, window: int | None = None, attempts: int = 1
+) -> DataFrame:
+    """(run_id, paper_id, attempt, prompt) for every selected paper and attempt, over whole texts
+    unless a window is given."""
     asked = runs.select("run_id", F.col("fields").alias("_requested"))
-    return papers.join(asked, "run_id").select(
-        "run_id", "paper_id",
+    tries = F.explode(F.sequence(F.lit(0), F.lit(attempts - 1)))
+    return papers.join(asked, "run_id").withColumn("attempt", tries).select(
+        "run_id", "paper_id", "attempt",
         render_prompt(F.col("_requested"), F.col("text"), window=window).alias("prompt"),
     )
 
@@ -107,17 +113,29 @@ def back_fill(record: Column, meta: Column) -> Column:
     return F.map_concat(kept, missing)
 
 
+def with_attempts(papers: DataFrame, responses: DataFrame) -> DataFrame:
+    """``papers`` once for each attempt that the run has a response for; attempt 0 without any."""
+    made = responses.groupBy("run_id").agg(F.collect_set("attempt").alias("_attempts"))
+    known = F.when(F.size("_attempts") > 0, F.col("_attempts"))
+    return (
+        papers.join(made, "run_id", "left")
+        .withColumn("attempt", F.explode(F.coalesce(known, F.array(F.lit(0)))))
+        .drop("_attempts")
+    )
+
+
 def response_records(papers: DataFrame, responses: DataFrame) -> DataFrame:
     """Records of every paper and attempt from its response.
 
     A paper yields one record per object element, back-filled from its metadata; when there is
-    no object, a record of its metadata only; when the response is an error, the record that
-    :func:`metadata_records` would give.
+    no object or no response, a record of its metadata only; when the response is an error, the
+    record that :func:`metadata_records` would give.
     """
     keys = ["run_id", "paper_id"]
-    answered = papers.select(
-        *keys, "paper_no", "text", "meta", F.coalesce("url", F.lit("")).alias("source_url")
-    ).join(responses, keys)
+    answered = with_attempts(
+        papers.select(*keys, "paper_no", "text", "meta", F.coalesce("url", F.lit("")).alias("source_url")),
+        responses,
+    ).join(responses, [*keys, "attempt"], "left")
     failed = F.col("error").isNotNull()
     exploded = (
         _with_objects(answered)
@@ -142,9 +160,14 @@ def response_records(papers: DataFrame, responses: DataFrame) -> DataFrame:
 
 
 def response_errors(papers: DataFrame, responses: DataFrame) -> DataFrame:
-    """(run_id, stage, ref, message) for every failed response."""
-    failed = responses.where(F.col("error").isNotNull())
-    return failed.join(papers.select("run_id", "paper_id", "url"), ["run_id", "paper_id"]).select(
+    """(run_id, stage, ref, message) for every failed response, and every one that is missing."""
+    keys = ["run_id", "paper_id", "attempt"]
+    asked = with_attempts(papers.select("run_id", "paper_id", "url"), responses)
+    answers = responses.select(*keys, F.col("error"), F.lit(True).alias("_answered"))
+    failed = asked.join(answers, keys, "left").withColumn(
+        "error", F.when(F.col("_answered").isNull(), NO_RESPONSE).otherwise(F.col("error"))
+    ).where(F.col("error").isNotNull())
+    return failed.select(
         "run_id", F.lit("extract").alias("stage"), F.col("paper_id").cast("string").alias("ref"),
         F.format_string("Extract %s: %s", F.substring("url", 1, 40), F.col("error")).alias("message"),
     )

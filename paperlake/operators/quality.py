@@ -81,19 +81,19 @@ def run_quality(records: DataFrame, runs: DataFrame, by_attempt: bool = False) -
 
 
 def select_attempts(quality: DataFrame) -> DataFrame:
-    """(run_id, attempt): the first attempt that scores at least 0.5, else the last of three."""
-    tried = quality.where(F.col("attempt") <= MAX_RETRIES)
+    """(run_id, attempt): the first attempt that scores at least 0.5, else the last of three.
+
+    A run without records has no attempt of its own; all its retries were in vain.
+    """
+    tried = quality.withColumn("attempt", F.coalesce("attempt", F.lit(MAX_RETRIES))).where(
+        F.col("attempt") <= MAX_RETRIES
+    )
     accepted = F.min(F.when(F.col("score") >= ACCEPTED_SCORE, F.col("attempt")))
     return tried.groupBy("run_id").agg(
         F.coalesce(accepted, F.max("attempt")).alias("attempt")
     )
 
 
-def accepted_records(records: DataFrame, quality: DataFrame) -> DataFrame:
-    """Records of the selected attempt of each run."""
-    return records.join(select_attempts(quality), ["run_id", "attempt"], "left_semi")
-
-
 def run_summary(
     runs: DataFrame, merged: DataFrame, papers: DataFrame, chosen: DataFrame, errors: DataFrame
 ) -> DataFrame:

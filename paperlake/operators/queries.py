@@ -16,13 +16,18 @@ USED_KEYWORDS = 6
 def run_queries(runs: DataFrame, responses: DataFrame | None = None) -> DataFrame:
     """(run_id, query_no, query, n_queries): one row per search query.
 
-    ``responses`` (run_id, response) may bring query lists; a run without a usable list gets
-    the three queries made from its prompt.
+    ``responses`` (run_id, response, and attempt if there are several) may bring query lists; the
+    first attempt with a usable list counts, ties by text. A run without one gets the three
+    queries made from its prompt.
     """
     own = expand_queries(F.col("prompt"))
     if responses is not None:
-        listed = responses.select("run_id", query_list(F.col("response")).alias("_listed"))
-        runs = runs.join(listed, "run_id", "left")
+        attempt = F.col("attempt") if "attempt" in responses.columns else F.lit(0)
+        listed = responses.select(
+            "run_id", F.struct(attempt.alias("n"), "response", query_list(F.col("response")).alias("q")).alias("_r")
+        ).where(F.size("_r.q") > 0)
+        first = listed.groupBy("run_id").agg(F.min("_r").alias("_r"))
+        runs = runs.join(first.select("run_id", F.col("_r.q").alias("_listed")), "run_id", "left")
         own = F.when(F.size("_listed") > 0, F.col("_listed")).otherwise(own)
     return runs.select("run_id", own.alias("_queries")).select(
         "run_id",

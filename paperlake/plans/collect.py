@@ -35,10 +35,13 @@ def collect_records(
     responder: extract.Responder | None = None,
     encoder: Encoder | None = None,
     exact: bool = False,
+    window: int | None = None,
+    attempts: int = 1,
 ) -> Collected:
     """Extract, score, choose attempts, normalise and deduplicate.
 
     Without a responder, records come from the papers' metadata and there is one attempt.
+    ``window`` cuts the texts shown in prompts; a responder is asked for so many ``attempts``.
     Responses and records are written once, since scoring and merging both read them and a
     responder may be costly or give other answers when asked again.
     """
@@ -48,7 +51,8 @@ def collect_records(
             "run_id", *[F.lit("").alias(c) for c in ("stage", "ref", "message")]
         )
     else:
-        responses = materialise(responder(extract.prompts(papers, runs)), "responses")
+        asked = extract.prompts(papers, runs, window, attempts)
+        responses = materialise(responder(asked), "responses")
         records = extract.response_records(papers, responses)
         errors = extract.response_errors(papers, responses)
     records = materialise(records, "records")

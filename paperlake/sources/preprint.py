@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperlake.functions.paper import doi_url, preprint_pdf_url
@@ -38,8 +38,14 @@ def malformed_pages(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def by_number(path: Column) -> Column:
+    """A path whose numbers are padded to 20 digits, so that page 2 sorts before page 10."""
+    padded = F.regexp_replace(path, "([0-9]+)", "0" * 20 + "$1")
+    return F.regexp_replace(padded, "[0-9]*([0-9]{20})(?![0-9])", "$1").alias("number")
+
+
 def items_to_papers(items: DataFrame) -> DataFrame:
-    """Papers of preprint items, with ``server_no`` and a feed order by page and place.
+    """Papers of preprint items, with ``server_no`` and a feed order by page number and place.
 
     An item without a DOI has no address; its source and title identify it.
     """
@@ -64,4 +70,4 @@ def items_to_papers(items: DataFrame) -> DataFrame:
     return as_papers(
         shaped, doi_shown=F.col("doi"), doi_meta=F.col("doi"), category_label="CATEGORY",
         extra=["server_no", "page", "page_pos"],
-    ).withColumn("feed_pos", F.struct("page", "page_pos")).drop("page", "page_pos")
+    ).withColumn("feed_pos", F.struct(by_number(F.col("page")), "page", "page_pos")).drop("page", "page_pos")

@@ -232,6 +232,13 @@ def test_collect_with_responder_and_retries(spark):
     assert {(r["run_id"], r["attempt"]) for r in done.chosen.collect()} == {(1, 1), (2, 0)}
     merged = sorted((r["run_id"], r["paper_no"], r["fields"].get("title"), r["fields"].get("year")) for r in done.merged.collect())
     assert merged == [(1, 1, "deep nets", "2020"), (2, 1, None, None)]
-    assert [r["message"] for r in done.errors.collect()] == ["Extract u10: timeout"]
+    assert sorted(r["message"] for r in done.errors.collect()) == ["Extract u10: timeout", "Extract u11: no response"]
     again = collect.collect_records(runs, found, extract.landed_responses(answers), exact=True)
     assert again.merged.where(F.col("run_id") == 1).count() == 2
+
+
+def test_feed_pages_stand_in_order_of_their_numbers(spark):
+    pages = ["/f/10.json", "/f/2.json", "/f/page=3/a.json", "/f/page=20/a.json", "/f/cursor-7-1.json"]
+    df = spark.createDataFrame([(p,) for p in pages], "page string")
+    got = [r["page"] for r in df.orderBy(preprint.by_number(F.col("page")), "page").collect()]
+    assert got == ["/f/2.json", "/f/10.json", "/f/cursor-7-1.json", "/f/page=3/a.json", "/f/page=20/a.json"]

@@ -55,9 +55,9 @@ def test_quality_against_model(spark):
 def test_attempts(spark):
     marks = spark.createDataFrame(
         [(1, 0, 0.5), (1, 1, 1.0), (2, 0, 0.35), (2, 1, 0.7), (3, 0, 0.35), (3, 1, 0.0), (3, 2, 0.35),
-         (4, 0, 0.0), (5, 0, 0.0), (5, 1, 0.0), (5, 2, 0.0), (5, 3, 1.0)],
+         (4, 0, 0.0), (5, 0, 0.0), (5, 1, 0.0), (5, 2, 0.0), (5, 3, 1.0), (6, None, 0.0)],
         "run_id bigint, attempt int, score double")
-    assert {r["run_id"]: r["attempt"] for r in quality.select_attempts(marks).collect()} == {1: 0, 2: 1, 3: 2, 4: 0, 5: 2}
+    assert {r["run_id"]: r["attempt"] for r in quality.select_attempts(marks).collect()} == {1: 0, 2: 1, 3: 2, 4: 0, 5: 2, 6: 2}
 
 
 def test_normalise(spark):

@@ -133,6 +133,30 @@ def test_query_lists(spark):
 
 def test_prompt_shows_the_window(spark):
     runs = spark.createDataFrame([(1, ["title", "doi"])], "run_id bigint, fields array<string>")
-    prompt = extract.prompts(papers(spark, "x" * 5000), runs).first()["prompt"]
+    prompt = extract.prompts(papers(spark, "x" * 5000), runs, window=4000).first()["prompt"]
     assert "title, doi" in prompt and "x" * 4000 in prompt and "x" * 4001 not in prompt
-    assert "x" * 5000 in extract.prompts(papers(spark, "x" * 5000), runs, window=None).first()["prompt"]
+    assert "x" * 5000 in extract.prompts(papers(spark, "x" * 5000), runs).first()["prompt"]
+    assert [r["attempt"] for r in extract.prompts(papers(spark), runs, attempts=3).orderBy("attempt").collect()] == [0, 1, 2]
+
+
+def test_papers_without_a_response_stay(spark):
+    two = papers(spark).union(papers(spark).withColumn("paper_id", F.lit(11).cast("bigint")))
+    schema = "run_id bigint, paper_id bigint, attempt int, response string, error string"
+    answers = spark.createDataFrame([(1, 10, 0, '[{"x": "a"}]', None), (1, 10, 1, "[]", None), (1, 11, 1, "[]", None)], schema)
+    rows = extract.response_records(two, answers).collect()
+    assert {(r["paper_id"], r["attempt"], r["fields"].get("x")) for r in rows} == {
+        (10, 0, "a"), (11, 0, None), (10, 1, None), (11, 1, None)}
+    assert len(rows) == 4 and all(r["fields"]["title"] == "T" for r in rows)
+    assert [(r["ref"], r["message"].split(": ")[1]) for r in extract.response_errors(two, answers).collect()] == [("11", "no response")]
+    none = spark.createDataFrame([], schema)
+    assert {(r["paper_id"], r["attempt"]) for r in extract.response_records(two, none).collect()} == {(10, 0), (11, 0)}
+    assert extract.response_errors(two, none).count() == 2
+
+
+def test_one_query_list_per_run(spark):
+    runs = spark.createDataFrame([(1, "alpha beta gamma delta words")], "run_id bigint, prompt string")
+    answers = spark.createDataFrame(
+        [(1, 2, '{"queries": ["late"]}'), (1, 0, '{"queries": []}'), (1, 1, '{"queries": ["b", "c"]}')],
+        "run_id bigint, attempt int, response string")
+    got = run_queries(runs, answers).orderBy("query_no").collect()
+    assert [(r["query_no"], r["query"], r["n_queries"]) for r in got] == [(0, "b", 2), (1, "c", 2)]
