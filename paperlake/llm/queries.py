@@ -1,4 +1,4 @@
-"""Registered queries of the ten operators, and the SQL counterparts of those that SQL can express.
+"""Registered queries of the operators, and the SQL counterparts of those that SQL can express.
 
 Each query applies its operator with production parameters to the whole of its table.
 """
@@ -10,7 +10,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperlake.llm import bpe, chat, embeddings, license, minhash, mix, pii, quality, secret, urls
+from paperlake.llm import bpe, chat, embeddings, license, minhash, mix, negatives, packing, pii, quality, runs, secret, urls
+from paperlake.llm.sql import NEGATIVES_SQL, RUNS_SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -62,6 +63,23 @@ def op10_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("mask", spans)
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(_table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, label=label)
+
+
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = _table(spark, sf_dir, "documents")
+    return packing.pack_digest(packing.pack(docs, public_tokenizers.path("word_bpe_49k.json")))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return runs.run_digest(runs.periodic_runs(docs, text=runs.rewritten(F.col("doc_id"), F.col("text"))))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -71,7 +89,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (op1_quality, op2_licenses, op3_mix, op4_bpe, op5_urls, op6_vectors, op7_personal_data, op8_secrets,
-              op9_near_documents, op10_perspectives, pipeline)
+              op9_near_documents, op10_perspectives, op11_hard_negatives, op12_packing, op13_periodic_runs, pipeline)
 }
 
 QUALITY_SQL = """
@@ -191,4 +209,7 @@ SELECT conv_id, perspective, part, count(*) AS n_turns,
 FROM e GROUP BY conv_id, perspective, part
 """
 
-ORACLES: dict[str, str] = {"op1_quality": QUALITY_SQL, "op3_mix": MIX_SQL, "op10_perspectives": CHAT_SQL}
+ORACLES: dict[str, str] = {
+    "op1_quality": QUALITY_SQL, "op3_mix": MIX_SQL, "op10_perspectives": CHAT_SQL, "op11_hard_negatives": NEGATIVES_SQL,
+    "op13_periodic_runs": RUNS_SQL,
+}
