@@ -30,7 +30,10 @@ text.
 from __future__ import annotations
 
 import bisect
-from collections.abc import Iterator
+import json
+import re
+import struct
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -43,48 +46,115 @@ from paperlake.session import materialise, sized_side
 
 LIMIT, END_ID = 4096, 1
 #: Encoded words that a Python worker remembers, and the longest of them in bytes.
-REMEMBERED, REMEMBERED_BYTES = 300_000, 64
+REMEMBERED, REMEMBERED_BYTES = 400_000, 64
 #: Texts whose tokens are returned together.
 ROWS = 256
 PIECES = "doc_id {}, piece int, start bigint, length bigint, ids binary, part int, copy bigint"
 
-_encoders: dict[str, tuple] = {}
+#: How the tokenizer file with word ends makes a text's normal form and splits it.
+WORD_FORM = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+WORD_SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+WORD_END = "</w>"
+#: Words whose normal form and split are the same by every library's tables: printable ASCII and Latin-1 letters.
+PLAIN = re.compile("[\x20-\x7eÀ-ÖØ-öø-ÿ]*")
+PLAIN_SPLIT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^ a-z0-9ß-öø-ÿ]+| ")
+#: Stands between the ids of two words; no id looks like it.
+BETWEEN = b"\xff" * 4
 
+_encoders: dict[str, Callable[[bytes], bytes]] = {}
 
-def _encoder(path: str):
-    """Function from a text's bytes to its ids, as little-endian 32-bit numbers.
 
-    The tokenizer drops white space before it splits a text, and neither its normal form nor its lower case reaches
-    across white space, so words between ASCII blanks are encoded apart and remembered.
+def pack_ids(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
+def _plain(vocabulary: dict[str, int], merges: list) -> Callable[[list[str]], list[bytes]] | None:
+    """Ids of plain words by tiktoken's merge, where the byte 0xFF, which no text holds, marks the end of a piece.
+
+    None if the order of the ids isn't the order of the merges, which is what that merge goes by.
     """
-    if path not in _encoders:
-        from tokenizers import Tokenizer
+    import tiktoken
+
+    pairs = [m.split(" ") if isinstance(m, str) else m for m in merges]
+    ids = [vocabulary[a + b] for a, b in pairs]
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # byte-level alphabet: these bytes stand for themselves
+    letters = {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(sorted(set(range(256)) - set(shown)))}
+    if ids != sorted(ids) or set(letters) - set(vocabulary) or min(ids) < max(vocabulary[c + WORD_END] for c in letters):
+        return None
+    ranks = {}
+    for token in [*letters, *(c + WORD_END for c in letters), *(a + b for a, b in pairs)]:
+        ended = len(token) > len(WORD_END) and token.endswith(WORD_END)
+        body = token[:-len(WORD_END)] if ended else token
+        ranks[bytes(map(letters.__getitem__, body)) + b"\xff" * ended] = vocabulary[token]
+    merged = tiktoken.Encoding("words", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})._encode_single_piece
+    known: dict[str, bytes] = {}
+
+    def encode(words: list[str]) -> list[bytes]:
+        parts = PLAIN_SPLIT.findall(" ".join(words).lower())
+        if len(known) > REMEMBERED:
+            known.clear()
+        known[" "] = BETWEEN
+        new = set(parts).difference(known)
+        for p in new:
+            known[p] = pack_ids(merged(p.encode() + b"\xff"))
+        out = b"".join(map(known.__getitem__, parts)).split(BETWEEN)
+        for p in new:
+            if len(p) > REMEMBERED_BYTES:
+                del known[p]
+        return out
+
+    return encode
+
 
-        library = Tokenizer.from_file(path)
-        library.encode_special_tokens = True
-        _encoders[path] = (library, {})
-    library, known = _encoders[path]
+def _encoder(path: str) -> Callable[[bytes], bytes]:
+    """Function from a text's bytes to its ids, as little-endian 32-bit numbers, without special tokens.
+
+    The tokenizer with word ends drops white space before it splits a text, and neither its normal form nor its lower
+    case reaches across white space, so words between ASCII blanks are encoded apart and remembered. Plain words
+    are merged by ``_plain``, others by the library. Texts of any other tokenizer are encoded whole by the library.
+    """
+    if path in _encoders:
+        return _encoders[path]
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(path)
+    library.encode_special_tokens = True
+    with open(path, encoding="utf-8") as f:
+        config = json.load(f)
+    model, split = config["model"], (config.get("pre_tokenizer") or {}).get("pretokenizers", [{}])[0]
+    by_word = (config.get("normalizer") or {}).get("normalizers") == WORD_FORM and split.get("pattern") == {"Regex": WORD_SPLIT}
+    plain = _plain(model["vocab"], model["merges"]) if by_word and model.get("end_of_word_suffix") == WORD_END else None
+    known: dict[bytes, bytes] = {}
+
+    def slowly(text: str) -> bytes:
+        return pack_ids(library.encode(text, add_special_tokens=False).ids)
 
     def encode(text: bytes) -> bytes:
+        if not by_word:
+            return slowly(text.decode())
         words = text.split()
         if len(known) > REMEMBERED:
             known.clear()
         new = list(set(words).difference(known))
-        found = library.encode_batch([w.decode() for w in new], add_special_tokens=False)
-        known.update(zip(new, (np.array(e.ids, "<u4").tobytes() for e in found), strict=True))
+        if new:
+            joined = b" ".join(new).decode()
+            easy = new if plain and PLAIN.fullmatch(joined) else [w for w in new if plain and PLAIN.fullmatch(w.decode())]
+            if easy:
+                known.update(zip(easy, plain([w.decode() for w in easy]), strict=True))
+            known.update((w, slowly(w.decode())) for w in set(new).difference(easy))
         out = b"".join(map(known.__getitem__, words))
         for w in new:
             if len(w) > REMEMBERED_BYTES:
                 del known[w]
         return out
 
-    return encode
+    return _encoders.setdefault(path, encode)
 
 
 def pieces(docs: DataFrame, path: str, id: str = "doc_id", text: str = "text", limit: int = LIMIT, end_id: int = END_ID) -> DataFrame:
     """Pieces of every document, with their ids and, within a partition, the number of pieces of this length before."""
     slim = docs.select(col(id).alias("doc_id"), col(text).alias("text"))
-    end = np.array([end_id], "<u4").tobytes()
+    end = pack_ids([end_id])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _encoder(path)

@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 from tokenizers import Tokenizer
 
 from paperlake.llm import packing
@@ -108,12 +109,31 @@ def test_odd_rows(spark, odd, empty):
     assert packing.pack(empty, PATH).count() == 0
 
 
+def documents_words():
+    table = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"])
+    words = {w for t in table["text"].to_pylist() for w in (t or "").split()}
+    letters = [chr(c) for c in [*range(33, 127), *range(0xC0, 0x100)]]
+    rng = random.Random(3)
+    return [*sorted(words)[::7], *("".join(rng.choices(letters, k=rng.randint(1, 9))) for _ in range(3000))]
+
+
+def test_other_tokenizers_take_whole_texts():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    library.encode_special_tokens = True
+    for text in ("a  b\n c's", "", " é <|endoftext|> x"):
+        ids = np.frombuffer(packing._encoder(path)(text.encode()), "<u4").tolist()
+        assert ids == library.encode(text, add_special_tokens=False).ids
+
+
 def test_words_apart_encode_as_whole_texts():
     library = Tokenizer.from_file(PATH)
     library.encode_special_tokens = True
     encode = packing._encoder(PATH)
     rng = random.Random(8)
     alphabet = "aeZ'st 09\n\t\x0b\x0c\ŕé  가אΣİ‍\U0001f600\x1c\x85.,-|<>"
+    for word in documents_words():
+        assert np.frombuffer(encode(word.encode()), "<u4").tolist() == library.encode(word, add_special_tokens=False).ids, word
     for _ in range(800):
         text = "".join(rng.choice(alphabet) for _ in range(rng.randint(0, 30))) + rng.choice(["", "<|endoftext|>", " 's it's"])
         assert np.frombuffer(encode(text.encode()), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
