@@ -11,12 +11,11 @@ from paperlake.functions.vocab import META_KEYS
 # Host of the rendered preprint PDF for each source.
 PREPRINT_HOSTS = {"bioRxiv": "www.biorxiv.org", "medRxiv": "www.medrxiv.org"}
 
-#: Instruction used when a run brings none of its own.
+#: Opening of a prompt for a run that brings no instruction of its own.
 INSTRUCTION = (
-    "Read the paper below and report these fields: %s.\n"
-    "Answer with a JSON array of objects that use exactly these field names.\n"
-    "Write null where the paper does not give a field, and [] if nothing applies.\n"
-    "Give the JSON only, without fences or remarks."
+    "Turn the paper at the end of this message into records.\n"
+    "Reply with one JSON array and nothing around it. Each record is an object with the keys listed under Keys, "
+    "spelled as they are there; a key whose value the paper leaves open gets null. A paper without any record gets []."
 )
 
 
@@ -85,20 +84,21 @@ def preprint_pdf_url(doi: Column, version: Column, source: Column) -> Column:
     return F.when(doi != "", url).otherwise(F.lit(""))
 
 
-def instruction(fields: Column) -> Column:
-    """Default extraction instruction for a field list."""
-    return F.format_string(INSTRUCTION, F.array_join(fields, ", "))
-
-
 def render_prompt(
-    fields: Column, text: Column, instruct: Column | None = None, window: int | None = 4000
+    fields: Column, text: Column, instruct: Column | None = None, window: int | None = None,
+    issues: Column | None = None,
 ) -> Column:
-    """Instruction, field list and delimited paper text."""
-    head = instruction(fields) if instruct is None else instruct
+    """Instruction, what an earlier reply lacked, keys, and the paper between two marks.
+
+    The text is shown whole unless a window is given.
+    """
+    head = F.lit(INSTRUCTION) if instruct is None else instruct
+    lacks = F.lit("") if issues is None else F.when(
+        F.size(issues) > 0, F.concat(F.lit("\nThe last reply fell short: "), F.array_join(issues, "; "))
+    ).otherwise("")
     return F.concat(
-        head, F.lit("\n\nRequired output fields: "), F.array_join(fields, ", "),
-        F.lit("\n\n--- TEXT START ---\n"), text_window(text, window),
-        F.lit("\n--- TEXT END ---"),
+        head, lacks, F.lit("\nKeys: "), F.array_join(fields, " | "),
+        F.lit("\n<paper>\n"), text_window(text, window), F.lit("\n</paper>"),
     )
 
 

@@ -18,8 +18,9 @@ from paperlake.functions.paper import (
 from paperlake.functions.records import last_wins, truthy
 from paperlake.functions.vocab import UNKNOWN_SOURCE
 from paperlake.operators.rows import one_row_each
+from paperlake.session import sized_side
 
-#: prompts (run_id, paper_id, attempt, prompt) -> responses (run_id, paper_id, attempt,
+#: prompts (run_id, paper_id, attempt, issues, prompt) -> responses (run_id, paper_id, attempt,
 #: response, error). A join, a pandas UDF or ``mapInPandas`` all fit.
 Responder = Callable[[DataFrame], DataFrame]
 #: Error of a paper for which an attempt brought no response row.
@@ -54,23 +55,32 @@ def metadata_records(papers: DataFrame) -> DataFrame:
 
 
 def prompts(
-    papers: DataFrame, runs: DataFrame, window: int | None = None, attempts: int = 1
+    papers: DataFrame, runs: DataFrame, window: int | None = None, attempts: int = 1, first: int = 0,
+    issues: DataFrame | None = None,
 ) -> DataFrame:
-    """(run_id, paper_id, attempt, prompt) for every selected paper and attempt, over whole texts
-    unless a window is given."""
+    """(run_id, paper_id, attempt, issues, prompt) for every selected paper and each of ``attempts`` attempts from
+    ``first`` on, over whole texts unless a window is given.
+
+    ``issues`` (run_id, issues) tells what the runs' last attempt lacked.
+    """
     asked = runs.select("run_id", F.col("fields").alias("_requested"))
-    tries = F.explode(F.sequence(F.lit(0), F.lit(attempts - 1)))
-    return papers.join(asked, "run_id").withColumn("attempt", tries).select(
-        "run_id", "paper_id", "attempt",
-        render_prompt(F.col("_requested"), F.col("text"), window=window).alias("prompt"),
+    if issues is None:
+        asked = asked.withColumn("issues", F.array().cast("array<string>"))
+    else:
+        asked = asked.join(issues.select("run_id", "issues"), "run_id", "left")
+    tries = F.explode(F.array(*[F.lit(first + k) for k in range(attempts)]).cast("array<int>"))
+    return papers.join(sized_side(asked), "run_id").withColumn("attempt", tries).select(
+        "run_id", "paper_id", "attempt", "issues",
+        render_prompt(F.col("_requested"), F.col("text"), window=window, issues=F.col("issues")).alias("prompt"),
     )
 
 
 def landed_responses(responses: DataFrame) -> Responder:
-    """Default responder: look the answers up in a landed table."""
+    """Default responder: look the answers to exactly the asked attempts up in a landed table."""
+    keys = ["run_id", "paper_id", "attempt"]
 
     def respond(asked: DataFrame) -> DataFrame:
-        return responses.join(asked.select("run_id", "paper_id"), ["run_id", "paper_id"], "left_semi")
+        return responses.join(asked.select(*keys), keys, "left_semi")
 
     return respond
 
@@ -113,29 +123,42 @@ def back_fill(record: Column, meta: Column) -> Column:
     return F.map_concat(kept, missing)
 
 
-def with_attempts(papers: DataFrame, responses: DataFrame) -> DataFrame:
-    """``papers`` once for each attempt that the run has a response for; attempt 0 without any."""
-    made = responses.groupBy("run_id").agg(F.collect_set("attempt").alias("_attempts"))
-    known = F.when(F.size("_attempts") > 0, F.col("_attempts"))
-    return (
-        papers.join(made, "run_id", "left")
-        .withColumn("attempt", F.explode(F.coalesce(known, F.array(F.lit(0)))))
-        .drop("_attempts")
+def one_response(responses: DataFrame) -> DataFrame:
+    """One response per run, paper and attempt: one without an error before others, then the smallest."""
+    best = F.min(F.struct(F.col("error").isNotNull().alias("_late"), "response", "error")).alias("_one")
+    return responses.groupBy("run_id", "paper_id", "attempt").agg(best).select(
+        "run_id", "paper_id", "attempt", "_one.response", "_one.error"
     )
 
 
-def response_records(papers: DataFrame, responses: DataFrame) -> DataFrame:
-    """Records of every paper and attempt from its response.
+def with_attempts(papers: DataFrame, responses: DataFrame, attempt: int | None = None) -> DataFrame:
+    """(run_id, paper_id, attempt, response, error, answered) for each paper and ``attempt``, or else every attempt
+    that the run has a response for; attempt 0 without any.
+
+    Only keys meet the attempts of their run, whose table is broadcast if its measured size allows.
+    """
+    keys = ["run_id", "paper_id", "attempt"]
+    slim = papers.select("run_id", "paper_id")
+    if attempt is None:
+        made = responses.groupBy("run_id").agg(F.collect_set("attempt").alias("_attempts"))
+        known = F.coalesce(F.when(F.size("_attempts") > 0, F.col("_attempts")), F.array(F.lit(0)))
+        asked = slim.join(sized_side(made), "run_id", "left").select("run_id", "paper_id", F.explode(known).alias("attempt"))
+    else:
+        asked = slim.withColumn("attempt", F.lit(attempt))
+    answers = one_response(responses).withColumn("answered", F.lit(True))
+    return asked.join(answers, keys, "left").withColumn("answered", F.coalesce("answered", F.lit(False)))
+
+
+def response_records(papers: DataFrame, responses: DataFrame, attempt: int | None = None) -> DataFrame:
+    """Records of every paper and attempt from its response; see :func:`with_attempts`.
 
     A paper yields one record per object element, back-filled from its metadata; when there is
     no object or no response, a record of its metadata only; when the response is an error, the
     record that :func:`metadata_records` would give.
     """
     keys = ["run_id", "paper_id"]
-    answered = with_attempts(
-        papers.select(*keys, "paper_no", "text", "meta", F.coalesce("url", F.lit("")).alias("source_url")),
-        responses,
-    ).join(responses, [*keys, "attempt"], "left")
+    whole = papers.select(*keys, "paper_no", "text", "meta", F.coalesce("url", F.lit("")).alias("source_url"))
+    answered = with_attempts(papers, responses, attempt).join(whole, keys)
     failed = F.col("error").isNotNull()
     exploded = (
         _with_objects(answered)
@@ -159,14 +182,12 @@ def response_records(papers: DataFrame, responses: DataFrame) -> DataFrame:
     )
 
 
-def response_errors(papers: DataFrame, responses: DataFrame) -> DataFrame:
+def response_errors(papers: DataFrame, responses: DataFrame, attempt: int | None = None) -> DataFrame:
     """(run_id, stage, ref, message) for every failed response, and every one that is missing."""
-    keys = ["run_id", "paper_id", "attempt"]
-    asked = with_attempts(papers.select("run_id", "paper_id", "url"), responses)
-    answers = responses.select(*keys, F.col("error"), F.lit(True).alias("_answered"))
-    failed = asked.join(answers, keys, "left").withColumn(
-        "error", F.when(F.col("_answered").isNull(), NO_RESPONSE).otherwise(F.col("error"))
+    asked = with_attempts(papers, responses, attempt).withColumn(
+        "error", F.when(~F.col("answered"), NO_RESPONSE).otherwise(F.col("error"))
     ).where(F.col("error").isNotNull())
+    failed = asked.join(papers.select("run_id", "paper_id", "url"), ["run_id", "paper_id"])
     return failed.select(
         "run_id", F.lit("extract").alias("stage"), F.col("paper_id").cast("string").alias("ref"),
         F.format_string("Extract %s: %s", F.substring("url", 1, 40), F.col("error")).alias("message"),

@@ -80,13 +80,13 @@ def run_quality(records: DataFrame, runs: DataFrame, by_attempt: bool = False) -
     return scored(joined, F.col("_primary")).select(*columns)
 
 
-def select_attempts(quality: DataFrame) -> DataFrame:
-    """(run_id, attempt): the first attempt that scores at least 0.5, else the last of three.
+def select_attempts(quality: DataFrame, retries: int = MAX_RETRIES) -> DataFrame:
+    """(run_id, attempt): the first attempt that scores at least 0.5, else the last one up to ``retries``.
 
     A run without records has no attempt of its own; all its retries were in vain.
     """
-    tried = quality.withColumn("attempt", F.coalesce("attempt", F.lit(MAX_RETRIES))).where(
-        F.col("attempt") <= MAX_RETRIES
+    tried = quality.withColumn("attempt", F.coalesce("attempt", F.lit(retries))).where(
+        F.col("attempt") <= retries
     )
     accepted = F.min(F.when(F.col("score") >= ACCEPTED_SCORE, F.col("attempt")))
     return tried.groupBy("run_id").agg(

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from paperlake.operators import extract, merge, quality
 from paperlake.operators.encode import Encoder
+from paperlake.plans.retries import Extracted, extract_with_retries
 from paperlake.session import materialise
 
 
@@ -36,31 +37,24 @@ def collect_records(
     encoder: Encoder | None = None,
     exact: bool = False,
     window: int | None = None,
-    attempts: int = 1,
+    retries: int = quality.MAX_RETRIES,
 ) -> Collected:
     """Extract, score, choose attempts, normalise and deduplicate.
 
     Without a responder, records come from the papers' metadata and there is one attempt.
-    ``window`` cuts the texts shown in prompts; a responder is asked for so many ``attempts``.
-    Responses and records are written once, since scoring and merging both read them and a
-    responder may be costly or give other answers when asked again.
+    ``window`` cuts the texts shown in prompts; a responder is asked again, up to ``retries`` times, for the runs whose
+    records score too low (see :mod:`paperlake.plans.retries`).
     """
     if responder is None:
-        records = extract.metadata_records(papers).withColumn("attempt", F.lit(0))
-        errors = runs.limit(0).select(
-            "run_id", *[F.lit("").alias(c) for c in ("stage", "ref", "message")]
-        )
+        records = materialise(extract.metadata_records(papers).withColumn("attempt", F.lit(0)), "records")
+        marks = quality.run_quality(records, runs, by_attempt=True)
+        errors = runs.limit(0).select("run_id", *[F.lit("").alias(c) for c in ("stage", "ref", "message")])
+        done = Extracted(records, marks, quality.select_attempts(marks), errors)
     else:
-        asked = extract.prompts(papers, runs, window, attempts)
-        responses = materialise(responder(asked), "responses")
-        records = extract.response_records(papers, responses)
-        errors = extract.response_errors(papers, responses)
-    records = materialise(records, "records")
-    marks = quality.run_quality(records, runs, by_attempt=True)
-    chosen = quality.select_attempts(marks)
-    accepted = merge.normalised(records.join(chosen, ["run_id", "attempt"], "left_semi"))
+        done = extract_with_retries(runs, papers, responder, window, retries)
+    accepted = merge.normalised(done.records)
     if exact:
         merged = merge.exact_dedup(accepted, runs)
     else:
         merged = merge.similarity_dedup(accepted, runs, encoder)
-    return Collected(merged, marks, chosen, errors)
+    return Collected(merged, done.marks, done.chosen, done.errors)

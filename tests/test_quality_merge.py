@@ -1,5 +1,3 @@
-import random
-
 import pytest
 
 from paperlake.operators import merge, quality
@@ -15,41 +13,34 @@ def records_of(spark, rows):
     return spark.createDataFrame(rows, "run_id bigint, paper_no int, element_no int, fields map<string,string>")
 
 
-def model_quality(records, fields):
-    if not records:
-        return 0.0, ["No records extracted"]
-    false = ("0", "false", "[]", "{}", "0.0", "")
-    truthy = lambda v: v is not None and v not in false
-    filled = sum(1 for r in records for f in fields
-                 if truthy(r.get(f)) and r[f].strip() not in ("", "null", "None", "none"))
-    coverage = filled / (len(records) * len(fields))
-    hits = sum(1 for r in records if truthy(r.get(fields[0])))
-    score, issues = 1.0, []
-    if coverage < 0.3:
-        score *= 0.5
-        issues.append(f"Overall field coverage low ({coverage:.0%})")
-    if hits / len(records) < 0.4:
-        score *= 0.7
-        issues.append(f"Primary field '{fields[0]}' sparse ({hits}/{len(records)})")
-    return score, issues
-
-
-def test_quality_against_model(spark):
-    rng = random.Random(2)
-    specs = {i: rng.sample(["a", "b", "c", "d"], rng.randrange(1, 4)) for i in range(40)}
-    data = {i: [{k: rng.choice([None, "x", "null", " ", "0", "none", "y", ""]) for k in rng.sample("abcd", 3)}
-                for _ in range(rng.randrange(12))] for i in specs}
-    data[100], specs[100] = [{"a": "x", "b": None}] * 3 + [{"a": None}] * 7, ["a"]          # coverage 0.3
-    data[101], specs[101] = [{"a": "x"}] * 4 + [{"b": "x"}] * 6, ["a", "b"]                 # primary rate 0.4
-    records = records_of(spark, [(i, n, 0, r) for i, rs in data.items() for n, r in enumerate(rs)])
-    got = {r["run_id"]: r for r in quality.run_quality(records, runs_of(spark, specs)).collect()}
-    assert set(got) == set(specs)
-    for i, fields in specs.items():
-        score, issues = model_quality(data[i], fields)
-        assert got[i]["score"] == pytest.approx(score) and got[i]["issues"] == issues, i
-        assert got[i]["n_records"] == len(data[i])
-    assert got[100]["issues"] == ["Primary field 'a' sparse (3/10)"]
-    assert got[101]["issues"] == []
+X, N = {"a": "x", "b": "y"}, {"a": None}
+LOW_12 = "Overall field coverage low (12%)"
+#: fields, records, coverage, primary rate, score, issues
+MARKS = [
+    (["a"], [], 0.0, 0.0, 0.0, ["No records extracted"]),
+    (["a", "b"], [X, X], 1.0, 1.0, 1.0, []),
+    # borders: 0.3 and 0.4 are enough
+    (["a"], [X] * 3 + [N] * 7, 0.3, 0.3, 0.7, ["Primary field 'a' sparse (3/10)"]),
+    (["a"], [X] * 4 + [N] * 6, 0.4, 0.4, 1.0, []),
+    (["b", "a"], [{"a": "x"}] * 3 + [{"b": "x"}] * 2, 0.5, 0.4, 1.0, []),
+    (["a", "b", "c"], [{"a": "x"}] * 8 + [N] * 2, 8 / 30, 0.8, 0.5, ["Overall field coverage low (27%)"]),
+    (["a", "b"], [{"b": "x"}] + [N] * 3, 0.125, 0.0, 0.35, [LOW_12, "Primary field 'a' sparse (0/4)"]),
+    # a text that says nothing fills no cell, but counts for the first field
+    (["a"], [{"a": "null"}, {"a": "None"}, {"a": "none"}, {"a": " "}], 0.0, 1.0, 0.5, ["Overall field coverage low (0%)"]),
+    (["a"], [{"a": "0"}, {"a": "false"}, {"a": "[]"}, {"a": "{}"}, {"a": ""}], 0.0, 0.0, 0.35,
+     ["Overall field coverage low (0%)", "Primary field 'a' sparse (0/5)"]),
+    (["a"], [{"a": "NULL"}, {"a": "0.1"}, {"a": "-"}], 1.0, 1.0, 1.0, []),
+]
+
+
+def test_quality(spark):
+    records = records_of(spark, [(i, n, 0, r) for i, m in enumerate(MARKS) for n, r in enumerate(m[1])])
+    runs = runs_of(spark, {i: m[0] for i, m in enumerate(MARKS)})
+    got = {r["run_id"]: r for r in quality.run_quality(records, runs).collect()}
+    assert set(got) == set(range(len(MARKS)))
+    for i, (_, rows, coverage, primary, score, issues) in enumerate(MARKS):
+        assert got[i]["n_records"] == len(rows) and got[i]["issues"] == issues, i
+        assert (got[i]["coverage"], got[i]["primary_rate"], got[i]["score"]) == pytest.approx((coverage, primary, score)), i
 
 
 def test_attempts(spark):

@@ -1,7 +1,3 @@
-import json
-import random
-import re
-
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,62 +5,36 @@ from paperlake.functions.noisy_json import query_list
 from paperlake.operators import extract
 from paperlake.operators.queries import run_queries
 
-
-def model_objects(text):
-    """Objects of the array in a noisy response, with their places."""
-    found = re.search(r"\[.*\]", re.sub(r"```(?:json)?", "", text or "").strip(), re.DOTALL)
-    try:
-        items = json.loads(found.group()) if found else []
-    except json.JSONDecodeError:
-        items = []
-    return [(i, item) for i, item in enumerate(items) if isinstance(item, dict)]
-
-
-def as_text(value):
-    """How a JSON value stands in a text map."""
-    if value is None or isinstance(value, str):
-        return value
-    return json.dumps(value, separators=(",", ":"), ensure_ascii=False)
-
-
-CASES = [
-    '```json\n[{"a": 1.0, "b": null}]\n```',
-    'Sure! [{"a": "x"}, 7, "{\\"z\\": 1}", null, [1]] hope this helps',
-    '[1] and [{"a": 1}]',
-    '[{"a": 1},]',
-    "[{'a': 1}]",
-    '[{"a": "line\nbreak"}]',
-    "[]", "none", "", "{}",
-    '[{"a": 1, "a": 2, "b": 3}]',
-    '[{"a": {"b": [1, 2]}, "c": true}]',
-    '[{"a": 1}}]', '[{"a": 1}]}', '[1],"y":[2]', '[{"a": 1}]} and [2]', '[[1]],[[2]]', "[1]] [2]",
-    '[{"a": "[1] foo"}, {"b": "{"}]', '["{", {"a": "\\u007b"}]', '["\\u007b\\"q\\": 1}"]',
-    "[01]", '[{"é": "ü"}]', "[" * 3, '[{"a" 1}]',
-]
-
-
-def noisy(rng):
-    objects = [{rng.choice("abc"): rng.choice([1, "x", None, True, [1, "y"], {"k": 2}, ""])} for _ in range(rng.randrange(3))]
-    text = json.dumps(objects + [rng.choice([5, "s", None])] * rng.randrange(2))
-    for _ in range(rng.randrange(3)):
-        at = rng.randrange(len(text) + 1)
-        text = rng.choice([
-            text[:at] + rng.choice('[]{}",:x \n') + text[at:], text[:at] + text[at + 1:],
-            "```json\n" + text + "\n```", "Here: " + text + " done", text,
-        ])
-    return text
+#: response: objects with their places
+OBJECTS = {
+    '```json\n[{"a": 1.0, "b": null}]\n```': {0: {"a": "1.0", "b": None}},
+    'Sure! [{"a": "x"}, 7, "{\\"z\\": 1}", null, [1]] hope this helps': {0: {"a": "x"}},
+    '[3, {"a": "x"}, {"b": "y"}]': {1: {"a": "x"}, 2: {"b": "y"}},
+    '[1] and [{"a": 1}]': {},
+    '[{"a": 1},]': {},
+    "[{'a': 1}]": {},
+    '[{"a": "line\nbreak"}]': {},
+    "[]": {}, "none": {}, "": {}, "{}": {}, "[[[": {}, "[01]": {}, '[{"a" 1}]': {},
+    '[{"a": 1, "a": 2, "b": 3}]': {0: {"a": "2", "b": "3"}},
+    '[{"a": {"b": [1, 2]}, "c": true}]': {0: {"a": '{"b":[1,2]}', "c": "true"}},
+    '[{"a": 1}}]': {}, '[{"a": 1}]}': {0: {"a": "1"}}, '[1],"y":[2]': {}, '[{"a": 1}]} and [2]': {},
+    "[[1]],[[2]]": {}, "[1]] [2]": {},
+    '[{"a": "[1] foo"}, {"b": "{"}]': {0: {"a": "[1] foo"}, 1: {"b": "{"}},
+    '["{", {"a": "\\u007b"}]': {1: {"a": "{"}},
+    '["\\u007b\\"q\\": 1}"]': {},
+    '[{"é": "ü"}]': {0: {"é": "ü"}},
+    'first ``` [{"a": ""}] ``` last': {0: {"a": ""}},
+    'x [{"a": 1}] y ]': {},
+    'x [ [{"a": 1}] y': {},
+}
 
 
 def test_objects_of_noisy_responses(spark):
-    rng = random.Random(7)
-    texts = CASES + [noisy(rng) for _ in range(600)] + [None]
-    df = spark.createDataFrame(list(enumerate(texts)), "i int, response string")
-    got = {}
+    df = spark.createDataFrame([*enumerate(OBJECTS), (-1, None)], "i int, response string")
+    got = {t: {} for t in OBJECTS}
     for row in extract.response_objects(df, ["i"]).collect():
-        got.setdefault(row["i"], []).append((row["element_no"], row["fields"]))
-    for i, text in enumerate(texts):
-        want = [(no, {k: as_text(v) for k, v in item.items()}) for no, item in model_objects(text)]
-        assert sorted(got.get(i, []), key=lambda e: e[0]) == want, text
+        got[list(OBJECTS)[row["i"]]][row["element_no"]] = row["fields"]
+    assert got == OBJECTS
 
 
 META = {"title": "T", "authors": "A, B", "published_date": "2024-01-01", "doi": "", "url": "u1", "pdf_url": "",
@@ -134,9 +104,27 @@ def test_query_lists(spark):
 def test_prompt_shows_the_window(spark):
     runs = spark.createDataFrame([(1, ["title", "doi"])], "run_id bigint, fields array<string>")
     prompt = extract.prompts(papers(spark, "x" * 5000), runs, window=4000).first()["prompt"]
-    assert "title, doi" in prompt and "x" * 4000 in prompt and "x" * 4001 not in prompt
+    assert "title | doi" in prompt and "x" * 4000 in prompt and "x" * 4001 not in prompt
     assert "x" * 5000 in extract.prompts(papers(spark, "x" * 5000), runs).first()["prompt"]
     assert [r["attempt"] for r in extract.prompts(papers(spark), runs, attempts=3).orderBy("attempt").collect()] == [0, 1, 2]
+    assert extract.prompts(papers(spark), runs, attempts=0).count() == 0
+    lacking = spark.createDataFrame([(1, ["no doi", "short"])], "run_id bigint, issues array<string>")
+    later = extract.prompts(papers(spark), runs, first=2, issues=lacking).first()
+    assert later["attempt"] == 2 and later["issues"] == ["no doi", "short"] and "no doi; short" in later["prompt"]
+
+
+def test_landed_answers_of_the_asked_attempt_only(spark):
+    schema = "run_id bigint, paper_id bigint, attempt int, response string, error string"
+    answers = spark.createDataFrame([(1, 10, 0, "a", None), (1, 10, 1, "b", None), (2, 10, 1, "c", None)], schema)
+    asked = spark.createDataFrame([(1, 10, 1)], "run_id bigint, paper_id bigint, attempt int")
+    assert [r["response"] for r in extract.landed_responses(answers)(asked).collect()] == ["b"]
+
+
+def test_repeated_responses_count_once(spark):
+    schema = "run_id bigint, paper_id bigint, attempt int, response string, error string"
+    answers = spark.createDataFrame([(1, 10, 0, None, "late"), (1, 10, 0, '[{"x": "b"}]', None), (1, 10, 0, '[{"x": "a"}]', None)], schema)
+    assert [r["fields"]["x"] for r in extract.response_records(papers(spark), answers).collect()] == ["a"]
+    assert extract.response_errors(papers(spark), answers).count() == 0
 
 
 def test_papers_without_a_response_stay(spark):

@@ -1,38 +1,41 @@
-import random
-import re
-
 from pyspark.sql import functions as F
 
 from paperlake.functions import text as tx
 from paperlake.functions.vocab import LIFE_SCIENCE_STEMS, STOP_WORDS
 
-ALPHABET = ["the", "of", "Gene", "x", "étude", "a1", "PAPERS", "naïve", "Zell-Kern", "42", " ", "\t", "\n",
-            " ", " ", "\x1d", ",", "(", "recent", "learning", "　"]
-
 
-def random_texts(n, seed):
-    rng = random.Random(seed)
-    return ["".join(rng.choice(ALPHABET) + rng.choice(["", " ", "  "]) for _ in range(rng.randrange(12)))
-            for _ in range(n)]
+def apply(spark, values, *columns):
+    df = spark.createDataFrame(list(enumerate(values)), "i int, t string")
+    return [tuple(r)[1:] for r in df.select("i", *[c(F.col("t")) for c in columns]).orderBy("i").collect()]
 
 
-def model_keywords(text):
-    return [w for w in re.findall(r"[a-zA-Z0-9]+", text.lower()) if w not in STOP_WORDS and len(w) > 1]
+KEYWORDS = {
+    "": [],
+    "the of": [],
+    "  A  study of GENE  ": ["study", "gene"],
+    "gene Gene a1 x 42": ["gene", "gene", "a1", "42"],
+    "étude naïve Zell-Kern": ["tude", "na", "ve", "zell", "kern"],
+    "PAPERS recent,learning(42": ["learning", "42"],
+    "x1\tx\nx2\u3000x3": ["x1", "x2", "x3"],
+    "deep_nets it's": ["deep", "nets"],
+}
+#: text: stripped, collapsed, words
+SPACES = {
+    "": ("", "", []),
+    " \t\x1d\u3000": ("", "", []),
+    "  a  b ": ("a  b", "a b", ["a", "b"]),
+    "\x1ca\x85b\u2028c\xa0": ("a\x85b\u2028c", "a b c", ["a", "b", "c"]),
+    "one\r\n\ttwo, three": ("one\r\n\ttwo, three", "one two, three", ["one", "two,", "three"]),
+    "\u200bzero width stays": ("\u200bzero width stays", "\u200bzero width stays", ["\u200bzero", "width", "stays"]),
+}
 
 
-def apply(spark, values, *columns):
-    df = spark.createDataFrame(list(enumerate(values)), "i int, t string")
-    return [tuple(r)[1:] for r in df.select("i", *[c(F.col("t")) for c in columns]).orderBy("i").collect()]
+def test_keywords(spark):
+    assert apply(spark, KEYWORDS, tx.keywords) == [(w,) for w in KEYWORDS.values()]
 
 
-def test_text_functions_against_models(spark):
-    texts = random_texts(300, 1) + ["", "the of", "  A  study of GENE  "]
-    got = apply(spark, texts, tx.keywords, tx.strip, tx.collapse, tx.split_words)
-    for text, (kws, stripped, collapsed, words) in zip(texts, got):
-        assert kws == model_keywords(text)
-        assert stripped == text.strip()
-        assert collapsed == " ".join(text.split())
-        assert words == text.split()
+def test_white_space(spark):
+    assert apply(spark, SPACES, tx.strip, tx.collapse, tx.split_words) == list(SPACES.values())
 
 
 def test_filter_words_fall_back(spark):
@@ -43,18 +46,24 @@ def test_filter_words_fall_back(spark):
     assert apply(spark, ["the of THAT à"], tx.filter_words) == [(["the", "that"],)]
 
 
+EXPANDED = {
+    "transformer architectures for medical image segmentation tasks today now": [
+        "transformer architectures medical image", "transformer architectures medical recent",
+        "architectures medical image segmentation"],
+    "the of a an": ["", " recent", ""],
+    "graph": ["graph", "graph recent", ""],
+    "deep nets of cats": ["deep nets cats", "deep nets cats recent", "nets cats"],
+    "\tGENE  drift\u3000in wild mice\n": ["GENE drift wild mice", "GENE drift wild recent", "drift wild mice"],
+}
+
+
 def test_query_expansion(spark):
-    texts = random_texts(100, 2) + ["transformer architectures for medical image segmentation tasks today now"]
-    for text, (queries,) in zip(texts, apply(spark, texts, tx.expand_queries)):
-        words = [w for w in text.split() if len(w) > 3][:6]
-        assert queries == [" ".join(words[:4]), " ".join(words[:3]) + " recent", " ".join(words[1:5])]
+    assert apply(spark, EXPANDED, tx.expand_queries) == [(q,) for q in EXPANDED.values()]
 
 
 def test_topic_flag(spark):
-    texts = ["Eugenes Fund", "a drugstore", "plain words", "NEUROnal"]
-    assert [f for f, in apply(spark, texts, tx.is_life_science)] == [
-        any(s in t.lower() for s in LIFE_SCIENCE_STEMS) for t in texts
-    ]
+    texts = ["Eugenes Fund", "a drugstore", "plain words", "NEUROnal", "", "cel l"]
+    assert apply(spark, texts, tx.is_life_science) == [(True,), (True,), (False,), (True,), (False,), (False,)]
 
 
 def test_dates_keys_and_dois(spark):

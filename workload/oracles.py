@@ -150,6 +150,10 @@ FULL = f"""full_docs AS MATERIALIZED (
     CASE WHEN doc_id % 2 = 0 THEN 'bioRxiv' ELSE 'medRxiv' END AS server
   FROM documents))"""
 
+INSTRUCTION = """'Turn the paper at the end of this message into records.' || chr(10)
+  || 'Reply with one JSON array and nothing around it. Each record is an object with the keys listed under Keys, '
+  || 'spelled as they are there; a key whose value the paper leaves open gets null. A paper without any record gets [].'"""
+
 BLOCK = """'TITLE: ' || title || chr(10) || 'AUTHORS: ' || authors || chr(10) || 'DATE: ' || day::VARCHAR
   || chr(10) || 'DOI: ' || doi || chr(10) || 'CATEGORY: ' || lang || chr(10) || 'ABSTRACT: ' || abstract"""
 
@@ -202,8 +206,9 @@ objects AS (
   SELECT paper_id, 0 AS element_no,
     ['title', 'Event-Type', 'value', 'props', 'tags', 'url', 'source'] AS ks,
     [NULL, event_type, v, replace(props, ': ', ':'), '["a",null,3]', '0', 'given'] AS vs
-  FROM ev WHERE paper_id % 6 IN (0, 1) AND paper_id % 7 <> 0
-  UNION ALL SELECT paper_id, 1, ['title'], ['u'] FROM ev WHERE paper_id % 6 = 1 AND paper_id % 7 <> 0)"""
+  FROM ev WHERE paper_id % 6 IN (0, 1) AND paper_id % 7 <> 0 AND paper_id % 9 <> 4
+  UNION ALL SELECT paper_id, 1, ['title'], ['u'] FROM ev WHERE paper_id % 6 = 1 AND paper_id % 7 <> 0
+    AND paper_id % 9 <> 4)"""
 
 LABELLED = """lab AS (
   SELECT regexp_extract(source, '[0-9]+')::BIGINT AS run_id, lang, quality, toxic
@@ -284,9 +289,16 @@ SELECT paper_id, source_url, source, key, value FROM r WHERE value <> ''
 UNION ALL SELECT paper_id, url, server, 'abstract',
   {strip("abstract || chr(10) || 'JOURNAL: ' || src")} FROM full_docs
 UNION ALL SELECT paper_id, url, server, 'journal', src FROM full_docs""",
-    "prompt_rendering": f"""WITH {FULL}
-SELECT paper_id, 'Required output fields: title, abstract, doi' || chr(10) || chr(10)
-  || '--- TEXT START ---' || chr(10) || {BLOCK} || chr(10) || '--- TEXT END ---' AS prompt FROM full_docs""",
+    "prompt_rendering": f"""WITH {FULL},
+p AS (SELECT *, regexp_extract(src, '[0-9]+')::BIGINT AS run_id FROM full_docs)
+SELECT run_id, paper_id, 1 AS attempt, {INSTRUCTION}
+  || CASE WHEN run_id % 2 = 0 THEN chr(10) || 'The last reply fell short: few fields; no doi' ELSE '' END
+  || chr(10) || 'Keys: title | abstract | doi' || chr(10) || '<paper>' || chr(10) || {BLOCK} || chr(10) || '</paper>' AS prompt
+FROM p""",
+    "prompt_window": f"""WITH {FULL}
+SELECT paper_id, attempt::INT AS attempt, {INSTRUCTION} || chr(10) || 'Keys: title' || chr(10) || '<paper>' || chr(10)
+  || left({BLOCK}, 300) || chr(10) || '</paper>' AS prompt
+FROM full_docs, range(2) t(attempt)""",
     "match_strategies": f"WITH {HITS} SELECT run_id, query_no, paper_id, strategy_no, matched FROM hits",
     "phrase_match": f"""WITH {DOCS},
 p AS (SELECT item_id AS run_id, array_to_string(list_filter({split('lower(text)')},
@@ -334,8 +346,8 @@ meta AS (
   SELECT paper_id, unnest(['title', 'authors', 'published_date', 'doi', 'url', 'pdf_url', 'categories', 'source']) AS key,
     unnest([event_type, 'user ' || user_id, day, '', 'http://e/' || paper_id, '', event_type, 'bioRxiv']) AS value
   FROM ev),
-ends AS (SELECT paper_id, CASE WHEN paper_id % 7 = 0 THEN 'failed' ELSE 'meta' END AS kind FROM ev
-  WHERE paper_id % 7 = 0 OR paper_id % 6 NOT IN (0, 1)),
+ends AS (SELECT paper_id, CASE WHEN paper_id % 7 = 0 AND paper_id % 9 <> 4 THEN 'failed' ELSE 'meta' END AS kind FROM ev
+  WHERE paper_id % 7 = 0 OR paper_id % 9 = 4 OR paper_id % 6 NOT IN (0, 1)),
 own AS (SELECT paper_id, element_no, unnest(ks) AS key, unnest(vs) AS value FROM objects),
 rows_out AS (
   SELECT paper_id, element_no, key, value FROM own
@@ -347,8 +359,9 @@ rows_out AS (
   UNION ALL SELECT paper_id, 0, key, value FROM ends JOIN meta USING (paper_id) WHERE kind = 'meta' OR value <> ''
   UNION ALL SELECT paper_id, 0, 'abstract', props FROM ends JOIN ev USING (paper_id) WHERE kind = 'failed')
 SELECT paper_id, element_no, key, value, 'http://e/' || paper_id AS source_url, 'bioRxiv' AS source FROM rows_out""",
-    "extraction_errors": """SELECT event_id::VARCHAR AS ref, 'Extract http://e/' || event_id || ': timeout' AS message
-FROM events WHERE event_id % 7 = 0""",
+    "extraction_errors": """SELECT event_id::VARCHAR AS ref, 'Extract http://e/' || event_id
+  || CASE WHEN event_id % 9 = 4 THEN ': no response' ELSE ': timeout' END AS message
+FROM events WHERE event_id % 7 = 0 OR event_id % 9 = 4""",
     "coverage": f"""WITH {LABELLED}
 SELECT run_id, n AS n_records, round(cov, 6) AS coverage, round(prim, 6) AS primary_rate, score,
   concat_ws('; ',
@@ -357,6 +370,9 @@ SELECT run_id, n AS n_records, round(cov, 6) AS coverage, round(prim, 6) AS prim
 FROM marks WHERE attempt = 2""",
     "attempt_select": f"""WITH {LABELLED}
 SELECT run_id, attempt, score FROM marks JOIN chosen USING (run_id, attempt)""",
+    "conditional_retries": f"""WITH {LABELLED}
+SELECT run_id, m.attempt, n AS n_asked, n AS n_records, score, CASE WHEN m.attempt = c.attempt THEN n ELSE 0 END AS n_accepted
+FROM marks m JOIN chosen c USING (run_id) WHERE m.attempt <= c.attempt""",
     "run_summary": f"""WITH {LABELLED},
 d AS (SELECT regexp_extract(source, '[0-9]+')::BIGINT AS run_id, doc_id, quality, toxic
   FROM documents LEFT JOIN labels USING (doc_id)),

@@ -17,6 +17,7 @@ from paperlake.operators.ranking import first_wins
 from paperlake.operators.rows import one_row_each
 from paperlake.operators.windows import date_windows
 from paperlake.plans import collect, search
+from paperlake.plans.retries import extract_with_retries
 from paperlake.session import materialise, scratch_path
 from paperlake.sinks import columns as sink_columns
 from paperlake.sinks import writers
@@ -195,12 +196,19 @@ def metadata_record(spark, sf):
 
 @query
 def prompt_rendering(spark, sf):
-    """Prompts over whole texts (no window)."""
+    """Whole prompts over whole texts; runs of even number are told what their last attempt lacked."""
     papers = document_papers(spark, sf).select(source_number("src").alias("run_id"), "paper_id", "text")
     asked = run_rows(papers, F.lit("title, abstract,doi,title"))
-    return extract.prompts(papers, asked, window=None).select(
-        "paper_id", F.regexp_replace("prompt", r"(?s)^.*?\n\n", "").alias("prompt")
-    )
+    lacking = asked.where("run_id % 2 = 0").select("run_id", F.array(F.lit("few fields"), F.lit("no doi")).alias("issues"))
+    return extract.prompts(papers, asked, first=1, issues=lacking).select("run_id", "paper_id", "attempt", "prompt")
+
+
+@query
+def prompt_window(spark, sf):
+    """Prompts that show the first 300 characters only, for two attempts."""
+    papers = document_papers(spark, sf).select(source_number("src").alias("run_id"), "paper_id", "text")
+    asked = run_rows(papers, F.lit("title"))
+    return extract.prompts(papers, asked, window=300, attempts=2).select("paper_id", "attempt", "prompt")
 
 
 # --------------------------------------------------------------------------- matching
@@ -368,7 +376,7 @@ def harvest_stream(spark, sf):
 
 # --------------------------------------------------------------------------- responses
 def responses(spark: SparkSession, sf: str) -> DataFrame:
-    """A response per event, clean or damaged in one of several ways."""
+    """A response per event, clean or damaged in one of several ways; every ninth event has none."""
     record = F.concat(
         F.lit('{"title": null, "Event-Type": "'), F.col("event_type"), F.lit('", "value": '),
         F.col("value"), F.lit(', "props": '), F.col("props"),
@@ -385,8 +393,8 @@ def responses(spark: SparkSession, sf: str) -> DataFrame:
         .otherwise("[]")
     )
     failed = F.col("event_id") % 7 == 0
-    return table(spark, sf, "events", spread=True).select(
-        F.lit(0).cast("bigint").alias("run_id"), F.col("event_id").alias("paper_id"),
+    return table(spark, sf, "events", spread=True).where("event_id % 9 <> 4").select(
+        (F.col("event_id") % 11).alias("run_id"), F.col("event_id").alias("paper_id"),
         F.lit(0).alias("attempt"), F.when(~failed, text).alias("response"),
         F.when(failed, "timeout").alias("error"),
     )
@@ -400,7 +408,7 @@ def event_papers(spark: SparkSession, sf: str) -> DataFrame:
         "categories": F.col("event_type"), "source": F.lit("bioRxiv"),
     }
     return table(spark, sf, "events", spread=True).select(
-        F.lit(0).cast("bigint").alias("run_id"), F.col("event_id").alias("paper_no"),
+        (F.col("event_id") % 11).alias("run_id"), F.col("event_id").alias("paper_no"),
         F.col("event_id").alias("paper_id"), values["url"].alias("url"),
         F.concat(F.lit("TITLE: x\nABSTRACT: "), F.col("props")).alias("text"),
         F.struct(*[values[k].alias(k) for k in META_KEYS]).alias("meta"),
@@ -462,6 +470,36 @@ def attempt_select(spark, sf):
     )
 
 
+def label_responses(spark: SparkSession, sf: str) -> DataFrame:
+    """What a responder would give for each document and attempt: its labels, more of them each time."""
+    records = label_records(spark, sf, attempts=True)
+    return records.select(
+        "run_id", F.col("doc_id").alias("paper_id"), "attempt",
+        F.concat(F.lit("["), F.to_json("fields"), F.lit("]")).alias("response"), F.lit(None).cast("string").alias("error"),
+    )
+
+
+@query
+def conditional_retries(spark, sf):
+    """Extraction with retries: what the responder was asked per run and attempt, and which attempt stands."""
+    papers = document_papers(spark, sf).withColumns({"run_id": source_number("src"), "paper_no": F.col("paper_id")})
+    answers = materialise(label_responses(spark, sf), "answers")
+    counts = []
+
+    def counting(asked):
+        counts.append(asked.groupBy("run_id", "attempt").agg(F.count("*").alias("n_asked")))
+        return extract.landed_responses(answers)(asked)
+
+    done = extract_with_retries(label_runs(label_records(spark, sf)), papers, counting)
+    asked = counts[0]
+    for more in counts[1:]:
+        asked = asked.union(more)
+    kept = done.records.groupBy("run_id", "attempt").agg(F.count("*").alias("n_accepted"))
+    return asked.join(done.marks, ["run_id", "attempt"], "left").join(kept, ["run_id", "attempt"], "left").select(
+        "run_id", "attempt", "n_asked", "n_records", "score", F.coalesce("n_accepted", F.lit(0)).alias("n_accepted")
+    )
+
+
 @query
 def run_summary(spark, sf):
     """Summary per source: documents as papers, labelled ones as records, toxic ones as errors."""
