@@ -7,13 +7,18 @@ chunk is indexed once for each value left out, and two signatures within the rad
 similarity of exactly 0.8 signatures lie outside the radius with a probability of about 1 in 10,000, and far
 less above it.
 
+The radius also admits pairs down to a similarity of about 0.6. A profile refuses most of them: the set's hashes fall into
+BINS bins, and the profile holds 8 bits of the smallest hash of each. The share of equal bins among those that either
+set fills estimates the similarity; the fewer of the two sets' hashes share a bin, the closer. Pairs whose estimate lies more
+than SIGMAS standard deviations below the limit are refused, which loses about 3 in 100,000 of those exactly at it.
+
 Documents with equal sets form a class; one stands for all. Keys that several classes share give candidates. First
-each class meets the smallest class of its keys (a star, so a group of near copies sends no list of pairs),
-the closest of them is confirmed on full sets, and links are joined to components. Then keys whose
-classes still lie in different components are compared in blocks by signature (keys with the same classes
-once, keys of two classes by the star already); only candidates between
-different components are confirmed, the closest first and more in each round, until none is left. So every link
-between components is found, but links within a component need not be.
+each class meets the smallest and the largest of the classes that lead its keys (so a group of near copies sends no list of
+pairs), they are confirmed on full sets, and links are joined to components. Then keys whose
+classes still lie in different components are compared in blocks by signature and profile. Keys with the same classes are
+compared once, and a pair is reported only by the group of its first common key, so once. Only candidates between
+different components are confirmed, the closest first and all others after that. So every
+link between components is found, but links within a component need not be.
 
 Defined cases: a null text, or one without words, has an empty set, is linked with nothing and is
 its own component. Rows are documents: repeated rows are copies of each other. A null id names
@@ -43,8 +48,10 @@ VALUES = CHUNKS * CHUNK
 #: Largest distance of two signatures whose pairs are all found, with one error allowed in a chunk.
 RADIUS = 2 * CHUNKS - 1
 WORDS, PERCENT = 5, 80
-#: Candidates per class that a round confirms; None: all.
-ROUNDS = (8, 64, None)
+#: Bins of a profile, and standard deviations of its estimate within which a pair is confirmed.
+BINS, SIGMAS = 256, 4
+#: Candidates per class and group that a round confirms; None: all.
+ROUNDS = (1, None)
 _MIX = np.uint64(0xFF51AFD7ED558CCD)
 #: Remembered word hashes of a Python worker.
 REMEMBERED = 500_000
@@ -90,15 +97,38 @@ def signature(shingles: np.ndarray) -> bytes:
     return (low ^ (low >> np.uint32(16))).astype(">u2").tobytes()
 
 
+def profile(shingles: np.ndarray) -> bytes:
+    """For each bin, 0 if no hash falls into it, else 1 to 255 from the smallest one."""
+    out = np.zeros(BINS, np.uint8)
+    back = shingles[::-1]  # the smallest hash of a bin is written last
+    out[(back * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - 8)] = 1 + ((back * _MIX) >> np.uint64(33)) % np.uint64(255)
+    return out.tobytes()
+
+
+def likely(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(whether pairs of profiles may be similar enough, their estimated similarity).
+
+    A bin tells whether one hash of the union, drawn without replacement, lies in both sets, so of a union hardly larger
+    than the number of filled bins the estimate is nearly exact.
+    """
+    limit = percent / 100
+    filled = np.maximum(((a | b) != 0).sum(axis=1), 1)
+    same = ((a == b) & (a != 0)).sum(axis=1) / filled
+    union = np.maximum((na + nb) / (1 + limit), filled + 1)
+    # 255 values: unequal hashes look the same once in 255 times, so estimates err upwards only
+    spread = np.sqrt(limit * (1 - limit) / filled * (1 - filled / union) + 0.25 / filled ** 2)
+    return same >= limit - SIGMAS * spread, same
+
+
 def sketches(docs: DataFrame, id: str, text: str, size: int, *more: Column) -> DataFrame:
-    """(doc_id, more columns, n, h1, h2, signature): size and 128-bit hash of every set."""
+    """(doc_id, more columns, n, h1, h2, signature, profile): size and 128-bit hash of every set."""
     slim = docs.select(col(id).alias("doc_id"), *more, col(text).alias("text"))
     rest = slim.drop("text")
     names = rest.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ns, h1, h2, signs = [], [], [], []
+            ns, h1, h2, signs, forms = [], [], [], [], []
             for t in batch.column("text"):
                 s = shingle_set(t.as_py(), size)
                 digest = xxhash.xxh3_128_digest(s.tobytes())
@@ -106,13 +136,14 @@ def sketches(docs: DataFrame, id: str, text: str, size: int, *more: Column) -> D
                 h1.append(int.from_bytes(digest[:8], "big", signed=True))
                 h2.append(int.from_bytes(digest[8:], "big", signed=True))
                 signs.append(signature(s) if len(s) else None)
+                forms.append(profile(s) if len(s) else None)
             added = {"n": pa.array(ns, pa.int64()), "h1": pa.array(h1, pa.int64()),
-                     "h2": pa.array(h2, pa.int64()), "signature": pa.array(signs, pa.binary())}
+                     "h2": pa.array(h2, pa.int64()), "signature": pa.array(signs, pa.binary()), "profile": pa.array(forms, pa.binary())}
             kept = {c: batch.column(c) for c in names}
             yield pa.RecordBatch.from_pydict(kept | added)
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rest.schema)
-    return slim.mapInArrow(run, f"{schema}, n bigint, h1 bigint, h2 bigint, signature binary")
+    return slim.mapInArrow(run, f"{schema}, n bigint, h1 bigint, h2 bigint, signature binary, profile binary")
 
 
 def keys(signs: Column) -> Column:
@@ -128,46 +159,91 @@ def keys(signs: Column) -> Column:
     return F.array(*out)
 
 
-def distance(a: Column, b: Column) -> Column:
-    """Number of values in which two signatures differ."""
-    return F.aggregate(
-        F.sequence(F.lit(0), F.lit(VALUES - 1)), F.lit(0),
-        lambda acc, i: acc + F.when(F.substring(a, i * 2 + 1, F.lit(2)) == F.substring(b, i * 2 + 1, F.lit(2)), 0).otherwise(1),
-    )
+def first_shared(differ: np.ndarray) -> np.ndarray:
+    """Place of the first common key of pairs, from (pairs, VALUES) of which values differ; CHUNKS * CHUNK if none.
+
+    A chunk with one error is shared by the key that leaves this value out, one without error by all its keys.
+    """
+    chunks = differ.reshape(len(differ), CHUNKS, CHUNK)
+    errors = chunks.sum(axis=2)
+    fit = errors <= 1
+    at = fit.argmax(axis=1)
+    row = np.arange(len(differ))
+    place = at * CHUNK + np.where(errors[row, at] == 1, chunks[row, at].argmax(axis=1), 0)
+    return np.where(fit.any(axis=1), place, CHUNKS * CHUNK)
+
+
+def _arrays(group: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    signs = np.frombuffer(b"".join(group["signature"]), ">u2").astype(np.uint16).reshape(-1, VALUES)
+    return signs, np.frombuffer(b"".join(group["profile"]), np.uint8).reshape(-1, BINS)
 
 
-def _near(limit: int | None):
-    """Candidates of one group: pairs within the radius whose components differ; the ``limit`` closest
-    partners of every row, ties by class, and whether others were left for later rounds."""
+PAIR = "a bigint, b bigint, est double, cut int"
+
+
+def _near(limit: int | None, percent: int):
+    """Candidates of one group: pairs within the radius whose components differ, whose profiles allow it, and whose
+    first common key is one of the group's; the ``limit`` closest partners of every row, ties by class, and whether others were left."""
 
     def work(group: pd.DataFrame) -> pd.DataFrame | None:
         left, right = allowed_pairs(group)
         same = group["i"].iloc[0] == group["j"].iloc[0]
-        comp, cid = group["comp"].to_numpy(), group["cid"].to_numpy()
-        signs = np.stack([np.frombuffer(s, ">u2") for s in group["signature"]]).astype(np.uint16)
+        comp, cid, n = (group[c].to_numpy() for c in ("comp", "cid", "n"))
+        mask = int(group["low"].iloc[0]) | int(group["high"].iloc[0]) << 35
+        signs, forms = _arrays(group)
+        own = np.array([mask >> p & 1 for p in range(VALUES + 1)], bool)
         out = []
         for s in range(0, len(left), 64):
             at = left[s:s + 64]
-            differ = (signs[at][:, None, :] != signs[right][None, :, :]).sum(axis=2)
-            fine = (differ <= RADIUS) & (comp[at][:, None] != comp[right][None, :])
+            fine = comp[at][:, None] != comp[right][None, :]
             if same:
                 fine &= at[:, None] < right[None, :]
+            if not fine.any():
+                continue
+            fine &= (signs[at][:, None, :] != signs[right][None, :, :]).sum(axis=2) <= RADIUS
             x, y = np.nonzero(fine)
-            if len(x):
-                out.append((at[x], right[y], differ[x, y]))
-        if not out:
+            for e in range(0, len(x), 20_000):
+                p, q = at[x[e:e + 20_000]], right[y[e:e + 20_000]]
+                first = own[first_shared(signs[p] != signs[q])]
+                p, q = p[first], q[first]
+                good, est = likely(forms[p], forms[q], n[p], n[q], percent)
+                out.append((p[good], q[good], est[good]))
+        if not sum(len(p) for p, _, _ in out):
             return None
-        a, b, d = (np.concatenate(p) for p in zip(*out, strict=True))
-        pairs = pd.DataFrame({"a": np.minimum(cid[a], cid[b]), "b": np.maximum(cid[a], cid[b]), "dist": d, "cut": 0})
+        a, b, est = (np.concatenate(p) for p in zip(*out, strict=True))
+        pairs = pd.DataFrame({"a": np.minimum(cid[a], cid[b]), "b": np.maximum(cid[a], cid[b]), "est": est, "cut": 0})
         if limit is None:
             return pairs
-        pairs = pairs.sort_values(["dist", "a", "b"])
+        pairs = pairs.sort_values(["est", "a", "b"], ascending=[False, True, True])
         rank = np.minimum(pairs.groupby("a").cumcount(), pairs.groupby("b").cumcount())
         return pairs[rank < limit].assign(cut=int((rank >= limit).any()))
 
     return work
 
 
+def _near_two(rows: DataFrame, percent: int) -> DataFrame:
+    """Candidates of the groups of two classes; ``rows`` as for ``_near``."""
+    both = rows.groupBy("key", "low", "high").agg(
+        *[f(F.struct("cid", "n", "signature", "profile")).alias(c) for f, c in ((F.min, "x"), (F.max, "y"))]
+    )
+    wide = both.select("low", "high", *[F.col(f"{c}.{f}").alias(f"{c}_{f}") for c in "xy" for f in ("cid", "n", "signature", "profile")])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            (sx, fx), (sy, fy) = (_arrays(batch[[f"{c}_signature", f"{c}_profile"]].set_axis(["signature", "profile"], axis=1)) for c in "xy")
+            differ = sx != sy
+            place = first_shared(differ)
+            low, high = batch["low"].to_numpy(), batch["high"].to_numpy()
+            own = np.where(place < 35, low >> np.minimum(place, 34), high >> np.clip(place - 35, 0, 34)) & 1
+            good, est = likely(fx, fy, batch["x_n"].to_numpy(), batch["y_n"].to_numpy(), percent)
+            good &= (differ.sum(axis=1) <= RADIUS) & (own == 1) & (place < VALUES)
+            yield pd.DataFrame({"a": batch["x_cid"][good], "b": batch["y_cid"][good], "est": est[good], "cut": 0})
+
+    return wide.mapInPandas(run, PAIR)
+
+
 def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """(a, b) of the pairs whose full sets are similar enough. Pairs arrive sorted by ``a``, so
     the set of a class with many partners is made once."""
@@ -209,54 +285,48 @@ def near_classes(docs: DataFrame, id: str, text: str, size: int, percent: int, *
     classes = (
         rows.where("n > 0").groupBy("h1", "h2")
         .agg(F.min("doc_id").alias("doc_id"), F.max("signature").alias("signature"),
-             F.min(F.struct("hid", "htext")).alias("row"))
-        .select(F.monotonically_increasing_id().alias("cid"), "h1", "h2", "doc_id", "signature", "row.hid", "row.htext")
+             F.min(F.struct("hid", "htext")).alias("row"), F.max("profile").alias("profile"), F.max("n").alias("n"))
+        .select(F.monotonically_increasing_id().alias("cid"), "h1", "h2", "doc_id", "n", "signature", "profile", "row.hid", "row.htext")
     )
     classes = materialise(classes, "classes")
-    signs = classes.select("cid", "signature")
-    index = signs.select("cid", F.explode(keys(F.col("signature"))).alias("key"))
+    signs = classes.select("cid", "n", "signature", "profile")
+    index = classes.select("cid", F.posexplode(keys(F.col("signature"))).alias("place", "key"))
     shared = index.groupBy("key").agg(F.min("cid").alias("hub"), F.max("cid").alias("most")).where("hub < most")
     members = materialise(index.join(shared.select("key", "hub"), "key"), "members")
-    star = members.where("cid <> hub").select(F.col("hub").alias("a"), F.col("cid").alias("b")).distinct()
-    first = signs.select(F.col("cid").alias("a"), F.col("signature").alias("sa"))
-    second = signs.select(F.col("cid").alias("b"), F.col("signature").alias("sb"))
-    star = star.join(second, "b").join(first, "a").select("a", "b", distance(F.col("sa"), F.col("sb")).alias("dist"))
-    star = materialise(star.where(F.col("dist") <= RADIUS), "star")
+    hubs = members.where("cid <> hub").groupBy(F.col("cid").alias("b")).agg(F.min("hub").alias("x"), F.max("hub").alias("y"))
+    tried = materialise(hubs.select(F.explode(F.array_distinct(F.array("x", "y"))).alias("a"), "b"), "tried")
     involved = members.select("cid").distinct()
     texts = _texts(docs, classes.join(involved, "cid").select("hid", "htext", "cid"), id, text)
-
-    best = star.groupBy("b").agg(F.min(F.struct("a", "dist")).alias("best")).select(F.col("best.a").alias("a"), "b")
-    tried = materialise(best, "tried")
     links = materialise(_confirmed(tried, texts, size, percent), "near-links")
     roots = components(links)
-    step = 0
-    while True:
-        placed = members.select("key", "cid").join(roots.withColumnRenamed("id", "cid"), "cid", "left").select(
-            "key", "cid", F.coalesce("root", "cid").alias("comp")
+    for limit in ROUNDS:
+        placed = members.select("key", "place", "cid").join(roots.withColumnRenamed("id", "cid"), "cid", "left").select(
+            "key", "place", "cid", F.coalesce("root", "cid").alias("comp")
         )
+        bit = lambda p: F.expr(f"shiftleft(1L, {p})")
         mixed = placed.groupBy("key").agg(
-            F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n"),
+            F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("many"), F.min("place").alias("place"),
             F.sum(F.xxhash64("cid") % (1 << 40)).alias("h1"), F.bit_xor(F.xxhash64("cid", F.lit(1))).alias("h2"),
-        ).where("lo < hi and n > 2")
-        mixed = mixed.groupBy("n", "h1", "h2").agg(F.min("key").alias("key")).select("key", "n")
-        open_rows = placed.join(mixed, "key").join(signs, "cid").select("key", "n", "cid", "comp", "signature")
-        found = map_groups(block_pairs(open_rows), _near(ROUNDS[step]), "a bigint, b bigint, dist bigint, cut int")
-        first = roots.select(F.col("id").alias("a"), F.col("root").alias("ra"))
-        second = roots.select(F.col("id").alias("b"), F.col("root").alias("rb"))
-        hubs = star.join(first, "a", "left").join(second, "b", "left").where(
-            F.coalesce("ra", "a") != F.coalesce("rb", "b")
+        ).where("lo < hi")
+        mixed = mixed.groupBy("many", "h1", "h2").agg(
+            F.min("key").alias("key"), F.bit_or(F.when(F.col("place") < 35, bit("place")).otherwise(0)).alias("low"),
+            F.bit_or(F.when(F.col("place") >= 35, bit("place - 35")).otherwise(0)).alias("high"),
+        ).select("key", "many", "low", "high")
+        open_rows = placed.drop("place").join(mixed, "key").join(signs, "cid").select(
+            "key", "many", "low", "high", "cid", "comp", "n", "signature", "profile"
         )
-        both = found.select("a", "b", "cut").union(hubs.select("a", "b", F.lit(0).alias("cut")))
-        found = materialise(both.groupBy("a", "b").agg(F.max("cut").alias("cut")), "near-candidates")
-        cut = found.agg(F.max("cut")).first()[0]
+        open_rows = materialise(open_rows, "near-open")
+        blocks = block_pairs(open_rows.where("many > 2").withColumnRenamed("n", "size").withColumnRenamed("many", "n"))
+        found = map_groups(blocks.withColumnRenamed("size", "n"), _near(limit, percent), PAIR)
+        found = found.union(_near_two(open_rows.where("many = 2"), percent))
+        found = materialise(found.groupBy("a", "b").agg(F.max("cut").alias("cut")), "near-candidates")
         new = materialise(found.join(tried, ["a", "b"], "left_anti").select("a", "b"), "near-new")
         if not new.isEmpty():
             links = materialise(links.union(_confirmed(new, texts, size, percent)), "near-links")
             tried = materialise(tried.union(new), "tried")
             roots = components(links)
-        if not cut:  # these were all candidates, and joining components adds none
+        if found.where("cut > 0").isEmpty():  # these were all candidates, and joining components adds none
             break
-        step = min(step + 1, len(ROUNDS) - 1)
     placed = classes.join(roots.withColumnRenamed("id", "cid"), "cid", "left").select(
         "h1", "h2", "doc_id", F.coalesce("root", "cid").alias("root")
     )

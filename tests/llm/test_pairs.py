@@ -264,3 +264,30 @@ def test_pipeline(spark, odd, empty, documents, tmp_path):
             if stage == "secrets":
                 assert docs.count() == before.count()
         assert docs.where("not exact").count() == 0 and docs.count() == before.count()
+
+
+def test_profiles_keep_similar_pairs():
+    """Estimates of pairs at exactly the limit, from small to large sets, are hardly ever refused."""
+    rng = np.random.default_rng(6)
+    for size in (9, 45, 180, 900, 4500):
+        both, own = size * 8 // 9, size // 9  # similarity 8 / 10
+        refused = loose = 0
+        for _ in range(300):
+            h = rng.integers(0, 1 << 63, both + 2 * own, dtype=np.uint64)
+            a, b = np.sort(h[:both + own]), np.sort(np.concatenate([h[:both], h[both + own:]]))
+            fa, fb = (np.frombuffer(minhash.profile(x), np.uint8)[None] for x in (a, b))
+            refused += not minhash.likely(fa, fb, np.array([len(a)]), np.array([len(b)]), 80)[0][0]
+            c = np.sort(np.concatenate([h[:both // 2], rng.integers(0, 1 << 63, both // 2 + own, dtype=np.uint64)]))
+            fc = np.frombuffer(minhash.profile(c), np.uint8)[None]
+            loose += bool(minhash.likely(fa, fc, np.array([len(a)]), np.array([len(c)]), 80)[0][0])
+        assert refused == 0 and (loose == 0 or size < 45), (size, refused, loose)
+
+
+def test_first_shared_key():
+    rng = np.random.default_rng(2)
+    for _ in range(300):
+        a = rng.integers(0, 1 << 16, minhash.VALUES)
+        b = np.where(rng.random(minhash.VALUES) < rng.choice([0.1, 0.3, 0.5]), a + 1, a)
+        shared = [c * minhash.CHUNK + d for c in range(minhash.CHUNKS) for d in range(minhash.CHUNK)
+                  if all(a[c * minhash.CHUNK + e] == b[c * minhash.CHUNK + e] for e in range(minhash.CHUNK) if e != d)]
+        assert minhash.first_shared((a != b)[None])[0] == (shared[0] if shared else minhash.VALUES)
