@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from paperlake.session import sized_side
+
 # Window borders in days before the reference day, most recent window first.
 WINDOW_DAYS = ((30, 0), (90, 30), (180, 90))
 
@@ -29,3 +31,24 @@ def date_windows(items: DataFrame, day: str | Column, as_of: Column) -> DataFram
     return items.where((day >= F.date_sub(as_of, reach)) & (day <= as_of)).withColumn(
         "window_no", F.explode(window_numbers(day, as_of))
     )
+
+
+#: Days of a bucket in which items and reference days meet.
+BUCKET_DAYS = 30
+
+
+def date_windows_of(items: DataFrame, day: str, days: DataFrame) -> DataFrame:
+    """Items in the windows of each reference day: columns of ``items``, ``as_of`` and ``window_no``.
+
+    ``days`` (as_of) may hold any number of days. Items and days meet by equality of a bucket of days, of which a
+    reference day reaches a fixed number, and the windows' borders are tested there; so no item is compared with a day
+    whose windows lie elsewhere.
+    """
+    reach = max(old for old, _ in WINDOW_DAYS)
+    bucket = lambda c: F.floor(F.unix_date(c) / BUCKET_DAYS)
+    asked = days.select("as_of").where(F.col("as_of").isNotNull()).distinct()
+    reached = asked.select(
+        "as_of", F.explode(F.sequence(bucket(F.date_sub("as_of", reach)), bucket(F.col("as_of")))).alias("_bucket")
+    )
+    met = items.withColumn("_bucket", bucket(F.col(day))).join(sized_side(reached), "_bucket").drop("_bucket")
+    return met.withColumn("window_no", F.explode(window_numbers(F.col(day), F.col("as_of"))))

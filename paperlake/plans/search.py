@@ -9,8 +9,8 @@ from paperlake.functions.text import title_key
 from paperlake.operators import match
 from paperlake.operators.queries import fetch_bound, per_query_budget, run_queries
 from paperlake.operators.ranking import first_wins, prefix_cap
-from paperlake.operators.windows import date_windows
-from paperlake.session import materialise
+from paperlake.operators.windows import date_windows_of
+from paperlake.session import materialise, sized_side
 
 UNION_ORDER = ["source_no", "query_no", "step_no", "position", "paper_id"]
 
@@ -63,49 +63,58 @@ def query_papers(union: DataFrame, limits: DataFrame, most: dict[str, int]) -> D
 
 
 def feed_window_items(
-    items: DataFrame, as_of: Column, page_size: int = 100, max_pages: int = 8
+    items: DataFrame, days: DataFrame, page_size: int = 100, max_pages: int | None = None
 ) -> DataFrame:
-    """Feed items by server and date window, as many as the page bound of a window admits.
+    """Feed items in the date windows of each reference day of ``days`` (as_of).
 
-    The bound counts items before any keyword filter. It is the feed's fetch bound, not a limit
-    on matches, and holds for all runs alike.
+    With ``max_pages`` only so many pages of a server's window are taken, counted before any keyword filter: the
+    bound of a live feed. A landed feed needs none and is read whole.
     """
+    placed = date_windows_of(items, "published", days)
+    if max_pages is None:
+        return placed
     return prefix_cap(
-        date_windows(items, "published", as_of),
-        ["server_no", "window_no"], ["feed_pos", "paper_id"], page_size * max_pages,
+        placed, ["as_of", "server_no", "window_no"], ["feed_pos", "paper_id"], page_size * max_pages,
     )
 
 
+def feed_matches(runs: DataFrame, once: DataFrame) -> DataFrame:
+    """Items of the feed that hold a filter word of a run: (run_id, paper_id, places, matches).
+
+    ``runs`` holds as_of. Words are looked up once, however many reference days an item belongs to.
+    """
+    texts = once.select("paper_id", "title", "abstract").dropDuplicates(["paper_id"])
+    places = once.select("as_of", "paper_id", "server_no", "window_no", "feed_pos")
+    hits = match.substring_hits(runs, match.word_index(texts))
+    return hits.join(sized_side(runs.select("run_id", "as_of")), "run_id").join(places, ["as_of", "paper_id"])
+
+
 def preprint_papers(
     runs: DataFrame, items: DataFrame, limits: DataFrame, most: dict[str, int]
 ) -> DataFrame:
     """Preprints of each run that has the source switched on.
 
-    ``items`` comes from :func:`feed_window_items`. Both servers share one cap per run; an item
+    ``items`` comes from :func:`feed_window_items`, ``runs`` holds as_of. Both servers share one cap per run; an item
     that lies in two windows counts once.
     """
     wanted = runs.where(~F.col("no_preprint"))
     caps = limits.select("run_id", F.greatest("budget", F.lit(50)).alias("cap"))
     slots_at_most = max(most["budget"], 50)
     order = ["server_no", "window_no", "feed_pos", "paper_id"]
-    # At most the page bound of items per server and window, read by several branches below.
-    once = materialise(first_wins(items, ["paper_id"], order), "feed")
-    places = once.select("paper_id", "server_no", "window_no", "feed_pos")
-
-    matched = match.substring_hits(wanted, match.word_index(once)).join(places, "paper_id")
+    once = materialise(first_wins(items, ["as_of", "paper_id"], order), "feed")
     capped = prefix_cap(
-        matched.join(caps, "run_id"), ["run_id"], order, F.col("cap"), rank_name="position",
+        feed_matches(wanted, once).join(caps, "run_id"), ["run_id"], order, F.col("cap"), rank_name="position",
         most=slots_at_most,
     )
 
-    # A run without keywords takes the head of the feed: position k of the run meets item k.
-    free = match.unfiltered_runs(wanted).select("run_id").join(caps, "run_id")
+    # A run without keywords takes the head of its day's feed: position k of the run meets item k.
+    free = match.unfiltered_runs(wanted).select("run_id", "as_of").join(caps, "run_id")
     head = prefix_cap(
-        places.orderBy(*order).limit(slots_at_most).withColumn("_all", F.lit(1)),
-        ["_all"], order, slots_at_most, rank_name="position",
+        once.select("as_of", "paper_id", "server_no", "window_no", "feed_pos"), ["as_of"], order, slots_at_most,
+        rank_name="position", most=slots_at_most,
     )
     slots = free.withColumn("position", F.explode(F.sequence(F.lit(1), F.col("cap"))))
-    unfiltered = slots.join(head, "position").withColumn("matches", F.lit(0).cast("long"))
+    unfiltered = slots.join(head, ["as_of", "position"]).withColumn("matches", F.lit(0).cast("long"))
     columns = ["run_id", "paper_id", "server_no", "window_no", "position", "matches"]
     return capped.select(*columns).unionByName(unfiltered.select(*columns))
 
@@ -154,7 +163,11 @@ def search(
     as_of: Column | None = None,
     responses: DataFrame | None = None,
 ) -> DataFrame:
-    """(run_id, paper_no, paper_id, …): the papers of every run."""
+    """(run_id, paper_no, paper_id, …): the papers of every run.
+
+    ``as_of``, an expression over ``runs``, is the day a run's windows of the feed count back from; each run may
+    have its own.
+    """
     queries = materialise(run_queries(runs, responses), "queries")
     limits = materialise(budgets(runs, queries), "limits")
     most = largest(limits)
@@ -162,7 +175,8 @@ def search(
     titles = corpus.select("paper_id", "title")
     second = None
     if preprints is not None:
-        second = preprint_papers(runs, feed_window_items(preprints, as_of), limits, most)
+        dated = runs.withColumn("as_of", as_of)
+        second = preprint_papers(dated, feed_window_items(preprints, dated.select("as_of")), limits, most)
         titles = titles.unionByName(preprints.select("paper_id", "title"))
     return select_papers(unique_titles(ordered_union(by_query, second), titles), runs, most)
 
@@ -176,5 +190,19 @@ def step_counters(union: DataFrame, unique: DataFrame) -> DataFrame:
 
 
 def window_counters(items: DataFrame) -> DataFrame:
-    """Per server and window: items scanned."""
-    return items.groupBy("server_no", "window_no").agg(F.count("*").alias("scanned"))
+    """Per reference day, server and window: items scanned."""
+    return items.groupBy("as_of", "server_no", "window_no").agg(F.count("*").alias("scanned"))
+
+
+def run_window_counters(runs: DataFrame, items: DataFrame) -> DataFrame:
+    """Per run with filter words, server and window of its day: items scanned, items that match, and those of them
+    that no earlier window had. ``runs`` holds as_of."""
+    order = ["server_no", "window_no", "feed_pos", "paper_id"]
+    items = materialise(items, "feed")
+    matched = materialise(feed_matches(runs, items).select("run_id", *order), "matched")
+    keys = ["run_id", "server_no", "window_no"]
+    counts = matched.groupBy(*keys).agg(F.count("*").alias("matched"))
+    new = first_wins(matched, ["run_id", "paper_id"], order).groupBy(*keys).agg(F.count("*").alias("new"))
+    asked = runs.join(match.unfiltered_runs(runs).select("run_id"), "run_id", "left_anti").select("run_id", "as_of")
+    every = asked.join(sized_side(window_counters(items)), "as_of").drop("as_of")
+    return every.join(counts, keys, "left").join(new, keys, "left").fillna(0, ["matched", "new"])

@@ -2,18 +2,15 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperlake.functions.text import key_name
 from paperlake.operators.rows import one_row_each
 
-#: Most columns a wide output may have; more means keys are data, not names.
-MAX_COLUMNS = 5000
-
-
 def record_keys(records: DataFrame) -> DataFrame:
     """(key): distinct record keys without internal ones."""
     return (
@@ -24,10 +21,11 @@ def record_keys(records: DataFrame) -> DataFrame:
 
 
 def ordered_columns(records: DataFrame, fields: Sequence[str]) -> list[str]:
-    """Requested fields that occur, then the other keys in alphabetical order."""
-    found = {r["key"] for r in record_keys(records).limit(MAX_COLUMNS + 1).toLocalIterator()}
-    if len(found) > MAX_COLUMNS:
-        raise ValueError(f"more than {MAX_COLUMNS} different keys; write JSON instead")
+    """Requested fields that occur, then the other keys in alphabetical order.
+
+    The names are what a header holds in one line, so the driver never holds more than the header.
+    """
+    found = {r["key"] for r in record_keys(records).toLocalIterator()}
     spark = records.sparkSession
     names = spark.range(1).select(
         F.array_distinct(F.transform(F.array(*map(F.lit, fields)), key_name))
@@ -36,6 +34,16 @@ def ordered_columns(records: DataFrame, fields: Sequence[str]) -> list[str]:
     return asked + sorted(found - set(asked))
 
 
+def names_array(columns: Sequence[str]) -> Column:
+    """The names as one constant array, however many there are."""
+    return F.from_json(F.lit(json.dumps(list(columns))), "array<string>")
+
+
+def cells(columns: Sequence[str]) -> Column:
+    """A record's values by position, NULL where it lacks the key: one array instead of a column per key."""
+    return F.transform(names_array(columns), lambda k: F.col("fields")[k])
+
+
 def wide(records: DataFrame, columns: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
     """One text column per key, NULL where a record lacks it."""
     return records.select(*keep, *[F.col("fields")[k].alias(k) for k in columns])

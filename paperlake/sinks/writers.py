@@ -1,4 +1,9 @@
-"""CSV, JSON and text output. All writers keep record order across the part files."""
+"""CSV, JSON and text output.
+
+Records are written in order across the part files, whose names sort in that order: the parts put one after the other are the
+file a single writer would give. So a CSV has one header, in its first part, and a JSON array opens in the first
+part and closes in the last. Each writer reads its records once; Spark's commit makes all parts visible together.
+"""
 
 from __future__ import annotations
 
@@ -8,7 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperlake.operators.ranking import number_rows
-from paperlake.sinks.columns import ordered_columns
+from paperlake.session import materialise
+from paperlake.sinks.columns import cells, names_array, ordered_columns
 
 ORDER = ("run_id", "paper_no", "element_no")
 RULE = "─" * 60
@@ -21,39 +27,46 @@ def csv_cell(value: Column) -> Column:
     return F.when(text.rlike('[",\r\n]'), quoted).otherwise(text)
 
 
+def _write_lines(lines: DataFrame, order: Sequence[str], path: str, end: str, before: Column | None = None,
+                 after: Column | None = None) -> None:
+    """Write ``line`` in ``order``, with one line before all others and one after them."""
+    whole = lines.withColumn("_at", F.lit(1))
+    blank = lines.limit(0)
+    spark = lines.sparkSession
+    for at, line in ((0, before), (2, after)):
+        if line is not None:
+            row = spark.range(1).select(*[F.lit(None).cast(t).alias(c) for c, t in blank.dtypes if c != "line"], line.alias("line"))
+            whole = whole.unionByName(row.withColumn("_at", F.lit(at)))
+    whole.orderBy("_at", *order).select("line").write.option("lineSep", end).text(path)
+
+
 def write_csv(
     records: DataFrame, fields: Sequence[str], path: str, order: Sequence[str] = ORDER
 ) -> bool:
-    """CSV with a header in each part file, missing values empty, CRLF after each record.
+    """CSV with one header, missing values empty, CRLF after each record; any number of keys.
 
     Written as text: the CSV writer would turn line breaks inside values into CRLF, too.
     """
+    records = materialise(records.select(*order, "fields"), "csv-records")
     if records.isEmpty():
         return False
     columns = ordered_columns(records, fields)
-    header = ",".join(
-        '"' + c.replace('"', '""') + '"' if any(m in c for m in ',"\r\n') else c for c in columns
-    )
-    cells = [csv_cell(F.col("fields")[c]) for c in columns]
-    line = F.concat_ws(",", *cells)
+    line = F.array_join(F.transform(cells(columns), csv_cell), ",")
     if len(columns) == 1:
         line = F.when(line == "", F.lit('""')).otherwise(line)
-    # The low 33 bits number the rows of a partition; its first row carries the header.
-    starts_part = F.expr("monotonically_increasing_id() & 8589934591") == 0
-    shown = F.when(starts_part, F.concat(F.lit(header + "\r\n"), line)).otherwise(line)
-    records.orderBy(*order).select(shown).write.option("lineSep", "\r\n").text(path)
+    header = F.array_join(F.transform(names_array(columns), csv_cell), ",")
+    _write_lines(records.select(*order, line.alias("line")), order, path, "\r\n", before=header)
     return True
 
 
 def write_json(
-    records: DataFrame, path: str, include_internal: bool = False, order: Sequence[str] = ORDER
+    records: DataFrame, path: str, include_internal: bool = False, order: Sequence[str] = ORDER, array: bool = False
 ) -> bool:
-    """JSON lines, one object per record with the keys it has.
+    """JSON lines, or one JSON array with a record on each line; an object holds the keys its record has.
 
-    The keys need not be known beforehand, so nothing is gathered on the driver.
+    The keys need not be known beforehand, so nothing is gathered on the driver. For an array, ``order`` must
+    identify a record: the first one has no comma before it.
     """
-    if records.isEmpty():
-        return False
     fields = F.col("fields")
     if include_internal:
         fields = F.map_concat(
@@ -63,7 +76,18 @@ def write_json(
         )
     else:
         fields = F.map_filter(fields, lambda k, _: ~F.startswith(k, F.lit("_")))
-    records.orderBy(*order).select(F.to_json(fields)).write.text(path)
+    lines = materialise(records.select(*order, F.to_json(fields).alias("line")), "json-lines")
+    if lines.isEmpty():
+        return False
+    if not array:
+        _write_lines(lines, order, path, "\n")
+        return True
+    first = lines.agg(F.min(F.struct(*order)).alias("f")).first()["f"]
+    opens = F.lit(True)
+    for c in order:
+        opens = opens & F.col(c).eqNullSafe(F.lit(first[c]))
+    lines = lines.withColumn("line", F.concat(F.when(opens, " ").otherwise(","), "line"))
+    _write_lines(lines, order, path, "\n", before=F.lit("["), after=F.lit("]"))
     return True
 
 
@@ -71,14 +95,16 @@ def write_text(
     records: DataFrame, fields: Sequence[str], path: str, order: Sequence[str] = ORDER
 ) -> bool:
     """Framed, numbered records; numbers start at 1 in each run."""
+    records = materialise(records.select(*order, "fields"), "text-records")
     if records.isEmpty():
         return False
     columns = ordered_columns(records, fields)
-    lines = [
-        F.format_string("  %-26s: %s", F.lit(c), F.coalesce(F.col("fields")[c], F.lit("")))
-        for c in columns
-    ]
+    shown = F.zip_with(
+        names_array(columns), cells(columns),
+        lambda k, v: F.format_string("  %-26s: %s", k, F.coalesce(v, F.lit(""))),
+    )
     numbered = number_rows(records, list(order[:1]), list(order[1:]))
     head = F.format_string(f"{RULE}\nRecord %d\n{RULE}", "record_no")
-    numbered.orderBy(*order).select(F.concat_ws("\n", head, *lines, F.lit(""))).write.text(path)
+    framed = F.concat(head, F.lit("\n"), F.array_join(shown, "\n"), F.lit("\n"))
+    _write_lines(numbered.select(*order, framed.alias("line")), order, path, "\n")
     return True

@@ -39,9 +39,12 @@ def malformed_pages(spark: SparkSession, path: str) -> DataFrame:
 
 
 def by_number(path: Column) -> Column:
-    """A path whose numbers are padded to 20 digits, so that page 2 sorts before page 10."""
-    padded = F.regexp_replace(path, "([0-9]+)", "0" * 20 + "$1")
-    return F.regexp_replace(padded, "[0-9]*([0-9]{20})(?![0-9])", "$1").alias("number")
+    """A key by which page 2 sorts before page 10: each number of a path stands behind its count of digits."""
+    parts = F.regexp_extract_all(path, F.lit("[0-9]+|[^0-9]+"), F.lit(0))
+    key = F.transform(parts, lambda p: F.when(
+        p.rlike("^[0-9]"), F.concat(F.lpad(F.length(F.ltrim(p, F.lit("0"))).cast("string"), 10, "0"), F.ltrim(p, F.lit("0")))
+    ).otherwise(p))
+    return F.array_join(key, "").alias("number")
 
 
 def items_to_papers(items: DataFrame) -> DataFrame:

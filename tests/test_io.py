@@ -112,10 +112,9 @@ def test_column_order(spark):
 
 def test_csv_reads_back_with_a_csv_reader(spark, tmp_path):
     assert writers.write_csv(records(spark), ["title", "b"], str(tmp_path / "csv"))
-    rows = []
-    for text in parts(tmp_path / "csv"):
-        rows += list(csv.DictReader(io.StringIO(text, newline="")))
-    assert rows == [{c: r.get(c, "") for c in ORDER} for r in RECORDS]
+    whole = "".join(parts(tmp_path / "csv"))
+    rows = list(csv.DictReader(io.StringIO(whole, newline="")))
+    assert whole.count("title,b,") == 1 and rows == [{c: r.get(c, "") for c in ORDER} for r in RECORDS]
     assert "\r\n" in parts(tmp_path / "csv")[0]
 
 
@@ -129,6 +128,23 @@ def test_json(spark, tmp_path):
     assert lines == [{**r, "_source_url": f"u{i}", "_source": "arXiv"} for i, r in enumerate(RECORDS)]
 
 
+def test_json_array_is_one_document(spark, tmp_path):
+    many = [{"title": str(i), "_h": "x"} for i in range(300)]
+    assert writers.write_json(records(spark, many).repartition(7), str(tmp_path / "a"), array=True)
+    assert json.loads("".join(parts(tmp_path / "a"))) == [{"title": str(i)} for i in range(300)]
+    assert writers.write_json(records(spark, many[:1]), str(tmp_path / "b"), array=True)
+    assert json.loads("".join(parts(tmp_path / "b"))) == [{"title": "0"}]
+
+
+def test_twenty_thousand_keys(spark, tmp_path):
+    rows = [{f"k{i:05}": str(i) for i in range(r, 20_000, 4)} for r in range(4)]
+    assert writers.write_csv(records(spark, rows), ["k00003"], str(tmp_path / "w"))
+    got = list(csv.reader(io.StringIO("".join(parts(tmp_path / "w")), newline="")))
+    names = ["k00003", *[f"k{i:05}" for i in range(20_000) if i != 3]]
+    assert got == [names, *[[r.get(k, "") for k in names] for r in rows]]
+    assert columns.preview(records(spark, rows), ["k00001", "k00000"], ["paper_no"]).columns == ["paper_no", "k00001", "k00000"]
+
+
 def test_text(spark, tmp_path):
     assert writers.write_text(records(spark), ["title", "b"], str(tmp_path / "t"))
     rule, want = "─" * 60, ""

@@ -116,27 +116,30 @@ PREPRINTS = f"""pre AS MATERIALIZED (
     DATE '2024-06-30' - (page_id * 7 % 200)::INT AS published,
     (page_id % 2)::INT AS server_no, page_id AS feed_pos
   FROM pages),
+run_days AS (SELECT item_id AS run_id, RUN_DAY AS as_of FROM benchmark),
 windowed AS (
-  SELECT * FROM (
-    SELECT pre.*, window_no, row_number() OVER (PARTITION BY server_no, window_no ORDER BY feed_pos) AS n
-    FROM pre JOIN (VALUES (0, 30, 0), (1, 90, 30), (2, 180, 90)) w(window_no, old, new)
-      ON published BETWEEN DATE '2024-06-30' - old AND DATE '2024-06-30' - new)
-  WHERE n <= 800)"""
+  SELECT pre.*, as_of, window_no, row_number() OVER (PARTITION BY as_of, server_no, window_no ORDER BY feed_pos) AS n
+  FROM (SELECT DISTINCT as_of FROM run_days) d, pre
+  JOIN (VALUES (0, 30, 0), (1, 90, 30), (2, 180, 90)) w(window_no, old, new)
+    ON published BETWEEN d.as_of - old AND d.as_of - new)"""
+
+ONE_DAY, OWN_DAY = "DATE '2024-06-30'", "DATE '2024-06-30' - (item_id % 5 * 20)::INT"
 
 SECOND = f"""{PREPRINTS},
 once AS MATERIALIZED (
   SELECT * FROM (
-    SELECT *, row_number() OVER (PARTITION BY paper_id ORDER BY server_no, window_no, feed_pos) AS r
+    SELECT *, row_number() OVER (PARTITION BY as_of, paper_id ORDER BY server_no, window_no, feed_pos) AS r
     FROM windowed) WHERE r = 1),
 wanted AS MATERIALIZED (
   SELECT run_id, budget, CASE WHEN len({kw('prompt')}) > 0 THEN {kw('prompt')}
     ELSE list_transform(list_filter({split('prompt')}, lambda w: length(w) > 2), lambda w: lower(w)) END AS k
-  FROM runs WHERE NOT no_preprint),
+  , as_of FROM runs JOIN run_days USING (run_id) WHERE NOT no_preprint),
 second_union AS (
   SELECT run_id, paper_id, server_no + 2 AS source_no, 0 AS query_no, window_no AS step_no, position FROM (
     SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY server_no, window_no, feed_pos) AS position
     FROM wanted JOIN once
-      ON len(k) = 0 OR len(list_filter(k, lambda w: contains(lower(title || ' ' || abstract), w))) >= 1)
+      ON wanted.as_of = once.as_of
+      AND (len(k) = 0 OR len(list_filter(k, lambda w: contains(lower(title || ' ' || abstract), w))) >= 1))
   WHERE position <= budget)"""
 
 DAY = "(DATE '2020-01-01' + (n_chars % 1000)::INT)"
@@ -301,9 +304,10 @@ SELECT paper_id, attempt::INT AS attempt, {INSTRUCTION} || chr(10) || 'Keys: tit
 FROM full_docs, range(2) t(attempt)""",
     "match_strategies": f"WITH {HITS} SELECT run_id, query_no, paper_id, strategy_no, matched FROM hits",
     "phrase_match": f"""WITH {DOCS},
-p AS (SELECT item_id AS run_id, array_to_string(list_filter({split('lower(text)')},
-    lambda w: list_contains({STOP}, w))[1:3], ' ') AS phrase FROM benchmark)
-SELECT run_id, paper_id FROM p JOIN docs
+l AS (SELECT item_id AS run_id, string_split(array_to_string(list_transform({split('lower(text)')},
+    lambda w: CASE WHEN list_contains({STOP}, w) THEN w ELSE '|' END), ' '), '|') AS l FROM benchmark),
+p AS (SELECT run_id, (unnest(range(len(l))))::INT AS query_no, trim(unnest(l)) AS phrase FROM l)
+SELECT run_id, query_no, paper_id FROM p JOIN docs
   ON contains(lower(title), phrase) OR contains(lower(abstract), phrase) WHERE phrase <> ''""",
     "substring_filter": f"""WITH {RUNS}, {DOCS},
 k AS (SELECT run_id, {kw('prompt')} AS k FROM runs),
@@ -320,14 +324,31 @@ SELECT run_id, paper_no, paper_id, query_no, step_no FROM selected""",
 both_sources AS (SELECT * FROM first_union UNION ALL SELECT * FROM second_union),
 titles AS (SELECT paper_id, title FROM docs UNION ALL SELECT paper_id, title FROM pre),
 {finish('both_sources', 'titles')}
-SELECT run_id, paper_no, paper_id, source_no, step_no FROM selected""",
+SELECT run_id, paper_no, paper_id, source_no, step_no FROM selected""".replace("RUN_DAY", ONE_DAY),
+    "daily_search": f"""WITH {SEARCH}, {SECOND},
+both_sources AS (SELECT * FROM first_union UNION ALL SELECT * FROM second_union),
+titles AS (SELECT paper_id, title FROM docs UNION ALL SELECT paper_id, title FROM pre),
+{finish('both_sources', 'titles')}
+SELECT run_id, paper_no, paper_id, source_no, step_no FROM selected""".replace("RUN_DAY", OWN_DAY),
     "search_counters": f"""WITH {SEARCH}, {finish('first_union', 'docs')},
 n AS (SELECT run_id, source_no, query_no, step_no, count(*) AS c FROM unique_titles GROUP BY ALL)
 SELECT run_id, source_no, query_no, step_no, matched, coalesce(c, 0) AS new_unique
 FROM (SELECT run_id, source_no, query_no, step_no, count(*) AS matched FROM first_union GROUP BY ALL)
 LEFT JOIN n USING (run_id, source_no, query_no, step_no)""",
     "window_counters": f"""WITH {PREPRINTS}
-SELECT server_no, window_no, count(*) AS scanned FROM windowed GROUP BY ALL""",
+SELECT as_of, server_no, window_no, count(*) AS scanned FROM windowed GROUP BY ALL""".replace("RUN_DAY", OWN_DAY),
+    "bounded_window_counters": f"""WITH {PREPRINTS}
+SELECT as_of, server_no, window_no, count(*) AS scanned FROM windowed WHERE n <= 10 GROUP BY ALL""".replace("RUN_DAY", OWN_DAY),
+    "run_window_counters": f"""WITH {RUNS}, {SECOND},
+scanned AS (SELECT as_of, server_no, window_no, count(*) AS scanned FROM windowed GROUP BY ALL),
+hit AS (
+  SELECT run_id, server_no, window_no, paper_id,
+    row_number() OVER (PARTITION BY run_id, paper_id ORDER BY server_no, window_no, feed_pos) AS r
+  FROM wanted JOIN windowed ON wanted.as_of = windowed.as_of
+    AND len(list_filter(k, lambda w: contains(lower(title || ' ' || abstract), w))) >= 1)
+SELECT run_id, s.server_no, s.window_no, scanned, count(paper_id) AS matched, count(*) FILTER (r = 1) AS new
+FROM wanted JOIN scanned s USING (as_of) LEFT JOIN hit USING (run_id, server_no, window_no)
+WHERE len(k) > 0 GROUP BY ALL""".replace("RUN_DAY", OWN_DAY),
     "title_dedup": f"""WITH {DOCS}
 SELECT min(paper_id) AS paper_id, title_key FROM (SELECT paper_id, {strip('lower(title)')} AS title_key FROM docs)
 WHERE title_key <> '' GROUP BY title_key""",
@@ -415,17 +436,39 @@ WHERE rn = 1""",
     "preview": f"""WITH {PARTS} SELECT paper_no, title, coalesce(part_size, '') AS part_size, authors
 FROM parts ORDER BY paper_no LIMIT 10""",
     "csv_export": f"""WITH {PARTS}
-SELECT value, count(*) AS n FROM (
-  SELECT title || ',' || coalesce(part_size, '') || ',' || authors || ',"'
-    || replace(a_key_longer_than_twenty_six, '"', '""') || '"' AS value FROM parts) GROUP BY value""",
-    "json_export": f"""WITH {PARTS} SELECT title, part_size, authors, 'internal' AS _raw, 'arXiv' AS _source,
+SELECT 0::BIGINT AS line_no, 'title,part_size,authors,a_key_longer_than_twenty_six' AS value
+UNION ALL SELECT row_number() OVER (ORDER BY run_id, paper_no), title || ',' || coalesce(part_size, '') || ',' || authors
+  || ',"' || replace(a_key_longer_than_twenty_six, '"', '""') || '"' FROM parts""",
+    "wide_csv_export": """WITH ks AS (
+  SELECT p_partkey, 'k' || lpad(p_partkey::VARCHAR, 9, '0') AS k, p_partkey <> 7 AS later FROM part),
+b AS (SELECT DISTINCT p_brand FROM part)
+SELECT 0::BIGINT AS line_no, md5(string_agg(k, ',' ORDER BY later, k)) AS value FROM ks
+UNION ALL SELECT row_number() OVER (ORDER BY p_brand), md5(line) FROM (
+  SELECT b.p_brand, string_agg(coalesce(p_name, ''), ',' ORDER BY later, k) AS line
+  FROM b CROSS JOIN ks LEFT JOIN part ON part.p_brand = b.p_brand AND part.p_partkey = ks.p_partkey GROUP BY b.p_brand)""",
+    "json_export": f"""WITH {PARTS} SELECT title, part_size, authors, a_key_longer_than_twenty_six, 'internal' AS _raw, 'arXiv' AS _source,
   'u' || paper_no AS _source_url FROM parts""",
+    "json_array_export": f"""WITH {PARTS},
+r AS (SELECT *, row_number() OVER (ORDER BY run_id, paper_no) AS no FROM parts)
+SELECT 0::BIGINT AS line_no, '[' AS mark, '' AS record
+UNION ALL SELECT no, CASE WHEN no = 1 THEN ' ' ELSE ',' END, 'a_key_longer_than_twenty_six=' || a_key_longer_than_twenty_six
+  || ';authors=' || authors || coalesce(';part_size=' || part_size, '') || ';title=' || title FROM r
+UNION ALL SELECT count(*) + 1, ']', '' FROM parts""",
+    "no_records_export": "SELECT p_partkey, false AS wrote, false AS made FROM part WHERE p_partkey <= 3",
     "text_export": f"""WITH {PARTS},
 numbered AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY paper_no) AS no FROM parts),
 lines AS (
-  SELECT unnest([repeat('─', 60), 'Record ' || no, repeat('─', 60), printf('  %-26s: %s', 'title', title),
-    printf('  %-26s: %s', 'part_size', coalesce(part_size, '')), printf('  %-26s: %s', 'authors', authors),
-    '  a_key_longer_than_twenty_six: ' || a_key_longer_than_twenty_six, '']) AS value FROM numbered)
-SELECT value, count(*) AS n FROM lines GROUP BY value""",
+  SELECT run_id, paper_no, unnest(range(8)) AS j, unnest([repeat('─', 60), 'Record ' || no, repeat('─', 60),
+    printf('  %-26s: %s', 'title', title), printf('  %-26s: %s', 'part_size', coalesce(part_size, '')),
+    printf('  %-26s: %s', 'authors', authors), '  a_key_longer_than_twenty_six: ' || a_key_longer_than_twenty_six, '']) AS value
+  FROM numbered)
+SELECT row_number() OVER (ORDER BY run_id, paper_no, j) - 1 AS line_no, value FROM lines""",
+    "response_queries": f"""WITH {RUNS},
+w AS (SELECT run_id, {split('prompt')} AS w FROM runs),
+own AS (SELECT run_id, CASE WHEN run_id % 5 IN (0, 1) THEN
+    [array_to_string(w[1:3], ' '), array_to_string(w[4:5], ' '), ''] ELSE [] END AS listed FROM w),
+l AS (SELECT run_id, len(listed) AS n, listed FROM own)
+SELECT run_id, unnest(range(n))::INT AS query_no, unnest(listed) AS query, n::INT AS n_queries FROM l WHERE n > 0
+UNION ALL SELECT run_id, query_no, query, 3 FROM (WITH {QUERIES} SELECT run_id, query_no, query FROM q) WHERE run_id % 5 NOT IN (0, 1)""",
 }
 ORACLES["harvest_stream"] = ORACLES["title_dedup"]

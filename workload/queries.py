@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from paperlake.functions import paper as pp
@@ -220,16 +220,18 @@ def match_strategies(spark, sf):
 
 @query
 def phrase_match(spark, sf):
-    """Queries of stop words only, taken from the prompts, matched as whole phrases."""
-    stop = F.filter(tx.split_words(F.lower("text")), lambda w: w.isin(STOP_WORDS))
-    phrases = table(spark, sf, "benchmark").select(
-        F.col("item_id").alias("run_id"), F.lit(0).alias("query_no"),
-        F.array_join(F.slice(stop, 1, 3), " ").alias("query"),
+    """Queries of stop words only, matched as whole phrases: every stretch of stop words of the prompts."""
+    marked = F.transform(
+        tx.split_words(F.lower("text")), lambda w: F.when(w.isin(STOP_WORDS), w).otherwise("|")
     )
+    stretches = F.transform(F.split(F.array_join(marked, " "), r"\|"), tx.strip)
+    phrases = table(spark, sf, "benchmark").select(
+        F.col("item_id").alias("run_id"), F.posexplode(stretches).alias("query_no", "query")
+    ).where(F.col("query") != "")
     papers = corpus(spark, sf)
     return match.phrase_hits(
         match.phrase_queries(phrases), papers, match.word_index(papers)
-    ).select("run_id", "paper_id")
+    ).select("run_id", "query_no", "paper_id")
 
 
 @query
@@ -272,9 +274,37 @@ def search_counters(spark, sf):
     return search.step_counters(union, search.unique_titles(union, papers))
 
 
+def run_day() -> Column:
+    """A reference day for each run, five different ones."""
+    return F.date_sub(as_of(), (F.col("run_id") % 5 * 20).cast("int"))
+
+
+@query
+def daily_search(spark, sf):
+    """The search over both sources with another reference day for every fifth run."""
+    return search.search(
+        runs(spark, sf), corpus(spark, sf), preprints(spark, sf), run_day()
+    ).select("run_id", "paper_no", "paper_id", "source_no", "step_no")
+
+
 @query
 def window_counters(spark, sf):
-    return search.window_counters(search.feed_window_items(preprints(spark, sf), as_of()))
+    days = runs(spark, sf).select(run_day().alias("as_of"))
+    return search.window_counters(search.feed_window_items(preprints(spark, sf), days))
+
+
+@query
+def bounded_window_counters(spark, sf):
+    """Windows of a feed that gives at most two pages of five items each."""
+    days = runs(spark, sf).select(run_day().alias("as_of"))
+    return search.window_counters(search.feed_window_items(preprints(spark, sf), days, page_size=5, max_pages=2))
+
+
+@query
+def run_window_counters(spark, sf):
+    """Items of each run's windows: scanned, matching and new."""
+    asked = runs(spark, sf).where(~F.col("no_preprint")).withColumn("as_of", run_day())
+    return search.run_window_counters(asked, search.feed_window_items(preprints(spark, sf), asked.select("as_of")))
 
 
 @query
@@ -624,13 +654,34 @@ def preview(spark, sf):
     return sink_columns.preview(part_records(spark, sf), PART_FIELDS, ["paper_no"])
 
 
+def written_lines(spark: SparkSession, folder: str, end: str = "\n") -> DataFrame:
+    """(line_no, value) of the part files put one after the other; every part ends with ``end``."""
+    files = spark.read.text(folder, wholetext=True).select(F.col("_metadata.file_name").alias("file"), "value")
+    pieces = F.split(F.col("value"), end, -1)  # the last one, behind the last end, is empty
+    lines = files.select("file", F.posexplode(F.slice(pieces, F.lit(1), F.size(pieces) - 1)).alias("at", "value"))
+    counts = lines.groupBy("file").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.orderBy("file")) - F.col("n")  # one row per part file
+    return lines.join(counts.select("file", before.alias("before")), "file").select(
+        (F.col("before") + F.col("at")).alias("line_no"), "value"
+    )
+
+
 @query
 def csv_export(spark, sf):
-    """Records written as CSV and read back as raw lines."""
+    """Records written as CSV: the lines of the parts put one after the other."""
     folder = scratch_path(spark, "csv")
     writers.write_csv(part_records(spark, sf), PART_FIELDS, folder)
-    lines = spark.read.option("lineSep", "\r\n").text(folder)
-    return lines.groupBy("value").agg(F.count("*").alias("n")).where(~F.startswith("value", F.lit("title,")))
+    return written_lines(spark, folder, "\r\n")
+
+
+@query
+def wide_csv_export(spark, sf):
+    """One record per brand with a key for each of its parts: as many columns as parts."""
+    entry = F.struct(F.concat(F.lit("k"), F.lpad(F.col("p_partkey").cast("string"), 9, "0")).alias("k"), F.col("p_name").alias("v"))
+    records = table(spark, sf, "part").groupBy("p_brand").agg(F.map_from_entries(F.collect_list(entry)).alias("fields"))
+    folder = scratch_path(spark, "wide")
+    writers.write_csv(records, ["K000000007", "none"], folder, order=["p_brand"])
+    return written_lines(spark, folder, "\r\n").withColumn("value", F.md5("value"))
 
 
 @query
@@ -638,13 +689,62 @@ def json_export(spark, sf):
     """Records written as JSON lines with internal keys and read back."""
     folder = scratch_path(spark, "json")
     writers.write_json(part_records(spark, sf), folder, include_internal=True)
-    schema = "title string, part_size string, authors string, _raw string, _source string, _source_url string"
+    schema = ("title string, part_size string, authors string, a_key_longer_than_twenty_six string, _raw string, "
+              "_source string, _source_url string")
     return spark.read.schema(schema).json(folder)
 
 
+@query
+def json_array_export(spark, sf):
+    """Records written as one JSON array: its lines, the objects as key and value pairs in order of keys."""
+    folder = scratch_path(spark, "array")
+    writers.write_json(part_records(spark, sf), folder, array=True)
+    lines = written_lines(spark, folder)
+    record = F.from_json(F.substr("value", F.lit(2)), "map<string,string>")
+    pairs_of = F.transform(F.array_sort(F.map_entries(record)), lambda e: F.concat_ws("=", e["key"], e["value"]))
+    return lines.select(
+        "line_no", F.left("value", F.lit(1)).alias("mark"),
+        F.coalesce(F.array_join(pairs_of, ";"), F.lit("")).alias("record"),
+    )
+
+
+@query
+def no_records_export(spark, sf):
+    """Writers given no records: what each reports, and whether it made its folder."""
+    none = part_records(spark, sf).where(F.col("paper_no") < 0)
+    folders = [scratch_path(spark, f"none-{k}") for k in range(3)]
+    wrote = [
+        writers.write_csv(none, PART_FIELDS, folders[0]), writers.write_json(none, folders[1]),
+        writers.write_text(none, PART_FIELDS, folders[2]),
+    ]
+    paths = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    made = [paths(f).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(paths(f)) for f in folders]
+    return table(spark, sf, "part").where(F.col("p_partkey") <= 3).select(
+        "p_partkey", F.lit(any(wrote)).alias("wrote"), F.lit(any(made)).alias("made")
+    )
+
+
 @query
 def text_export(spark, sf):
-    """Records written as framed text: how often each line occurs."""
+    """Records written as framed text: the lines of the parts put one after the other."""
     folder = scratch_path(spark, "text")
     writers.write_text(part_records(spark, sf), PART_FIELDS, folder)
-    return spark.read.text(folder).groupBy("value").agg(F.count("*").alias("n"))
+    return written_lines(spark, folder)
+
+
+@query
+def response_queries(spark, sf):
+    """Search queries from noisy responses, one list per prompt; a prompt without a list expands itself."""
+    asked = runs(spark, sf)
+    words = tx.split_words(F.col("prompt"))
+    listed = F.to_json(F.array(F.array_join(F.slice(words, 1, 3), " "), F.array_join(F.slice(words, 4, 2), " "), F.lit("")))
+    kind = F.col("run_id") % 5
+    say = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    text = (
+        F.when(kind == 0, say("```json\n{\"queries\": ", listed, "}\n```"))
+        .when(kind == 1, say("Sure: {\"queries\": ", listed, ", \"force\": true} done"))
+        .when(kind == 2, say("{\"queries\": []}")).when(kind == 3, say("{\"queries\": ", listed))
+        .otherwise(say("{\"other\": ", listed, "}"))
+    )
+    answers = asked.select("run_id", F.lit(0).alias("attempt"), text.alias("response"))
+    return run_queries(asked, answers)
