@@ -2,12 +2,16 @@
 
 No operator here compares every search with every paper. Token strategies are an equi-join of
 search keywords with the inverted index of the corpus; substring tests go through the
+corpus in one pass with an automaton of all needles, or, if they are too many to hand to every task, through the
 vocabulary, whose words are joined on the first letters of what is looked for. Only ids travel
 through the shuffles, never texts.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,10 +38,15 @@ def token_index(corpus: DataFrame) -> DataFrame:
     return one_row_each(corpus, ["paper_id"], both, "_t").select("paper_id", "_t.*")
 
 
-def word_index(corpus: DataFrame) -> DataFrame:
-    """(paper_id, word): distinct whitespace-separated words of the lower-cased paper."""
-    text = F.lower(F.concat_ws(" ", strip(F.col("title")), strip(F.col("abstract"))))
-    return one_row_each(corpus, ["paper_id"], F.array_distinct(split_words(text)), "word")
+def lower_texts(corpus: DataFrame) -> DataFrame:
+    """(paper_id, title, abstract), stripped and in lower case."""
+    return corpus.select("paper_id", *[F.lower(strip(F.coalesce(F.col(c), F.lit("")))).alias(c) for c in ("title", "abstract")])
+
+
+def word_index(texts: DataFrame) -> DataFrame:
+    """(paper_id, word): distinct whitespace-separated words of :func:`lower_texts`."""
+    text = F.concat_ws(" ", "title", "abstract")
+    return one_row_each(texts, ["paper_id"], F.array_distinct(split_words(text)), "word")
 
 
 # --------------------------------------------------------------------------- token strategies
@@ -117,17 +126,57 @@ def contained_in(words: DataFrame, needles: DataFrame) -> DataFrame:
     )
 
 
-def substring_papers(words: DataFrame, needles: DataFrame) -> DataFrame:
+#: Most bytes of needles that every task gets as one automaton; beyond, needles meet the vocabulary in a join.
+NEEDLE_BYTES = 16 << 20
+
+
+def _handed_out(needles: DataFrame) -> list[tuple[str, int]] | None:
+    """The needles, if their measured size allows every task to hold them."""
+    size = needles.agg(F.sum(F.octet_length("needle") + 64)).first()[0] or 0
+    return [tuple(r) for r in needles.select("needle", "needle_id").collect()] if size <= NEEDLE_BYTES else None
+
+
+def scanned(texts: DataFrame, needles: list[tuple[str, int]]) -> DataFrame:
+    """(paper_id, needle_id): needles that occur in title or abstract, each once per paper, from one pass over the texts."""
+    schema = f"paper_id {texts.schema['paper_id'].dataType.simpleString()}, needle_id bigint"
+    if not needles:
+        return texts.sparkSession.createDataFrame([], schema)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for needle, number in needles:
+            automaton.add_word(needle, number)
+        automaton.make_automaton()
+        for batch in batches:
+            rows, found = [], []
+            for k, (title, abstract) in enumerate(zip(batch.column("title"), batch.column("abstract"), strict=True)):
+                hits = {n for text in (title.as_py(), abstract.as_py()) for _, n in automaton.iter(text)}
+                rows += [k] * len(hits)
+                found += hits
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("paper_id").take(pa.array(rows, pa.int64())), pa.array(found, pa.int64())], ["paper_id", "needle_id"]
+            )
+
+    return texts.select("paper_id", "title", "abstract").mapInArrow(scan, schema)
+
+
+def substring_papers(texts: DataFrame, needles: DataFrame) -> DataFrame:
     """(paper_id, needle_id) for every whitespace-free needle that occurs in a paper.
 
-    A needle without white space lies within one word, so it is enough to find the words of the
-    vocabulary that contain it; papers follow by equality of words.
+    Needles that are too many for an automaton go through the vocabulary: one without white space lies within one word, so it is
+    enough to find the words that contain it; papers follow by equality of words.
     """
+    small = _handed_out(needles)
+    if small is not None:
+        return scanned(texts, small)
+    words = materialise(word_index(texts), "words")
     pairs = materialise(contained_in(words.select("word").distinct(), needles), "pairs")
     return words.join(sized_side(pairs), "word").select("paper_id", "needle_id").distinct()
 
 
-def substring_hits(runs: DataFrame, words: DataFrame) -> DataFrame:
+def substring_hits(runs: DataFrame, corpus: DataFrame) -> DataFrame:
     """(run_id, paper_id, matches): papers that contain at least one filter keyword of a run.
 
     ``matches`` counts repeated keywords of the prompt each time. Runs without any filter
@@ -135,7 +184,7 @@ def substring_hits(runs: DataFrame, words: DataFrame) -> DataFrame:
     """
     wanted = filter_keywords(runs).withColumnRenamed("keyword", "needle")
     needles = numbered_needles(wanted)
-    found = substring_papers(words, needles)
+    found = substring_papers(lower_texts(corpus), needles)
     wanted = wanted.join(needles, "needle").select("run_id", "needle_id", "times")
     return (
         found.join(sized_side(wanted), "needle_id")
@@ -158,12 +207,19 @@ def phrase_queries(queries: DataFrame) -> DataFrame:
     )
 
 
-def phrase_hits(phrases: DataFrame, corpus: DataFrame, words: DataFrame) -> DataFrame:
+def phrase_hits(phrases: DataFrame, corpus: DataFrame) -> DataFrame:
     """Papers whose title or abstract holds the whole phrase.
 
-    The longest word of the phrase narrows the papers; the whole phrase is then looked up in
+    Phrases that are too many for an automaton are narrowed by their longest word; the whole phrase is then looked up in
     those papers only.
     """
+    shown = ["run_id", "query_no", "paper_id", F.lit(PHRASE).alias("strategy_no"), F.lit(1).alias("matched")]
+    texts = lower_texts(corpus)
+    whole = numbered_needles(phrases.select(F.col("phrase").alias("needle")))
+    small = _handed_out(whole)
+    if small is not None:
+        asked = phrases.join(whole, F.col("phrase") == F.col("needle")).select("run_id", "query_no", "needle_id")
+        return scanned(texts, small).join(sized_side(asked), "needle_id").select(*shown)
     longest = F.array_max(
         F.transform(
             split_words(F.col("phrase")), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))
@@ -173,15 +229,7 @@ def phrase_hits(phrases: DataFrame, corpus: DataFrame, words: DataFrame) -> Data
     needles = numbered_needles(phrases)
     wanted = phrases.join(needles, "needle").select("run_id", "query_no", "phrase", "needle_id")
     narrowed = materialise(
-        substring_papers(words, needles).join(sized_side(wanted), "needle_id"), "narrowed"
-    )
-    texts = corpus.select("paper_id", F.lower("title").alias("_t"), F.lower("abstract").alias("_a"))
-    holds = F.contains(F.col("_t"), F.col("phrase")) | F.contains(F.col("_a"), F.col("phrase"))
-    return (
-        texts.join(sized_side(narrowed), "paper_id")
-        .where(holds)
-        .select(
-            "run_id", "query_no", "paper_id",
-            F.lit(PHRASE).alias("strategy_no"), F.lit(1).alias("matched"),
-        )
+        substring_papers(texts, needles).join(sized_side(wanted), "needle_id"), "narrowed"
     )
+    holds = F.contains(F.col("title"), F.col("phrase")) | F.contains(F.col("abstract"), F.col("phrase"))
+    return texts.join(sized_side(narrowed), "paper_id").where(holds).select(*shown)

@@ -41,7 +41,7 @@ def strategy_union(
     hits = match.strategy_hits(match.keyword_hits(queries, match.token_index(corpus)))
     phrases = match.phrase_queries(queries)
     if not phrases.isEmpty():
-        hits = hits.unionByName(match.phrase_hits(phrases, corpus, match.word_index(corpus)))
+        hits = hits.unionByName(match.phrase_hits(phrases, corpus))
     return prefix_cap(
         hits.join(limits.select("run_id", "bound"), "run_id"),
         ["run_id", "query_no", "strategy_no"],
@@ -85,7 +85,7 @@ def feed_matches(runs: DataFrame, once: DataFrame) -> DataFrame:
     """
     texts = once.select("paper_id", "title", "abstract").dropDuplicates(["paper_id"])
     places = once.select("as_of", "paper_id", "server_no", "window_no", "feed_pos")
-    hits = match.substring_hits(runs, match.word_index(texts))
+    hits = match.substring_hits(runs, texts)
     return hits.join(sized_side(runs.select("run_id", "as_of")), "run_id").join(places, ["as_of", "paper_id"])
 
 

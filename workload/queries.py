@@ -229,14 +229,12 @@ def phrase_match(spark, sf):
         F.col("item_id").alias("run_id"), F.posexplode(stretches).alias("query_no", "query")
     ).where(F.col("query") != "")
     papers = corpus(spark, sf)
-    return match.phrase_hits(
-        match.phrase_queries(phrases), papers, match.word_index(papers)
-    ).select("run_id", "query_no", "paper_id")
+    return match.phrase_hits(match.phrase_queries(phrases), papers).select("run_id", "query_no", "paper_id")
 
 
 @query
 def substring_filter(spark, sf):
-    return match.substring_hits(runs(spark, sf), match.word_index(corpus(spark, sf)))
+    return match.substring_hits(runs(spark, sf), corpus(spark, sf))
 
 
 @query
