@@ -472,3 +472,13 @@ SELECT run_id, unnest(range(n))::INT AS query_no, unnest(listed) AS query, n::IN
 UNION ALL SELECT run_id, query_no, query, 3 FROM (WITH {QUERIES} SELECT run_id, query_no, query FROM q) WHERE run_id % 5 NOT IN (0, 1)""",
 }
 ORACLES["harvest_stream"] = ORACLES["title_dedup"]
+ORACLES["harvest_batches"] = f"""WITH {DOCS},
+keyed AS (SELECT paper_id, {strip('lower(title)')} AS title_key, (paper_id % 6)::INT AS batch_id FROM docs)
+SELECT batch_id, paper_id, title_key FROM keyed WHERE title_key <> ''
+QUALIFY row_number() OVER (PARTITION BY title_key ORDER BY batch_id, paper_id) = 1"""
+ORACLES["rejected_papers"] = f"""WITH {DOCS}, {PREPRINTS},
+every AS (SELECT 'corpus' AS stage, paper_id, title FROM docs UNION ALL SELECT 'feed', paper_id, title FROM pre),
+shaped AS (SELECT stage, CASE WHEN paper_id % 40 = 7 THEN '' ELSE paper_id::VARCHAR END AS ref,
+  CASE WHEN paper_id % 25 = 3 THEN '' ELSE {strip('lower(title)')} END AS t FROM every)
+SELECT stage, ref, CASE WHEN t = '' THEN 'no title' ELSE 'no id' END AS message FROM shaped WHERE t = '' OR ref = ''
+""".replace("RUN_DAY", ONE_DAY)

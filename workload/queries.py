@@ -22,7 +22,7 @@ from paperlake.session import materialise, scratch_path
 from paperlake.sinks import columns as sink_columns
 from paperlake.sinks import writers
 from paperlake.sources import atom, preprint
-from paperlake.sources.papers import as_papers
+from paperlake.sources.papers import as_papers, rejects
 from paperlake.sources.runs import run_table
 from paperlake.sources.tables import read_table
 from paperlake.streaming.harvest import harvest
@@ -402,6 +402,36 @@ def harvest_stream(spark, sf):
     return spark.read.parquet(f"{folder}/table").select("paper_id", "title_key")
 
 
+@query
+def harvest_batches(spark, sf):
+    """Documents landed in six portions, harvested after each; titles of earlier portions come back in later ones."""
+    folder = scratch_path(spark, "landed")
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    for portion in range(6):
+        docs.where(F.col("doc_id") % 6 == portion).write.mode("append").parquet(f"{folder}/pages")
+        landed = spark.readStream.schema(docs.schema).parquet(f"{folder}/pages")
+        papers = landed.select(
+            F.col("doc_id").alias("paper_id"), tx.collapse(F.substring_index("text", "\n", 1)).alias("title")
+        )
+        harvest(papers, f"{folder}/table", f"{folder}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{folder}/table").select(F.col("batch_id").cast("int").alias("batch_id"), "paper_id", "title_key")
+
+
+@query
+def rejected_papers(spark, sf):
+    """Papers of both sources that no search can use: some without a title, some without an id, each with its reason."""
+    number = F.col("paper_id").cast("bigint")
+
+    def shaped(papers):
+        return papers.select(
+            F.when(number % 40 == 7, "").otherwise(F.col("paper_id").cast("string")).alias("paper_id"),
+            F.when(number % 25 == 3, " \t").otherwise(F.col("title")).alias("title"),
+        )
+
+    found = rejects(shaped(corpus(spark, sf)), "corpus").unionByName(rejects(shaped(preprints(spark, sf)), "feed"))
+    return found.select("stage", "ref", "message")
+
+
 # --------------------------------------------------------------------------- responses
 def responses(spark: SparkSession, sf: str) -> DataFrame:
     """A response per event, clean or damaged in one of several ways; every ninth event has none."""
