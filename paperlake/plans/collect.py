@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from paperlake.operators import extract, merge, quality
 from paperlake.operators.encode import Encoder
 from paperlake.plans.retries import Extracted, extract_with_retries
-from paperlake.session import materialise
+from paperlake.session import materialise, sized_side
 
 
 @dataclass
@@ -24,10 +24,13 @@ class Collected:
 
 
 def run_papers(selected: DataFrame, corpus: DataFrame) -> DataFrame:
-    """Selected (run_id, paper_no, paper_id) with url, text and metadata."""
-    return selected.select("run_id", "paper_no", "paper_id").join(
-        corpus.select("paper_id", "url", "text", "meta"), "paper_id"
-    )
+    """Selected (run_id, paper_no, paper_id) with url, text and metadata.
+
+    The runs' caps bound the selection. It is written and measured; a small one is handed to the scan of the corpus, so no
+    text of a paper that nobody selected leaves the task that read it.
+    """
+    chosen = materialise(selected.select("run_id", "paper_no", "paper_id"), "selected")
+    return corpus.select("paper_id", "url", "text", "meta").join(sized_side(chosen), "paper_id")
 
 
 def collect_records(

@@ -138,10 +138,11 @@ def ordered_union(by_query: DataFrame, preprints: DataFrame | None = None) -> Da
 def unique_titles(union: DataFrame, titles: DataFrame) -> DataFrame:
     """First hit per run and title in union order; untitled papers drop out.
 
-    ``titles`` holds (paper_id, title).
+    ``titles`` holds (paper_id, title). The caps bound ``union``, which should be a written table: it is measured and, if
+    it is small, handed to the scan of the titles, so only titles of hits leave that scan.
     """
-    keyed = union.join(
-        titles.select("paper_id", title_key(F.col("title")).alias("title_key")), "paper_id"
+    keyed = titles.select("paper_id", title_key(F.col("title")).alias("title_key")).join(
+        sized_side(union), "paper_id"
     ).where(F.col("title_key") != "")
     return first_wins(keyed, ["run_id", "title_key"], UNION_ORDER)
 
@@ -178,7 +179,8 @@ def search(
         dated = runs.withColumn("as_of", as_of)
         second = preprint_papers(dated, feed_window_items(preprints, dated.select("as_of")), limits, most)
         titles = titles.unionByName(preprints.select("paper_id", "title"))
-    return select_papers(unique_titles(ordered_union(by_query, second), titles), runs, most)
+    union = materialise(ordered_union(by_query, second), "union")
+    return select_papers(unique_titles(union, titles), runs, most)
 
 
 def step_counters(union: DataFrame, unique: DataFrame) -> DataFrame:
