@@ -10,36 +10,32 @@ from pyspark.sql.streaming import StreamingQuery
 
 from paperlake.functions.text import title_key
 from paperlake.operators.ranking import first_wins
+from paperlake.streaming.seen import SeenTitles
 
 
-def new_papers(papers: DataFrame, seen: DataFrame | None, order: Sequence[str]) -> DataFrame:
-    """First paper of each title that is not among the seen (title_key)."""
-    keyed = papers.withColumn("title_key", title_key(F.col("title"))).where(
-        F.coalesce("title_key", F.lit("")) != ""
-    )
-    if seen is not None:
-        keyed = keyed.join(seen.select("title_key"), "title_key", "left_anti")
-    return first_wins(keyed, ["title_key"], order)
+def titled(papers: DataFrame) -> DataFrame:
+    """Papers with a title, with its key."""
+    return papers.withColumn("title_key", title_key(F.col("title"))).where(F.coalesce("title_key", F.lit("")) != "")
 
 
 def harvest(
-    papers: DataFrame, table: str, checkpoint: str, order: Sequence[str] = ("paper_id",)
+    papers: DataFrame, table: str, checkpoint: str, order: Sequence[str] = ("paper_id",), seen: SeenTitles | None = None
 ) -> StreamingQuery:
-    """Run all landed pages through :func:`new_papers`, batch by batch, into a Parquet table.
+    """Run all landed papers, batch by batch, into a Parquet table of papers with new titles.
 
-    Arrival order of batches decides which paper of a title stays; within a batch ``order``
-    does. Each batch writes its own ``batch_id`` folder and looks only at folders of earlier
-    batches, so a replayed batch rewrites the same rows.
+    Arrival order of batches decides which paper of a title stays; within a batch ``order`` does. Each batch writes its
+    own ``batch_id`` folder. ``seen``, by default a folder next to the table, keeps the titles of earlier batches; a
+    replayed batch looks at earlier ones only and rewrites the same rows.
     """
+    known = seen or SeenTitles(f"{table}_seen")
 
     def one_batch(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        seen = None
-        if batch_id > 0:
-            seen = spark.read.parquet(table).where(F.col("batch_id") < batch_id)
-        new_papers(batch, seen, order).write.mode("overwrite").parquet(
-            f"{table}/batch_id={batch_id}"
-        )
+        target = f"{table}/batch_id={batch_id}"
+        firsts = first_wins(titled(batch), ["title_key"], order)
+        fresh = known.unseen(firsts, batch_id)
+        fresh.write.mode("overwrite").parquet(target)
+        known.add(spark.read.schema(fresh.schema).parquet(target), batch_id)
 
     return (
         papers.writeStream.foreachBatch(one_batch)
@@ -55,9 +51,7 @@ def first_arrivals(papers: DataFrame, delay: str | None = None, time: str = "arr
     Which paper of a title within one batch stays is not defined here. With ``delay``, keys are
     forgotten once the watermark on ``time`` has passed them.
     """
-    keyed = papers.withColumn("title_key", title_key(F.col("title"))).where(
-        F.coalesce("title_key", F.lit("")) != ""
-    )
+    keyed = titled(papers)
     if delay is None:
         return keyed.dropDuplicates(["title_key"])
     return keyed.withWatermark(time, delay).dropDuplicatesWithinWatermark(["title_key"])

@@ -13,6 +13,7 @@ from paperlake.session import materialise, release_scratch, scratch_dir
 from paperlake.sinks import columns, writers
 from paperlake.sources import atom, papers, preprint
 from paperlake.streaming.harvest import first_arrivals, harvest
+from paperlake.streaming.seen import SeenTitles
 
 HEAD = '<?xml version="1.0"?><feed xmlns="http://www.w3.org/2005/Atom" xmlns:arxiv="http://arxiv.org/schemas/atom">'
 ENTRIES = """
@@ -196,6 +197,29 @@ def test_harvest_keeps_first_arrivals_and_survives_replay(spark, tmp_path):
     assert read() == [(0, 3), (0, 4), (1, 8), (2, 6)]
 
 
+@pytest.mark.parametrize("blocks", [1, 1 << 20])
+def test_seen_titles_over_many_batches(spark, tmp_path, blocks):
+    """Merged tables, deleted folders, batches that run again, and a filter that is far too small."""
+    seen = SeenTitles(str(tmp_path / "seen"), buckets=4, blocks=blocks, every=2)
+    batches = [["a", "b"], ["b", "c"], [], ["a", "c", "d"], ["e"], ["b", "f"], ["a", "b", "c", "d", "e", "f", "g"]]
+    expected = [["a", "b"], ["c"], [], ["d"], ["e"], ["f"], ["g"]]
+
+    def run(n):
+        fresh = materialise(seen.unseen(spark.createDataFrame([(t,) for t in batches[n]], "title_key string"), n), "fresh")
+        seen.add(fresh, n)
+        return sorted(r[0] for r in fresh.collect())
+
+    for n in range(len(batches)):
+        assert run(n) == expected[n]
+        assert run(n) == expected[n]  # as after a failure before the commit
+    left = lambda kind: {os.path.basename(p) for p in glob.glob(str(tmp_path / "seen" / "*" / kind / "*"))}
+    # the table merged at batch 4 and what it replaces at 6 stay until batch 7
+    assert left("new") == {"batch=4", "batch=5", "batch=6"} and left("whole") == {"batch=4", "batch=6"}
+    other = SeenTitles(str(tmp_path / "seen"), buckets=5, blocks=blocks, every=2)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        other.unseen(spark.createDataFrame([("a",)], "title_key string"), 7).count()
+
+
 @pytest.mark.parametrize("delay", [None, "1 day"])
 def test_first_arrivals_by_state(spark, tmp_path, delay):
     pages = str(tmp_path / "pages")

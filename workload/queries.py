@@ -26,6 +26,7 @@ from paperlake.sources.papers import as_papers, rejects
 from paperlake.sources.runs import run_table
 from paperlake.sources.tables import read_table
 from paperlake.streaming.harvest import harvest
+from paperlake.streaming.seen import SeenTitles
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -413,7 +414,8 @@ def harvest_batches(spark, sf):
         papers = landed.select(
             F.col("doc_id").alias("paper_id"), tx.collapse(F.substring_index("text", "\n", 1)).alias("title")
         )
-        harvest(papers, f"{folder}/table", f"{folder}/checkpoint").awaitTermination()
+        seen = SeenTitles(f"{folder}/seen", buckets=8, every=2)  # merged at the third and at the fifth batch
+        harvest(papers, f"{folder}/table", f"{folder}/checkpoint", seen=seen).awaitTermination()
     return spark.read.parquet(f"{folder}/table").select(F.col("batch_id").cast("int").alias("batch_id"), "paper_id", "title_key")
 
 
