@@ -12,6 +12,7 @@ from paperlake.plans import collect
 from paperlake.session import materialise, release_scratch, scratch_dir
 from paperlake.sinks import columns, writers
 from paperlake.sources import atom, papers, preprint
+from paperlake.streaming import pages
 from paperlake.streaming.harvest import first_arrivals, harvest
 from paperlake.streaming.seen import SeenTitles
 
@@ -197,6 +198,35 @@ def test_harvest_keeps_first_arrivals_and_survives_replay(spark, tmp_path):
     assert read() == [(0, 3), (0, 4), (1, 8), (2, 6)]
 
 
+def test_page_stream_reports_faults_and_reads_later_pages(spark, tmp_path):
+    folder = lambda name: str(tmp_path / name)
+
+    def run(feed, name):
+        pages.land_papers(pages.page_stream(spark, folder(name), 2), feed, folder(f"{name}-papers"), folder(f"{name}-errors"),
+                          folder(f"{name}-state")).awaitTermination()
+        papers_of, faults = (spark.read.parquet(folder(f"{name}-{kind}")).collect() for kind in ("papers", "errors"))
+        return sorted(r["paper_id"] for r in papers_of), sorted((os.path.basename(r["ref"]), r["message"]) for r in faults)
+
+    write(folder("atom"), "1.xml", HEAD + ENTRIES + "</feed>")
+    write(folder("atom"), "2.xml", HEAD + ENTRIES)
+    write(folder("atom"), "3.xml", HEAD + "</feed>")
+    write(folder("atom"), "4.xml", "")
+    both, cut = ["http://a/1", "http://a/2"], [("2.xml", "malformed page"), ("4.xml", "malformed page")]
+    found, faults = run(pages.atom_feed(), "atom")
+    assert found == both and faults in (cut, cut[:1])  # a file of no bytes has no row
+    write(folder("atom"), "5.xml", HEAD + ENTRIES.replace("http://a/", "http://b/") + "</feed>")
+    assert run(pages.atom_feed(), "atom") == ([*both, "http://b/1", "http://b/2"], faults)
+
+    item = {"title": "T", "abstract": "A", "doi": "10.1/x", "date": "2024-01-02"}
+    write(folder("json"), "1.json", json.dumps({"collection": [item, {"title": " ", "doi": "10.1/z"}]}))
+    write(folder("json"), "2.json", '{"collection": [{"title"')
+    write(folder("json"), "3.json", json.dumps({"messages": []}))
+    assert run(pages.preprint_feed(F.lit("medRxiv")), "json") == (
+        ["https://doi.org/10.1/x"], [("2.json", "malformed page"), ("z", "no title")])
+    row = spark.read.parquet(folder("json-papers")).first()
+    assert row["server_no"] == 1 and row["feed_pos"]["page_pos"] == 0
+
+
 @pytest.mark.parametrize("blocks", [1, 1 << 20])
 def test_seen_titles_over_many_batches(spark, tmp_path, blocks):
     """Merged tables, deleted folders, batches that run again, and a filter that is far too small."""

@@ -482,3 +482,14 @@ shaped AS (SELECT stage, CASE WHEN paper_id % 40 = 7 THEN '' ELSE paper_id::VARC
   CASE WHEN paper_id % 25 = 3 THEN '' ELSE {strip('lower(title)')} END AS t FROM every)
 SELECT stage, ref, CASE WHEN t = '' THEN 'no title' ELSE 'no id' END AS message FROM shaped WHERE t = '' OR ref = ''
 """.replace("RUN_DAY", ONE_DAY)
+
+# Landed feeds: abstracts of Atom pages lose their line breaks, papers without a title do not reach the search.
+LANDED_DOCS = DOCS.replace(ABSTRACT, collapse(ABSTRACT)).replace("FROM documents)", "FROM documents WHERE title <> '')")
+ORACLES["landed_search"] = ORACLES["two_source_search"].replace(DOCS, LANDED_DOCS).replace(
+    "FROM pages)", "FROM pages WHERE title <> '')")
+ORACLES["landed_faults"] = f"""WITH {DOCS}, {PREPRINTS},
+docs_of AS (SELECT 'atom' AS stage, paper_id // 16 AS page, title <> '' AS good, 0 AS server FROM docs
+  UNION ALL SELECT 'preprint', feed_pos // 10, title <> '', server_no FROM pre)
+SELECT stage, page, count(*) AS n_papers FROM docs_of WHERE good GROUP BY ALL
+UNION ALL SELECT stage, page + 1000000, -1 FROM (SELECT DISTINCT stage, page, server FROM docs_of) WHERE page % 5 = 0
+UNION ALL SELECT stage, NULL, -1 FROM docs_of WHERE stage = 'preprint' AND NOT good""".replace("RUN_DAY", ONE_DAY)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from paperlake.functions import paper as pp
 from paperlake.functions import text as tx
-from paperlake.functions.vocab import META_KEYS, STOP_WORDS
+from paperlake.functions.vocab import META_KEYS, PREPRINT_SOURCES, STOP_WORDS
 from paperlake.operators import extract, match, merge, quality, similarity
 from paperlake.operators.encode import hashed_tokens
 from paperlake.operators.queries import run_queries
@@ -25,6 +25,7 @@ from paperlake.sources import atom, preprint
 from paperlake.sources.papers import as_papers, rejects
 from paperlake.sources.runs import run_table
 from paperlake.sources.tables import read_table
+from paperlake.streaming import pages
 from paperlake.streaming.harvest import harvest
 from paperlake.streaming.seen import SeenTitles
 
@@ -434,6 +435,64 @@ def rejected_papers(spark, sf):
     return found.select("stage", "ref", "message")
 
 
+def _landed_pages(spark: SparkSession, sf: str) -> str:
+    """Documents as Atom pages and pages as JSON pages of two servers, in files. Some pages land once more, cut off."""
+    folder = scratch_path(spark, "feeds")
+
+    def land(pages, name, *keys):
+        cut = pages.where(F.col("page") % 5 == 0).select(
+            *keys[:-1], (F.col("page") + 1_000_000).alias("page"), F.left("value", F.length("value") - 3).alias("value"))
+        pages.unionByName(cut).write.partitionBy(*keys).text(f"{folder}/{name}")
+
+    docs = document_papers(spark, sf)
+    entries = docs.groupBy(F.expr("paper_id div 16").alias("page")).agg(F.collect_list(_entry_xml(docs)).alias("entries"))
+    whole = F.concat(F.lit(_FEED), F.array_join("entries", "\n"), F.lit("</feed>"))
+    land(entries.select("page", whole.alias("value")), "atom", "page")
+    item = F.struct(
+        "title", "abstract", F.concat(F.lit("10.5555/"), "paper_id").alias("doi"), F.col("published").cast("string").alias("date"))
+    placed = preprints(spark, sf).groupBy(F.col("server_no").alias("server"), F.expr("feed_pos div 10").alias("page"))
+    listed = placed.agg(F.sort_array(F.collect_list(F.struct("feed_pos", item.alias("item")))).alias("rows"))
+    body = F.to_json(F.struct(F.col("rows")["item"].alias("collection")))
+    land(listed.select("server", "page", body.alias("value")), "json", "server", "page")
+    return folder
+
+
+def _stream_pages(spark: SparkSession, folder: str, pages_per_batch: int | None = None) -> None:
+    """Both feeds of a folder through the page stream into the tables papers-* and errors-* there."""
+    server = F.regexp_extract("page", "server=([0-9]+)", 1).cast("int")
+    feeds = {"atom": pages.atom_feed(), "json": pages.preprint_feed(F.get(F.array(*map(F.lit, PREPRINT_SOURCES)), server))}
+    for name, feed in feeds.items():
+        landed = pages.page_stream(spark, f"{folder}/{name}", pages_per_batch)
+        pages.land_papers(
+            landed, feed, f"{folder}/papers-{name}", f"{folder}/errors-{name}", f"{folder}/state-{name}"
+        ).awaitTermination()
+
+
+@query
+def landed_search(spark, sf):
+    """Both feeds as streams of landed pages, then the search over what they brought."""
+    folder = _landed_pages(spark, sf)
+    _stream_pages(spark, folder)
+    number = F.regexp_extract("paper_id", "[0-9]+$", 0).cast("bigint")
+    first, second = (spark.read.parquet(f"{folder}/papers-{n}").withColumn("paper_id", number) for n in ("atom", "json"))
+    return search.search(runs(spark, sf), first, second, as_of()).select("run_id", "paper_no", "paper_id", "source_no", "step_no")
+
+
+@query
+def landed_faults(spark, sf):
+    """Papers per page of both streams, in batches of some pages, and the pages reported as faulty."""
+    folder = _landed_pages(spark, sf)
+    _stream_pages(spark, folder, 200)
+    place = lambda c: F.regexp_extract(c, "page=([0-9]+)", 1).cast("bigint").alias("page")
+    count = lambda df, stage, page: df.groupBy(F.lit(stage).alias("stage"), place(page)).agg(
+        F.count("*").alias("n_papers"))
+    faults = [spark.read.parquet(f"{folder}/errors-{n}").select("stage", place("ref"), F.lit(-1).cast("bigint").alias("n_papers"))
+              for n in ("atom", "json")]
+    first = count(spark.read.parquet(f"{folder}/papers-atom"), "atom", "page")
+    second = count(spark.read.parquet(f"{folder}/papers-json"), "preprint", "feed_pos.page")
+    return first.unionByName(second).unionByName(faults[0]).unionByName(faults[1])
+
+
 # --------------------------------------------------------------------------- responses
 def responses(spark: SparkSession, sf: str) -> DataFrame:
     """A response per event, clean or damaged in one of several ways; every ninth event has none."""
