@@ -55,9 +55,11 @@ def prefix_sums(values: Column) -> Column:
     )
 
 
-def spans(text: Column, pattern: str, keep: Callable[[Column], Column] | None = None) -> Column:
+def spans(
+    text: Column, pattern: str, keep: Callable[[Column], Column] | None = None, left: int | None = LEFT_CHARS
+) -> Column:
     """Leftmost non-overlapping matches of a Java pattern: start and end in code points, the text
-    and what stands before it (its last 80 characters at most).
+    and what stands between it and the match before: its last ``left`` characters, or all of it.
 
     The pieces between the matches and the matches themselves give the places. Matches that
     ``keep`` refuses drop out; their characters are not searched again.
@@ -80,7 +82,7 @@ def spans(text: Column, pattern: str, keep: Callable[[Column], Column] | None =
                             (e - F.char_length(F.get(hits, i))).cast("int").alias("start"),
                             e.cast("int").alias("end"),
                             F.get(hits, i).alias("value"),
-                            F.substring(F.get(pieces, i), -LEFT_CHARS, LEFT_CHARS).alias("left"),
+                            (F.get(pieces, i) if left is None else F.substring(F.get(pieces, i), -left, left)).alias("left"),
                         ),
                     ),
                 ),

@@ -170,7 +170,7 @@ def license_table(
 ) -> DataFrame:
     """Per row: id, number of words, places of base phrases, their first and last start, base labels,
     all labels, the best share, and ``found``: (label, start, share) of every alignment."""
-    vocabulary = sorted({w for t in templates for k in t.keys for w in k.split()})
+    vocabulary = sorted({w for t in templates for w in t.text.split()})
     slim = docs.select(col(id).alias("doc_id"), tokens(col(text)).alias("words"))
     counts = word_counts(slim, "words", vocabulary)
     index = Index.build(templates, counts, max(docs.count(), 1))

@@ -4,8 +4,8 @@ Four kinds are found by their form. They are the seeds: every identifier-like ru
 three digits or more, or an at sign) is an instance, the one or two words before it are its lexical patterns, and an
 instance that a seed covers is known. Patterns and instances form a graph, whose edges are counted once
 however many copies of a text there are. In each round a pattern is trusted for a kind if enough of its
-instances are known to be of this kind, and the unknown instances of trusted patterns become known;
-after the last round the places of the newly known instances are reported as ``ctx_<kind>``.
+instances are known to be of this kind, and the unknown instances of trusted patterns become known.
+The rounds end when one adds nothing; then the places of the newly known instances are reported as ``ctx_<kind>``.
 
 Everything per text happens in the row; the graph is joined and aggregated by Spark, and the places of discovered
 instances return to the texts by a hash of the text, so copies share them.
@@ -16,6 +16,8 @@ whatever their ids. An empty table gives no rows. Foreign columns are not read.
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,7 +36,8 @@ RUN = r"(?<![A-Za-z0-9@._%+-])[A-Za-z._%+-]*+[0-9@][A-Za-z0-9@._%+-]*+"
 KINDS = ("email", "ip", "card", "phone")
 #: Digits an instance must hold; known instances a trusted pattern needs, and their least share.
 MIN_DIGITS, MIN_KNOWN, MIN_SHARE = 3, 4, 0.75
-ROUNDS = 3
+#: Rounds after which the tables of known instances are written as one.
+MERGE_ROUNDS = 8
 
 
 def _digits(value: Column) -> Column:
@@ -71,14 +74,20 @@ def base_spans(text: Column) -> dict[str, Column]:
 
 
 def _patterns(left: Column) -> Column:
-    """Lexical patterns from the text before an instance: its last two words, and its last one."""
-    plain = F.regexp_replace(F.lower(left), "[0-9]+", "0")
-    two = F.regexp_extract(plain, r"(\S{1,40}\s+\S{1,40})\s+$", 1)
-    one = F.regexp_extract(plain, r"(?:^|\s)(\S{1,40})\s+$", 1)
-    both = F.array(
-        F.concat(F.lit("2:"), F.regexp_replace(two, r"\s+", " ")), F.concat(F.lit("1:"), one)
-    )
-    return F.filter(both, lambda p: F.length(p) > 2)
+    """Lexical patterns from the text before an instance: its last two words, and its last one.
+
+    The text is read backwards, so that only its end is looked at, however long it or a word is.
+    """
+    tail = F.regexp_extract(F.reverse(left), r"^\s++(\S++(?:\s++\S++)?+)", 1)
+
+    def of(plain: Column) -> Column:
+        both = F.array(
+            F.concat(F.lit("2:"), F.regexp_extract(plain, r"^(\S++ \S++)$", 1)),
+            F.concat(F.lit("1:"), F.element_at(F.split(plain, " "), -1)),
+        )
+        return F.filter(both, lambda p: F.length(p) > 2)
+
+    return let(F.regexp_replace(F.regexp_replace(F.lower(F.reverse(tail)), "[0-9]+", "0"), r"\s+", " "), of)
 
 
 def found(docs: DataFrame, id: str, text: str) -> DataFrame:
@@ -92,7 +101,8 @@ def found(docs: DataFrame, id: str, text: str) -> DataFrame:
         *[found.alias(k) for k, found in per_kind.items()],
         F.when(
             F.col("text").rlike("[0-9@]"),
-            spans(F.col("text"), RUN, lambda v: (F.char_length(_digits(v)) >= MIN_DIGITS) | F.contains(v, F.lit("@"))),
+            spans(F.col("text"), RUN, lambda v: (F.char_length(_digits(v)) >= MIN_DIGITS) | F.contains(v, F.lit("@")),
+                  left=None),
         ).otherwise(F.array().cast(SPANS)).alias("runs"),
     )
     base = F.concat(*[tagged(F.col(k), k, i) for i, k in enumerate(KINDS)])
@@ -107,8 +117,9 @@ def found(docs: DataFrame, id: str, text: str) -> DataFrame:
     return rows.select("doc_id", "key", "base", runs.alias("runs"))
 
 
-def discovered(rows: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """(instance, kind): unseen instances that trusted patterns discover."""
+def discovered(rows: DataFrame) -> DataFrame:
+    """(instance, kind): unseen instances that trusted patterns discover. Each round but the last makes some instance
+    known, so the rounds end."""
     edges = materialise(
         rows.select(F.explode("runs").alias("r"))
         .select(F.col("r.instance").alias("instance"), F.explode("r.patterns").alias("pattern"),
@@ -120,7 +131,7 @@ def discovered(rows: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         edges.where("seed is not null").groupBy("instance").agg(F.min("seed").alias("kind"))
         .withColumn("round", F.lit(0)), "pii-known",
     )
-    for n in range(1, rounds + 1):
+    for n in itertools.count(1):
         judged = edges.join(known.select("instance", "kind"), "instance", "left")
         per_kind = judged.groupBy("pattern", "kind").agg(F.count("*").alias("n"))
         best = F.max(F.when(F.col("kind").isNotNull(), F.struct("n", "kind")))
@@ -142,6 +153,8 @@ def discovered(rows: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         if new.isEmpty():
             break
         known = known.unionByName(new)
+        if n % MERGE_ROUNDS == 0:
+            known = materialise(known, "pii-known")
     return known.where("round > 0").select("instance", "kind")
 
 

@@ -189,15 +189,17 @@ WITH d AS (
 SELECT doc_id, text, lang, source, n_chars, CAST(unnest(range(0, n)) AS INT) AS copy_no FROM c
 """
 
-CHAT_SQL = """
+CHAT_SQL = r"""
 WITH t AS (
-  SELECT DISTINCT conv_id, CAST(turn AS BIGINT) AS turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text
+  SELECT DISTINCT conv_id, CAST(turn AS BIGINT) AS turn, coalesce(role, 'unknown') AS role,
+         regexp_replace(coalesce(text, ''), '<(\\*)\|', '<\\\1|', 'g') AS text
   FROM conversations
 ), p AS (SELECT DISTINCT conv_id, role AS perspective FROM t WHERE role <> 'system'),
 s AS (
-  SELECT t.*, perspective, CAST(floor(coalesce(turn, -1) / 256) AS BIGINT) AS part,
+  SELECT t.*, perspective, CASE WHEN t.conv_id IS NULL THEN CAST(floor(coalesce(turn, -1) / 256) AS BIGINT) ELSE 0 END AS part,
          CASE WHEN role = perspective THEN '<|assistant|>' WHEN role = 'system' THEN '<|system|>'
-              ELSE '<|user name=' || role || '|>' END || chr(10) || text || chr(10) AS seg
+              ELSE '<|user name=' || replace(regexp_replace(regexp_replace(role, '<(\\*)\|', '<\\\1|', 'g'),
+                '\|(\\*)>', '|\\\1>', 'g'), chr(10), '\n') || '|>' END || chr(10) || text || chr(10) AS seg
   FROM t JOIN p ON t.conv_id IS NOT DISTINCT FROM p.conv_id
 ), e AS (
   SELECT *, sum(length(seg)) OVER (PARTITION BY conv_id, perspective, part ORDER BY turn NULLS FIRST, role, text) AS upto FROM s

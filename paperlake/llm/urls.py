@@ -67,7 +67,7 @@ def host_path(url: Column) -> tuple[Column, Column]:
 def best_rule(host: Column, path: Column, rules: Sequence[tuple[str, str, str]] = RULES) -> tuple[Column, Column]:
     """The longest rule that fits, as text and verdict; null without one. Ties go to the earlier rule."""
     rule, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for said, h, p in sorted(rules, key=lambda r: len(r[1] + r[2])):
+    for said, h, p in sorted(reversed(rules), key=lambda r: len(r[1] + r[2])):  # the last one that fits stands
         fits = ((host == h) | F.endswith(host, F.lit("." + h))) & F.startswith(path, F.lit(p))
         rule = F.when(fits, F.lit(h + p)).otherwise(rule)
         verdict = F.when(fits, F.lit(said)).otherwise(verdict)

@@ -1,6 +1,7 @@
 """Operators on single texts against plain Python over whole texts."""
 
 import hashlib
+import math
 import re
 
 import public_tokenizers
@@ -109,6 +110,17 @@ def test_licenses(which, request, spark):
         assert labels[3] == "gpl,lgpl,proprietary" and labels[5] == "mit-text" and labels[6] == ""
 
 
+def test_license_scores_count_every_word(spark):
+    """All words of a template weigh by how many texts hold them, words outside its key phrases too."""
+    text = "redistribution and use in source and binary forms with or without changes are permitted"
+    rows = [text] + ["in or with"] * 99
+    table = license.license_table(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"))
+    idf = lambda w: math.log(101 / ((100 if w in ("in", "or", "with") else w != "modification") + 1)) + 1
+    want = [t.text.split() for t in license.NOTICES if t.label == "bsd"][0]
+    share = sum(map(idf, (w for w in want if w != "modification"))) / sum(map(idf, want))
+    assert dict(rows_of(table, "doc_id", "score"))[0] == pytest.approx(share, abs=1e-6)
+
+
 def test_license_empty(empty):
     assert license.license_table(empty).count() == 0
     for t in license.BASE + license.NOTICES:
@@ -280,6 +292,25 @@ def test_pii_discovers_by_context(spark, empty):
     assert out[0] == "email:19:42" and pii.pii_table(empty).count() == 0
 
 
+def test_pii_follows_chains_of_contexts(spark):
+    """Each context is learnt from instances that the one before discovers; words and gaps may be of any length."""
+    levels, long, gap = 5, "w" * 100, " " * 100
+    context = lambda k: f"{long}{'abcdefgh'[k]}{gap}"
+    rows = [context(0) + f"user{i}@mail.example.com" for i in range(4 * 3 ** levels)]
+    for k in range(1, levels + 1):  # a third as many as known ones stand in the context before, all in their own
+        names = [f"q{k}x{i:04d}" for i in range(4 * 3 ** (levels - k))]
+        rows += [context(k - 1) + n for n in names] + [context(k) + n for n in names]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    spans = dict(rows_of(pii.pii_digest(pii.pii_table(df)), "doc_id", "spans"))
+    assert all(s.startswith("email:" if "@" in rows[i] else "ctx_email:") for i, s in spans.items())
+
+
+def test_patterns_of_a_context(spark):
+    df = spark.createDataFrame([("a  B7\t",), ("x",), (" ",), ("call ",), ("u " * 50_000 + "v w\n",), ("no gap",)], "t string")
+    got = [r[0] for r in df.select(pii._patterns(F.col("t"))).collect()]
+    assert got == [["2:a b0", "1:b0"], [], [], ["1:call"], ["2:v w", "1:w"], []]
+
+
 @pytest.mark.parametrize("which", ["odd", "documents", "made"])
 def test_secrets(which, request):
     df = request.getfixturevalue(which)
