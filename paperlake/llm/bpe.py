@@ -9,10 +9,14 @@ the same merge happens when the two are encoded as a pair.) Pairs within a half
 within the new window hold as it is an encoding, so only the two pairs at the window's ends are
 checked; where one fails, the window grows on that side, by doubling, up to the end of the half.
 
-Texts are halved as well, at blanks that are followed by something other than white space: the split
-pattern always begins a new match there, whatever stands before, so encodings of halves concatenate. Leaves of
-at most 1,024 characters are encoded by the tiktoken library; longer ones without such a blank are split by
-the pattern, and their matches encoded from bytes as above. Decoding concatenates the tokens' bytes.
+A text goes up the same kind of tree. It is halved at its middle, whatever stands there, until halves have at
+most 1,024 characters; such leaves are encoded by the tiktoken library. A join looks for the border nearest to
+the halves' meeting point, in growing windows on the left and onwards on the right, at which the split pattern
+begins a new match whatever stands around (a blank before, or a line break or tab after which, something
+other than white space follows). Matches on the far side of such a border are the same in the half and in the
+whole, so the tokens there provably stay; what lies between the two borders is encoded anew. A half without any
+border is split by the pattern and its matches are encoded from bytes as above. Decoding concatenates the
+tokens' bytes up a tree of halves.
 
 Defined cases: a null text is empty and has no ids. Rows are encoded one by one, in Arrow batches;
 repeated rows, null ids and foreign columns do no harm. An id outside the vocabulary is an error.
@@ -22,6 +26,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from collections.abc import Callable, Iterator
 
 import public_tokenizers
@@ -47,8 +52,10 @@ YOUNG = (
 LEAF, WINDOW, MARGIN = 12, 48, 1
 #: Bytes up to which the encoding of a half is remembered.
 SHORT = 32
-#: Characters of a text up to which the library encodes it as a leaf.
-LEAF_CHARS = 1024
+#: Characters of a text, and ids, up to which it is a leaf; characters of a join's first window.
+LEAF_CHARS, LEAF_IDS, FIRST_WINDOW = 1024, 1024, 32
+#: Where the split pattern begins a new match whatever stands around. (Narrower than the pattern's own white space.)
+SURE = re.compile(r" (?=\S)|(?<=[\t\n\v\f\r])(?=\S)")
 #: Remembered halves and pairs; all of a kind are forgotten beyond this number.
 REMEMBERED = 200_000
 NONE = 1 << 60
@@ -57,7 +64,8 @@ NONE = 1 << 60
 class Codec:
     """Encoder and decoder for one vocabulary."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str = public_tokenizers.PATTERN) -> None:
+    def __init__(self, ranks: dict[bytes, int], pattern: str = public_tokenizers.PATTERN, leaf: int = LEAF_CHARS) -> None:
+        self.leaf = leaf
         self.ranks = ranks
         self.bytes_of = {i: b for b, i in ranks.items()}
         self.library = tiktoken.Encoding("leaves", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
@@ -66,7 +74,7 @@ class Codec:
             pattern = pattern.replace(kind, f"[{kind}--[{young}]]")
         self.split = regex.compile(pattern, regex.VERSION1)
         self.pairs: dict[tuple[int, int], bool] = {}
-        self.halves: dict[bytes, list[int]] = {}
+        self.short: dict[bytes, list[int]] = {}
         self.decimal = {i: str(i) for i in self.bytes_of}
 
     @staticmethod
@@ -121,16 +129,16 @@ class Codec:
         if len(data) > SHORT:
             half = len(data) // 2
             return self.join(self.tree(data[:half]), self.tree(data[half:]))
-        known = self.halves.get(data)
+        known = self.short.get(data)
         if known is None:
             half = len(data) // 2
             known = (
                 self.merged(data) if len(data) <= LEAF
                 else self.join(self.tree(data[:half]), self.tree(data[half:]))
             )
-            if len(self.halves) > REMEMBERED:
-                self.halves.clear()
-            self.halves[data] = known
+            if len(self.short) > REMEMBERED:
+                self.short.clear()
+            self.short[data] = known
         return known
 
     def piece(self, data: bytes) -> list[int]:
@@ -138,33 +146,45 @@ class Codec:
         whole = self.ranks.get(data)
         return [whole] if whole is not None else self.tree(data)
 
-    def border(self, text: str) -> int:
-        """The sure border nearest to the middle of a text; 0 if there is none.
-
-        The split pattern begins a new match at every blank that something other than white space
-        follows, whatever stands before it.
-        """
-        middle = len(text) // 2
-        after = before = middle
-        while (after := text.find(" ", after, -1)) > 0 and text[after + 1].isspace():
-            after += 1
-        while (before := text.rfind(" ", 1, before)) > 0 and text[before + 1].isspace():
-            pass
-        found = [k for k in (after, before) if k > 0]
-        return min(found, key=lambda k: abs(k - middle), default=0)
-
-    def encode(self, text: str) -> list[int]:
-        """Ids of a text: halves at sure borders, whose ids follow each other. Leaves go to the
-        library; long ones without a border are split by the pattern and encoded from bytes here."""
+    def plain(self, text: str) -> list[int]:
+        """Ids of a text that is not halved: by the library, or match by match from bytes."""
         if len(text) <= LEAF_CHARS and self.library is not None:
             return self.library.encode_ordinary(text)
-        at = self.border(text) if len(text) > 1 else 0
-        if at:
-            return self.encode(text[:at]) + self.encode(text[at:])
         return [i for match in self.split.findall(text) for i in self.piece(match.encode())]
 
+    def join_texts(self, text: str, lo: int, at: int, hi: int, left: list[int], right: list[int]) -> list[int]:
+        """Ids of ``text[lo:hi]`` from those of its halves ``text[lo:at]`` and ``text[at:hi]``."""
+        a, width = None, FIRST_WINDOW
+        while a is None:
+            start = max(lo, at - width)
+            for a in (m.start() for m in SURE.finditer(text, start, at)):
+                pass
+            if a is None and start == lo:
+                a = lo
+            width *= 2
+        found = SURE.search(text, at, hi)
+        b = found.start() if found else hi
+        stays_left = len(left) - len(self.plain(text[a:at])) if a > lo else 0
+        stays_right = len(self.plain(text[at:b])) if b < hi else len(right)
+        return left[:stays_left] + self.plain(text[a:b]) + right[stays_right:]
+
+    def halves_of(self, text: str, lo: int, hi: int) -> list[int]:
+        """Ids of ``text[lo:hi]``: halves first, then their join."""
+        if hi - lo <= self.leaf or not SURE.search(text, lo + 1, hi):
+            return self.plain(text[lo:hi])
+        at = (lo + hi) // 2
+        return self.join_texts(text, lo, at, hi, self.halves_of(text, lo, at), self.halves_of(text, at, hi))
+
+    def encode(self, text: str) -> list[int]:
+        """Ids of a text, which are those of the tiktoken library for the whole."""
+        return self.halves_of(text, 0, len(text))
+
     def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, ids))
+        """Bytes of ids: those of the halves, one after the other."""
+        if len(ids) <= LEAF_IDS:
+            return b"".join(map(self.bytes_of.__getitem__, ids))
+        half = len(ids) // 2
+        return self.decode(ids[:half]) + self.decode(ids[half:])
 
 
 _codecs: dict[str, Codec] = {}

@@ -191,7 +191,34 @@ def test_codec_random(text):
     assert ids == exact.encode_ordinary(text) == own(codec, text) and codec.decode(ids).decode() == text
 
 
-_known = {}
+WORDS = st.sampled_from(["word", " ", "  ", "\n", "\r\n", "\t ", "\x1c", "\x85", "\u3000", "it's", "'ll", "12", "é", "漢字", "!?", "\u1e6c0", "x" * 40])
+
+
+@pytest.mark.parametrize("library", [True, False])
+@pytest.mark.parametrize("leaf", [1, 2, 7, 30])
+@settings(max_examples=150, deadline=None)
+@given(st.one_of(st.lists(WORDS, max_size=60).map("".join), st.text(alphabet="ab \n't!1é\x1c\u00a0", max_size=300)))
+def test_halves_at_any_place(library, leaf, text):
+    """Leaves of a few characters, so that nearly every place of a text is one where halves meet."""
+    with open(public_tokenizers.path(bpe.VOCABULARY), "rb") as f:
+        content = f.read()
+    if leaf not in _small:
+        _small[leaf] = bpe.Codec(bpe._codec(content).ranks, leaf=leaf)
+    codec, exact = _small[leaf], _exact(content)
+    ids = codec.encode(text) if library else own(codec, text)
+    assert ids == exact.encode_ordinary(text)
+
+
+def test_joins_encode_only_windows(codec, monkeypatch):
+    """Beyond its leaves, a tree of ordinary text encodes a small share of the characters anew."""
+    text, asked = "some words of an ordinary text, with stops. And\nlines\n\n" * 4000, []
+    plain = bpe.Codec.plain
+    monkeypatch.setattr(bpe.Codec, "plain", lambda self, t: asked.append(len(t)) or plain(self, t))
+    assert codec.decode(codec.encode(text)).decode() == text
+    assert len(text) <= sum(asked) < 1.1 * len(text) and max(asked) <= bpe.LEAF_CHARS
+
+
+_known, _small = {}, {}
 
 
 def _exact(content):
