@@ -52,19 +52,21 @@ def word_index(texts: DataFrame) -> DataFrame:
 # --------------------------------------------------------------------------- token strategies
 def keyword_hits(queries: DataFrame, index: DataFrame) -> DataFrame:
     """Which keyword positions of a query occur in title and abstract of a paper, as bit masks."""
-    wanted = query_keywords(queries)
+    return places(index.join(sized_side(query_keywords(queries)), F.col("token") == F.col("keyword")), "paper_id")
+
+
+def places(found: DataFrame, *keys: str) -> DataFrame:
+    """Postings of a query's keywords folded into two bit masks per query and ``keys``."""
     here = lambda place: F.bit_or(
         F.when(F.col("place") == place, F.col("mask")).otherwise(0)
     )
-    return (
-        index.join(sized_side(wanted), F.col("token") == F.col("keyword"))
-        .groupBy("run_id", "query_no", "n_keywords", "paper_id")
-        .agg(here(TITLE).alias("in_title"), here(ABSTRACT).alias("in_abstract"))
+    return found.groupBy("run_id", "query_no", "n_keywords", *keys).agg(
+        here(TITLE).alias("in_title"), here(ABSTRACT).alias("in_abstract")
     )
 
 
-def strategy_hits(hits: DataFrame) -> DataFrame:
-    """(run_id, query_no, strategy_no, paper_id, matched) for the four keyword strategies.
+def strategy_hits(hits: DataFrame, *more: str) -> DataFrame:
+    """(run_id, query_no, strategy_no, paper_id, matched, more) for the four keyword strategies.
 
     1 all of the first five keywords, each in title or abstract; 2 the same for the first
     three, given at least three; 3 any of the first six in the abstract; 4 all of the first
@@ -90,7 +92,7 @@ def strategy_hits(hits: DataFrame) -> DataFrame:
         found(BROAD, abstract.bitwiseAND(first(6)) != 0, abstract, 6),
         found(TITLE_ONLY, has_all(title, 3), title, 3),
     )
-    keep = ["run_id", "query_no", "paper_id"]
+    keep = ["run_id", "query_no", "paper_id", *more]
     return one_row_each(hits, keep, ways, "_way").select(*keep, "_way.*")
 
 

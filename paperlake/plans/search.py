@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperlake.functions.text import title_key
-from paperlake.operators import match
+from paperlake.operators import match, postings
 from paperlake.operators.queries import fetch_bound, per_query_budget, run_queries
 from paperlake.operators.ranking import first_wins, prefix_cap
 from paperlake.operators.windows import date_windows_of
@@ -31,14 +31,18 @@ def largest(limits: DataFrame) -> dict[str, int]:
 
 
 def strategy_union(
-    queries: DataFrame, corpus: DataFrame, limits: DataFrame, most: dict[str, int]
+    queries: DataFrame, corpus: DataFrame, limits: DataFrame, most: dict[str, int], index: DataFrame | None = None
 ) -> DataFrame:
     """All strategies of all queries, each cut to its fetch bound.
 
-    Within a strategy papers stand in order of matched keywords, then of id. The phrase strategy
+    Within a strategy papers stand in order of matched keywords, then of id. With ``index``, from
+    :func:`postings.blocked_postings`, hits beyond the bounds are not built. The phrase strategy
     reads the corpus twice more, so it is planned only when some query has no keywords.
     """
-    hits = match.strategy_hits(match.keyword_hits(queries, match.token_index(corpus)))
+    if index is None:
+        hits = match.strategy_hits(match.keyword_hits(queries, match.token_index(corpus)))
+    else:
+        hits = postings.first_hits(queries, index, limits, most["bound"])
     phrases = match.phrase_queries(queries)
     if not phrases.isEmpty():
         hits = hits.unionByName(match.phrase_hits(phrases, corpus))
@@ -163,16 +167,17 @@ def search(
     preprints: DataFrame | None = None,
     as_of: Column | None = None,
     responses: DataFrame | None = None,
+    index: DataFrame | None = None,
 ) -> DataFrame:
     """(run_id, paper_no, paper_id, …): the papers of every run.
 
     ``as_of``, an expression over ``runs``, is the day a run's windows of the feed count back from; each run may
-    have its own.
+    have its own. ``index`` is the corpus' blocked postings, if it is kept; without one all hits are built.
     """
     queries = materialise(run_queries(runs, responses), "queries")
     limits = materialise(budgets(runs, queries), "limits")
     most = largest(limits)
-    by_query = query_papers(strategy_union(queries, corpus, limits, most), limits, most)
+    by_query = query_papers(strategy_union(queries, corpus, limits, most, index), limits, most)
     titles = corpus.select("paper_id", "title")
     second = None
     if preprints is not None:

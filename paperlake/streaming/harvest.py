@@ -55,3 +55,18 @@ def first_arrivals(papers: DataFrame, delay: str | None = None, time: str = "arr
     if delay is None:
         return keyed.dropDuplicates(["title_key"])
     return keyed.withWatermark(time, delay).dropDuplicatesWithinWatermark(["title_key"])
+
+
+def first_by_order(
+    papers: DataFrame, delay: str, order: Sequence[str] = ("arrived", "paper_id"), time: str = "arrived"
+) -> DataFrame:
+    """Streaming form in the state store with a defined winner.
+
+    Arrivals of a title that are less than ``delay`` apart belong together; of each such stretch the first paper in
+    ``order``, which should be total, stays, however the feed is cut into batches. It is given out once the watermark
+    has passed the stretch's end, and its state is dropped; the title counts as new after that. Papers without a
+    time take no part, nor do those that arrive behind the watermark. On a batch DataFrame the same rows come at once.
+    """
+    keyed = titled(papers).withWatermark(time, delay)
+    first = F.min_by(F.struct(*papers.columns, "title_key"), F.struct(*order)).alias("_first")
+    return keyed.groupBy("title_key", F.session_window(time, delay).alias("_stretch")).agg(first).select("_first.*")

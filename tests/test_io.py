@@ -13,7 +13,7 @@ from paperlake.session import materialise, release_scratch, scratch_dir
 from paperlake.sinks import columns, writers
 from paperlake.sources import atom, papers, preprint
 from paperlake.streaming import pages
-from paperlake.streaming.harvest import first_arrivals, harvest
+from paperlake.streaming.harvest import first_arrivals, first_by_order, harvest
 from paperlake.streaming.seen import SeenTitles
 
 HEAD = '<?xml version="1.0"?><feed xmlns="http://www.w3.org/2005/Atom" xmlns:arxiv="http://arxiv.org/schemas/atom">'
@@ -262,6 +262,45 @@ def test_first_arrivals_by_state(spark, tmp_path, delay):
     assert sorted(r["title_key"] for r in spark.table(name).collect()) == ["a", "b"]
 
 
+def test_first_by_order_does_not_depend_on_batches(spark, tmp_path):
+    """One page, or one page a batch, or a batch anew after a failure before its commit: the same papers in the table."""
+    def page(*rows):
+        return "\n".join(json.dumps({"paper_id": i, "title": t, "arrived": f"2024-01-{d:02}T00:00:00"}) for i, t, d in rows)
+
+    pages = [
+        page((9, "A", 1), (8, " a", 1), (7, "B", 1), (6, "", 1), *[(100 + i, "hot", 1) for i in range(500)]),
+        page((1, "a", 2), (5, "C", 2), (4, None, 2)),
+        page((3, "A ", 12), (99, "hot", 12)),
+        page((0, "end", 25)),
+    ]
+    schema = "paper_id bigint, title string, arrived timestamp"
+    want = [("a", 3), ("a", 8), ("b", 7), ("c", 5), ("hot", 99), ("hot", 100)]
+
+    def run(name):
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(tmp_path / name))
+        (first_by_order(stream, "3 days").writeStream.format("parquet").option("path", str(tmp_path / f"{name}-table"))
+         .option("checkpointLocation", str(tmp_path / f"{name}-state")).trigger(availableNow=True).start().awaitTermination())
+        found = spark.read.parquet(str(tmp_path / f"{name}-table")).collect()
+        return sorted((r["title_key"], r["paper_id"]) for r in found)
+
+    write(str(tmp_path / "whole"), "1.json", "\n".join(pages[:3]))
+    run("whole")
+    write(str(tmp_path / "whole"), "2.json", pages[3])
+    assert run("whole") == want
+    for n, content in enumerate(pages):
+        write(str(tmp_path / "cut"), f"{n}.json", content)
+        got = run("cut")
+    assert got == want
+    commits = str(tmp_path / "cut-state" / "commits")
+    last = max(int(n) for n in os.listdir(commits) if n.isdigit())
+    for name in (str(last), f".{last}.crc"):
+        if os.path.exists(os.path.join(commits, name)):
+            os.unlink(os.path.join(commits, name))
+    assert run("cut") == want
+    batch = spark.read.schema(schema).json(str(tmp_path / "cut"))
+    assert sorted((r["title_key"], r["paper_id"]) for r in first_by_order(batch, "3 days").collect()) == sorted([*want, ("end", 0)])
+
+
 class Session:
     """Just the parts of a session that decide on the scratch folder."""
 

@@ -303,6 +303,10 @@ SELECT paper_id, attempt::INT AS attempt, {INSTRUCTION} || chr(10) || 'Keys: tit
   || left({BLOCK}, 300) || chr(10) || '</paper>' AS prompt
 FROM full_docs, range(2) t(attempt)""",
     "match_strategies": f"WITH {HITS} SELECT run_id, query_no, paper_id, strategy_no, matched FROM hits",
+    "bounded_strategies": f"""WITH {HITS},
+numbered AS (SELECT h.*, least(budget, 100) AS page, budget, row_number() OVER (
+    PARTITION BY h.run_id, query_no, strategy_no ORDER BY matched DESC, paper_id) AS position FROM hits h JOIN runs USING (run_id))
+SELECT run_id, query_no, strategy_no, paper_id, matched FROM numbered WHERE position <= ceil(budget / page) * page""",
     "phrase_match": f"""WITH {DOCS},
 l AS (SELECT item_id AS run_id, string_split(array_to_string(list_transform({split('lower(text)')},
     lambda w: CASE WHEN list_contains({STOP}, w) THEN w ELSE '|' END), ' '), '|') AS l FROM benchmark),
@@ -476,6 +480,10 @@ ORACLES["harvest_batches"] = f"""WITH {DOCS},
 keyed AS (SELECT paper_id, {strip('lower(title)')} AS title_key, (paper_id % 6)::INT AS batch_id FROM docs)
 SELECT batch_id, paper_id, title_key FROM keyed WHERE title_key <> ''
 QUALIFY row_number() OVER (PARTITION BY title_key ORDER BY batch_id, paper_id) = 1"""
+ORACLES["first_by_state"] = f"""WITH {DOCS},
+keyed AS (SELECT paper_id, {strip('lower(title)')} AS title_key, ([0, 20, 100, 110])[paper_id % 4 + 1] * 3600 AS arrived FROM docs)
+SELECT paper_id, title_key, arrived::BIGINT AS arrived FROM keyed WHERE title_key <> ''
+QUALIFY row_number() OVER (PARTITION BY title_key, arrived > 200000 ORDER BY arrived, paper_id) = 1"""
 ORACLES["rejected_papers"] = f"""WITH {DOCS}, {PREPRINTS},
 every AS (SELECT 'corpus' AS stage, paper_id, title FROM docs UNION ALL SELECT 'feed', paper_id, title FROM pre),
 shaped AS (SELECT stage, CASE WHEN paper_id % 40 = 7 THEN '' ELSE paper_id::VARCHAR END AS ref,

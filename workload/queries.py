@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from paperlake.functions import paper as pp
 from paperlake.functions import text as tx
 from paperlake.functions.vocab import META_KEYS, PREPRINT_SOURCES, STOP_WORDS
-from paperlake.operators import extract, match, merge, quality, similarity
+from paperlake.operators import extract, match, merge, postings, quality, similarity
 from paperlake.operators.encode import hashed_tokens
 from paperlake.operators.queries import run_queries
 from paperlake.operators.ranking import first_wins
@@ -26,7 +26,7 @@ from paperlake.sources.papers import as_papers, rejects
 from paperlake.sources.runs import run_table
 from paperlake.sources.tables import read_table
 from paperlake.streaming import pages
-from paperlake.streaming.harvest import harvest
+from paperlake.streaming.harvest import first_by_order, harvest
 from paperlake.streaming.seen import SeenTitles
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -220,6 +220,16 @@ def match_strategies(spark, sf):
     return match.strategy_hits(hits)
 
 
+@query
+def bounded_strategies(spark, sf):
+    """The first hits of each strategy from postings in blocks; hits beyond the bounds are not built."""
+    saved = runs(spark, sf)
+    queries = materialise(run_queries(saved), "queries")
+    limits = materialise(search.budgets(saved, queries), "limits")
+    index = postings.blocked_postings(corpus(spark, sf), 32)
+    return postings.first_hits(queries, index, limits, search.largest(limits)["bound"])
+
+
 @query
 def phrase_match(spark, sf):
     """Queries of stop words only, matched as whole phrases: every stretch of stop words of the prompts."""
@@ -420,6 +430,26 @@ def harvest_batches(spark, sf):
     return spark.read.parquet(f"{folder}/table").select(F.col("batch_id").cast("int").alias("batch_id"), "paper_id", "title_key")
 
 
+@query
+def first_by_state(spark, sf):
+    """Documents in four portions, at hours 0, 20, 100 and 110, with titles in the state store for 25 hours; one more
+    page, days later, lets the watermark pass the last of them."""
+    folder = scratch_path(spark, "arrivals")
+    hour = F.element_at(F.array(*map(F.lit, (0, 20, 100, 110))), (F.col("paper_id") % 4 + 1).cast("int"))
+    papers = corpus(spark, sf).select("paper_id", "title", F.timestamp_seconds(hour * 3600).alias("arrived"))
+    after = spark.range(1).select(
+        F.lit(-1).cast("bigint").alias("paper_id"), F.lit("after the feed").alias("title"), F.timestamp_seconds(F.lit(10**7)).alias("arrived")
+    )
+    for page in [*[papers.where(F.col("paper_id") % 4 == k) for k in range(4)], after]:
+        page.write.mode("append").parquet(f"{folder}/pages")
+        landed = spark.readStream.schema(papers.schema).parquet(f"{folder}/pages")
+        (
+            first_by_order(landed, "25 hours").writeStream.format("parquet").option("path", f"{folder}/table")
+            .option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+        )
+    return spark.read.parquet(f"{folder}/table").select("paper_id", "title_key", F.col("arrived").cast("bigint").alias("arrived"))
+
+
 @query
 def rejected_papers(spark, sf):
     """Papers of both sources that no search can use: some without a title, some without an id, each with its reason."""
