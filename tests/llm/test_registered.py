@@ -6,7 +6,7 @@ import pytest
 
 from paperlake.llm.queries import ORACLES, QUERIES
 
-#: Tests against a brute-force version, the library or held-out rows. The pipeline's test checks its stages' invariants only.
+#: Tests against a brute-force version, the library or held-out rows.
 TESTED = {
     "op2_licenses": ("test_text_operators", "test_licenses"),
     "op4_bpe": ("test_text_operators", "test_bpe"),
@@ -16,7 +16,7 @@ TESTED = {
     "op8_secrets": ("test_text_operators", "test_secrets"),
     "op9_near_documents": ("test_pairs", "test_near_documents"),
     "op12_packing": ("test_packing", "test_documents"),
-    "pipeline": ("test_pairs", "test_pipeline"),
+    "pipeline": ("test_pipeline_rows", "test_rows_of_the_whole_pipeline"),
 }
 
 
