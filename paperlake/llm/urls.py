@@ -32,16 +32,17 @@ RULES = (
     ("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"),
     ("block", "net", "/es/"), ("block", "net", "/fr/"),
 )
-#: Words of host names from which the labelled table is built.
-BAD_WORDS = (
-    "cheap-pills", "spam-farm", "casino-bonus", "free-loans", "adult-cams", "win-prizes", "replica-watches",
-    "hot-singles", "crack-keygen", "payday-cash", "diet-miracle", "click-farm", "link-farm", "xxx-videos",
-    "betting-tips", "pills-online", "viagra-shop", "warez-download", "spam-blog", "poker-chips",
+#: Parts of host names from which the labelled table is built: every first one with every last one. There are more
+#: good hosts than bad ones, so a host that resembles neither is allowed.
+BAD_PARTS = (
+    ("cheap", "free", "spam", "discount", "instant", "lucky", "mega", "bonus", "miracle", "payday"),
+    ("casino", "poker", "lotto", "pharmacy", "loans", "cams", "keygen", "replicas", "jackpot", "slots"),
 )
-GOOD_WORDS = (
-    "library", "university", "museum", "gazette", "archive", "garden", "weather", "history", "science",
-    "journal", "theatre", "village", "council", "hospital", "orchestra", "bakery", "railway", "forum",
-    "cookbook", "observatory",
+GOOD_PARTS = (
+    ("city", "north", "royal", "county", "open", "national", "old", "river", "central", "modern", "state", "harbour",
+     "family", "rural", "public", "alpine"),
+    ("library", "museum", "gazette", "archive", "garden", "weather", "journal", "theatre", "council", "hospital",
+     "railway", "observatory", "orchestra", "bakery", "forum", "university"),
 )
 DOMAINS = ("example.com", "example.org", "example.net")
 PLACES = ("/", "/en/12", "/de/417.html", "/fr/83/", "/es/205?page=2")
@@ -74,16 +75,18 @@ def best_rule(host: Column, path: Column, rules: Sequence[tuple[str, str, str]]
     return rule, verdict
 
 
-def labelled_urls(spark: SparkSession) -> DataFrame:
-    """A small labelled table (url, bad): every word with every domain and a few paths."""
-    rows = [
-        (f"https://{prefix}{word}.{domain}{place}", bad)
-        for bad, words in ((1, BAD_WORDS), (0, GOOD_WORDS))
-        for word in words
-        for i, domain in enumerate(DOMAINS)
-        for j, place in enumerate(PLACES)
-        for prefix in [("", "www.", "m.", "blog.")[(i + j) % 4]]
-    ]
+def labelled_urls(spark: SparkSession, path: str | None = None) -> DataFrame:
+    """A small labelled table (url, bad): the Parquet table at ``path``, or hosts made of the parts, with three
+    addresses each that go through the domains, paths and prefixes in turn."""
+    if path is not None:
+        return spark.read.parquet(path).select("url", "bad")
+    rows = []
+    for bad, (firsts, lasts) in ((1, BAD_PARTS), (0, GOOD_PARTS)):
+        for i, first in enumerate(firsts):
+            for j, last in enumerate(lasts):
+                for k, domain in enumerate(DOMAINS):
+                    host = f"{('', 'www.', 'm.', 'blog.')[(i + k) % 4]}{first}{('-', '')[(i + j) % 2]}{last}.{domain}"
+                    rows.append((f"https://{host}{PLACES[(i + j + k) % len(PLACES)]}", bad))
     return spark.createDataFrame(rows, "url string, bad int")
 
 
