@@ -65,18 +65,18 @@ def first_hits(queries: DataFrame, postings: DataFrame, limits: DataFrame, most:
 
     ``limits`` holds (run_id, bound), ``most`` is the largest bound. Hits stand in order of matched keywords, then id.
     """
-    queries, bounds = materialise(queries, "queries"), materialise(limits.select("run_id", "bound"), "bounds")
+    queries, bounds = materialise(queries, "queries"), sized_side(materialise(limits.select("run_id", "bound"), "bounds"))
     turns = materialise(block_turns(queries, postings), "turns")
     shown = [*KEYS, "paper_id", "matched"]
-    open_keys, kept, parts, seen, width = turns.select(*KEYS).distinct(), None, [], 0, 1
+    open_keys, kept, parts, seen, width = sized_side(turns.select(*KEYS).distinct()), None, [], 0, 1
     while True:
         ahead = turns.where(F.col("turn").between(seen + 1, seen + width))
-        chosen = materialise(ahead.join(sized_side(open_keys), KEYS, "left_semi"), "chosen")
+        chosen = materialise(ahead.join(open_keys, KEYS, "left_semi"), "chosen")
         found = hits_in_blocks(queries, postings, chosen).select(*shown, "block")
         if kept is not None:
-            found = kept.join(sized_side(open_keys), KEYS, "left_semi").select(*shown, "block").unionByName(found)
+            found = kept.join(open_keys, KEYS, "left_semi").select(*shown, "block").unionByName(found)
         kept = materialise(prefix_cap(
-            found.join(sized_side(bounds), "run_id"), KEYS, [F.desc("matched"), "paper_id"], F.col("bound"),
+            found.join(bounds, "run_id"), KEYS, [F.desc("matched"), "paper_id"], F.col("bound"),
             rank_name="position", most=most,
         ), "first-hits")
         seen, width = seen + width, 2 * width
@@ -84,9 +84,10 @@ def first_hits(queries: DataFrame, postings: DataFrame, limits: DataFrame, most:
             *KEYS, F.col("matched").alias("least"), F.col("block").alias("at")
         )
         settled = (F.col("least") > F.col("upper")) | ((F.col("least") == F.col("upper")) & (F.col("at") < F.col("block")))
-        visiting = turns.where(F.col("turn") == seen + 1).join(sized_side(open_keys), KEYS, "left_semi")
+        visiting = turns.where(F.col("turn") == seen + 1).join(open_keys, KEYS, "left_semi")
         to_come = visiting.join(last, KEYS, "left")
-        open_keys = materialise(to_come.where(~F.coalesce(settled, F.lit(False))).select(*KEYS), "open")
-        parts.append(kept.join(sized_side(open_keys), KEYS, "left_anti").select(*shown))
-        if open_keys.isEmpty():
-            return reduce(DataFrame.unionByName, parts)
+        still = materialise(to_come.where(~F.coalesce(settled, F.lit(False))).select(*KEYS), "open")
+        if still.isEmpty():
+            return reduce(DataFrame.unionByName, [*parts, kept.select(*shown)])
+        open_keys = sized_side(still)
+        parts.append(kept.join(open_keys, KEYS, "left_anti").select(*shown))
