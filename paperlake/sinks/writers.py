@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from paperlake.operators.ranking import number_rows
 from paperlake.session import materialise
-from paperlake.sinks.columns import cells, names_array, ordered_columns
+from paperlake.sinks.columns import names_array, numbered_columns, with_cells
 
 ORDER = ("run_id", "paper_no", "element_no")
 RULE = "─" * 60
@@ -27,15 +27,16 @@ def csv_cell(value: Column) -> Column:
     return F.when(text.rlike('[",\r\n]'), quoted).otherwise(text)
 
 
-def _write_lines(lines: DataFrame, order: Sequence[str], path: str, end: str, before: Column | None = None,
+def _write_lines(lines: DataFrame, order: Sequence[str], path: str, end: str, before: DataFrame | Column | None = None,
                  after: Column | None = None) -> None:
-    """Write ``line`` in ``order``, with one line before all others and one after them."""
+    """Write ``line`` in ``order``, with one line before all others and one after them; either may be a table of one ``line``."""
     whole = lines.withColumn("_at", F.lit(1))
     blank = lines.limit(0)
     spark = lines.sparkSession
     for at, line in ((0, before), (2, after)):
         if line is not None:
-            row = spark.range(1).select(*[F.lit(None).cast(t).alias(c) for c, t in blank.dtypes if c != "line"], line.alias("line"))
+            one = line if isinstance(line, DataFrame) else spark.range(1).select(line.alias("line"))
+            row = one.select(*[F.lit(None).cast(t).alias(c) for c, t in blank.dtypes if c != "line"], "line")
             whole = whole.unionByName(row.withColumn("_at", F.lit(at)))
     whole.orderBy("_at", *order).select("line").write.option("lineSep", end).text(path)
 
@@ -50,12 +51,13 @@ def write_csv(
     records = materialise(records.select(*order, "fields"), "csv-records")
     if records.isEmpty():
         return False
-    columns = ordered_columns(records, fields)
-    line = F.array_join(F.transform(cells(columns), csv_cell), ",")
-    if len(columns) == 1:
-        line = F.when(line == "", F.lit('""')).otherwise(line)
-    header = F.array_join(F.transform(names_array(columns), csv_cell), ",")
-    _write_lines(records.select(*order, line.alias("line")), order, path, "\r\n", before=header)
+    columns = materialise(numbered_columns(records, fields), "csv-columns")
+    placed, names = with_cells(records, columns)
+    line = F.array_join(F.transform("cells", csv_cell), ",")
+    line = F.when((F.size("cells") == 1) & (line == ""), F.lit('""')).otherwise(line)
+    header = names.select(F.array_join(F.transform("names", csv_cell), ",").alias("line"))
+    lines = materialise(placed.select(*order, line.alias("line")), "csv-lines")  # a sort evaluates its input twice
+    _write_lines(lines, order, path, "\r\n", before=header)
     return True
 
 
@@ -98,12 +100,12 @@ def write_text(
     records = materialise(records.select(*order, "fields"), "text-records")
     if records.isEmpty():
         return False
-    columns = ordered_columns(records, fields)
+    columns = materialise(numbered_columns(records, fields), "text-columns")
+    numbered, names = with_cells(number_rows(records, list(order[:1]), list(order[1:])), columns)
     shown = F.zip_with(
-        names_array(columns), cells(columns),
+        names_array(names.first()["names"]), "cells",
         lambda k, v: F.format_string("  %-26s: %s", k, F.coalesce(v, F.lit(""))),
     )
-    numbered = number_rows(records, list(order[:1]), list(order[1:]))
     head = F.format_string(f"{RULE}\nRecord %d\n{RULE}", "record_no")
     framed = F.concat(head, F.lit("\n"), F.array_join(shown, "\n"), F.lit("\n"))
     _write_lines(numbered.select(*order, framed.alias("line")), order, path, "\n")

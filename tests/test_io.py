@@ -351,3 +351,16 @@ def test_feed_pages_stand_in_order_of_their_numbers(spark):
     df = spark.createDataFrame([(p,) for p in pages], "page string")
     got = [r["page"] for r in df.orderBy(preprint.by_number(F.col("page")), "page").collect()]
     assert got == ["/f/2.json", "/f/10.json", "/f/cursor-7-1.json", "/f/page=3/a.json", "/f/page=20/a.json"]
+
+
+def test_many_columns_meet_their_values_by_position(spark, tmp_path, monkeypatch):
+    rows = [{}, {"title": 'a"b', "_x": "no"}, {"z": None, "b": "é,"}, {f"k{i}": str(i) for i in range(9)}]
+    shown = []
+    for few in (0, 64):
+        monkeypatch.setattr(columns, "FEW_COLUMNS", few)
+        folder = tmp_path / str(few)
+        assert writers.write_csv(records(spark, rows), ["title", "none", "b"], str(folder / "csv"))
+        assert writers.write_text(records(spark, rows), ["title", "none", "b"], str(folder / "text"))
+        shown.append(["".join(parts(folder / kind)) for kind in ("csv", "text")])
+    assert shown[0] == shown[1]
+    assert shown[0][0].startswith("title,b," + ",".join(f"k{i}" for i in range(9)) + ",z\r\n" + "," * 11 + "\r\n")
