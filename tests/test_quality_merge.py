@@ -1,6 +1,8 @@
 import pytest
+from pyspark.sql import functions as F
 
 from paperlake.operators import merge, quality
+from paperlake.sources.runs import run_table
 
 
 def runs_of(spark, specs):
@@ -91,3 +93,19 @@ def test_run_summary(spark):
     got = {r["run_id"]: r for r in quality.run_summary(runs, ids(1, 1), ids(1, 1, 1), chosen, errors).collect()}
     assert tuple(got[1]) == (1, 2, 3, 2, 8, ["m0", "m1", "m2", "m3", "m4"])
     assert tuple(got[2]) == (2, 0, 0, 0, 0, None)
+
+
+def test_records_of_a_large_run_are_not_gathered_by_run(spark):
+    """Runs derived from the records look large to Spark, which then shuffles whole records by run."""
+    records = spark.range(200).select(
+        (F.col("id") % 2).alias("run_id"), F.col("id").alias("paper_no"), F.lit(0).alias("element_no"),
+        F.create_map(F.lit("title"), (F.col("id") % 40).cast("string")).alias("fields"),
+    )
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1")
+    try:
+        done = merge.exact_dedup(records, run_table(records.select("run_id").distinct(), "run_id", F.lit(""), F.lit("title")))
+        plan = done._jdf.queryExecution().toString()
+        assert "SortMergeJoin" not in plan and done.count() == 40
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
