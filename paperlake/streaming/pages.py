@@ -64,6 +64,24 @@ def page_stream(spark: SparkSession, path: str, pages_per_batch: int | None = No
     return reader.load(path).select(F.col("_metadata.file_path").alias("page"), F.col("value").alias("body"))
 
 
+#: Pages of a pack.
+PACK_PAGES = 64
+
+
+def write_packs(pages: DataFrame, path: str) -> None:
+    """Pages (page, body) as packs, Parquet files of at most PACK_PAGES pages. A file for each page would cost more to make
+    and to list than its papers cost to read."""
+    pages.select("page", "body").write.option("maxRecordsPerFile", PACK_PAGES).parquet(path)
+
+
+def packed_page_stream(spark: SparkSession, path: str, packs_per_batch: int | None = None) -> DataFrame:
+    """(page, body): every page of the packs that land under ``path``."""
+    reader = spark.readStream.schema("page string, body string")
+    if packs_per_batch is not None:
+        reader = reader.option("maxFilesPerTrigger", packs_per_batch)
+    return reader.parquet(path)
+
+
 def land_papers(pages: DataFrame, feed: Feed, table: str, errors: str, checkpoint: str) -> StreamingQuery:
     """Papers of the pages into ``table``, malformed pages and unusable papers into ``errors``.
 

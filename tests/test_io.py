@@ -346,6 +346,23 @@ def test_collect_with_responder_and_retries(spark):
     assert again.merged.where(F.col("run_id") == 1).count() == 2
 
 
+def test_packs_of_pages_bring_what_page_files_bring(spark, tmp_path):
+    """Also a page with line breaks, an empty one and one without text; a pack holds many pages."""
+    folder = lambda name: str(tmp_path / name)
+    whole = {k: HEAD + ENTRIES.replace("http://a/", f"http://{k}/") + "</feed>" for k in range(150)}
+    bodies = whole | {7: HEAD + ENTRIES, 8: "", 9: None, 10: HEAD + "\n\n</feed>"}
+    rows = [(f"server=0/page={k}", body) for k, body in bodies.items()]
+    pages.write_packs(spark.createDataFrame(rows, "page string, body string").coalesce(1), folder("packs"))
+    assert len(list((tmp_path / "packs").glob("*.parquet"))) == 3
+    landed = pages.packed_page_stream(spark, folder("packs"), 2)
+    pages.land_papers(landed, pages.atom_feed(), folder("papers"), folder("errors"), folder("state")).awaitTermination()
+    found = spark.read.parquet(folder("papers")).groupBy("page").count().collect()
+    assert {r["page"]: r["count"] for r in found} == {f"server=0/page={k}": 2 for k in bodies if k not in (7, 8, 9, 10)}
+    faults = spark.read.parquet(folder("errors")).collect()
+    assert sorted(r["ref"] for r in faults) == [f"server=0/page={k}" for k in (7, 8, 9)]
+    assert {r["batch_id"] for r in faults} <= {0, 1} and os.path.isdir(folder("papers") + "/batch_id=1")
+
+
 def test_feed_pages_stand_in_order_of_their_numbers(spark):
     pages = ["/f/10.json", "/f/2.json", "/f/page=3/a.json", "/f/page=20/a.json", "/f/cursor-7-1.json"]
     df = spark.createDataFrame([(p,) for p in pages], "page string")
