@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -130,6 +131,8 @@ def contained_in(words: DataFrame, needles: DataFrame) -> DataFrame:
 
 #: Most bytes of needles that every task gets as one automaton; beyond, needles meet the vocabulary in a join.
 NEEDLE_BYTES = 16 << 20
+#: Papers whose counts make one batch of rows.
+COUNTED_ROWS = 256
 
 
 def _handed_out(needles: DataFrame) -> list[tuple[str, int]] | None:
@@ -178,21 +181,82 @@ def substring_papers(texts: DataFrame, needles: DataFrame) -> DataFrame:
     return words.join(sized_side(pairs), "word").select("paper_id", "needle_id").distinct()
 
 
+def _counted(texts: DataFrame, wanted: list[tuple[int, int, int]], needles: list[tuple[str, int]]) -> DataFrame:
+    """(run_id, paper_id, matches) of each text row by itself, from one pass over the texts.
+
+    ``wanted`` holds (run_id, needle_id, times). A row's hits are counted where it is read, so no hit is shuffled or kept.
+    """
+    schema = f"run_id bigint, paper_id {texts.schema['paper_id'].dataType.simpleString()}, matches bigint"
+    if not wanted:
+        return texts.sparkSession.createDataFrame([], schema)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        runs = np.unique(np.array([r for r, _, _ in wanted], np.int64))
+        of: dict[int, list[tuple[int, int]]] = {}
+        for run, number, times in wanted:
+            of.setdefault(number, []).append((int(np.searchsorted(runs, run)), times))
+        asked = {n: tuple(np.array(column, np.int64) for column in zip(*places, strict=True)) for n, places in of.items()}
+        automaton = ahocorasick.Automaton()
+        for needle, number in needles:
+            automaton.add_word(needle, number)
+        automaton.make_automaton()
+        counts = np.zeros(len(runs), np.int64)
+        for batch in batches:
+            for s in range(0, batch.num_rows, COUNTED_ROWS):
+                part = batch.slice(s, COUNTED_ROWS)
+                rows, found, sums = [], [], []
+                for k, (title, abstract) in enumerate(zip(part.column("title"), part.column("abstract"), strict=True)):
+                    hits = {n for text in (title.as_py(), abstract.as_py()) for _, n in automaton.iter(text)}
+                    counts[:] = 0
+                    for n in hits & asked.keys():
+                        at, times = asked[n]
+                        counts[at] += times  # a run asks for a needle once
+                    some = np.flatnonzero(counts)
+                    rows.append(np.full(len(some), k))
+                    found.append(runs[some])
+                    sums.append(counts[some])
+                if not rows:
+                    continue
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(found), pa.int64()), part.column("paper_id").take(pa.array(np.concatenate(rows), pa.int64())),
+                     pa.array(np.concatenate(sums), pa.int64())], ["run_id", "paper_id", "matches"]
+                )
+
+    return texts.select("paper_id", "title", "abstract").mapInArrow(scan, schema)
+
+
+def _by_copies(texts: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Texts whose id no other row has, and the others, if any; ids alone are counted."""
+    many = materialise(texts.groupBy("paper_id").agg(F.count("*").alias("_n")).where("_n > 1").select("paper_id"), "repeated")
+    if many.isEmpty():
+        return texts, None
+    many = sized_side(many.withColumnRenamed("paper_id", "_id"))
+    same = F.col("paper_id").eqNullSafe(F.col("_id"))
+    return texts.join(many, same, "left_anti"), texts.join(many, same, "left_semi")
+
+
 def substring_hits(runs: DataFrame, corpus: DataFrame) -> DataFrame:
     """(run_id, paper_id, matches): papers that contain at least one filter keyword of a run.
 
     ``matches`` counts repeated keywords of the prompt each time. Runs without any filter
-    keyword pass every paper and are left to :func:`unfiltered_runs`.
+    keyword pass every paper and are left to :func:`unfiltered_runs`. Hits are counted where a paper is read; only
+    papers whose id stands in several rows, and searches too many for that, go through an aggregate.
     """
     wanted = filter_keywords(runs).withColumnRenamed("keyword", "needle")
     needles = numbered_needles(wanted)
-    found = substring_papers(lower_texts(corpus), needles)
     wanted = wanted.join(needles, "needle").select("run_id", "needle_id", "times")
-    return (
-        found.join(sized_side(wanted), "needle_id")
-        .groupBy("run_id", "paper_id")
-        .agg(F.sum("times").alias("matches"))
-    )
+    texts = lower_texts(corpus)
+    summed = lambda hits: hits.groupBy("run_id", "paper_id").agg(F.sum("matches").alias("matches"))
+    small = _handed_out(needles)
+    if small is not None and wanted.count() * 24 <= NEEDLE_BYTES:
+        asked = [tuple(r) for r in wanted.collect()]
+        single, copies = _by_copies(texts)
+        found = _counted(single, asked, small)
+        return found if copies is None else found.unionByName(summed(_counted(copies, asked, small)))
+    found = substring_papers(texts, needles)
+    return summed(found.join(sized_side(wanted), "needle_id").withColumnRenamed("times", "matches"))
 
 
 def unfiltered_runs(runs: DataFrame) -> DataFrame:
