@@ -8,7 +8,7 @@ similarity of exactly 0.8 signatures lie outside the radius with a probability o
 less above it.
 
 The radius also admits pairs down to a similarity of about 0.6. A profile refuses most of them: the set's hashes fall into
-BINS bins, and the profile holds 8 bits of the smallest hash of each. The share of equal bins among those that either
+BINS bins, and the profile holds 8 bits of the smallest hash of each. Only classes that share a key get one. The share of equal bins among those that either
 set fills estimates the similarity; the fewer of the two sets' hashes share a bin, the closer. Pairs whose estimate lies more
 than SIGMAS standard deviations below the limit are refused, which loses about 3 in 100,000 of those exactly at it.
 
@@ -49,7 +49,7 @@ VALUES = CHUNKS * CHUNK
 RADIUS = 2 * CHUNKS - 1
 WORDS, PERCENT = 5, 80
 #: Bins of a profile, and standard deviations of its estimate within which a pair is confirmed.
-BINS, SIGMAS = 256, 4
+BINS, SIGMAS = 1024, 4
 #: Candidates per class and group that a round confirms; None: all.
 ROUNDS = (1, None)
 _MIX = np.uint64(0xFF51AFD7ED558CCD)
@@ -101,7 +101,7 @@ def profile(shingles: np.ndarray) -> bytes:
     """For each bin, 0 if no hash falls into it, else 1 to 255 from the smallest one."""
     out = np.zeros(BINS, np.uint8)
     back = shingles[::-1]  # the smallest hash of a bin is written last
-    out[(back * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - 8)] = 1 + ((back * _MIX) >> np.uint64(33)) % np.uint64(255)
+    out[(back * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(65 - BINS.bit_length())] = 1 + ((back * _MIX) >> np.uint64(33)) % np.uint64(255)
     return out.tobytes()
 
 
@@ -121,14 +121,14 @@ def likely(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, percent
 
 
 def sketches(docs: DataFrame, id: str, text: str, size: int, *more: Column) -> DataFrame:
-    """(doc_id, more columns, n, h1, h2, signature, profile): size and 128-bit hash of every set."""
+    """(doc_id, more columns, n, h1, h2, signature): size and 128-bit hash of every set."""
     slim = docs.select(col(id).alias("doc_id"), *more, col(text).alias("text"))
     rest = slim.drop("text")
     names = rest.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ns, h1, h2, signs, forms = [], [], [], [], []
+            ns, h1, h2, signs = [], [], [], []
             for t in batch.column("text"):
                 s = shingle_set(t.as_py(), size)
                 digest = xxhash.xxh3_128_digest(s.tobytes())
@@ -136,14 +136,13 @@ def sketches(docs: DataFrame, id: str, text: str, size: int, *more: Column) -> D
                 h1.append(int.from_bytes(digest[:8], "big", signed=True))
                 h2.append(int.from_bytes(digest[8:], "big", signed=True))
                 signs.append(signature(s) if len(s) else None)
-                forms.append(profile(s) if len(s) else None)
             added = {"n": pa.array(ns, pa.int64()), "h1": pa.array(h1, pa.int64()),
-                     "h2": pa.array(h2, pa.int64()), "signature": pa.array(signs, pa.binary()), "profile": pa.array(forms, pa.binary())}
+                     "h2": pa.array(h2, pa.int64()), "signature": pa.array(signs, pa.binary())}
             kept = {c: batch.column(c) for c in names}
             yield pa.RecordBatch.from_pydict(kept | added)
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rest.schema)
-    return slim.mapInArrow(run, f"{schema}, n bigint, h1 bigint, h2 bigint, signature binary, profile binary")
+    return slim.mapInArrow(run, f"{schema}, n bigint, h1 bigint, h2 bigint, signature binary")
 
 
 def keys(signs: Column) -> Column:
@@ -202,8 +201,8 @@ def _near(limit: int | None, percent: int):
                 continue
             fine &= (signs[at][:, None, :] != signs[right][None, :, :]).sum(axis=2) <= RADIUS
             x, y = np.nonzero(fine)
-            for e in range(0, len(x), 20_000):
-                p, q = at[x[e:e + 20_000]], right[y[e:e + 20_000]]
+            for e in range(0, len(x), 5_000):
+                p, q = at[x[e:e + 5_000]], right[y[e:e + 5_000]]
                 first = own[first_shared(signs[p] != signs[q])]
                 p, q = p[first], q[first]
                 good, est = likely(forms[p], forms[q], n[p], n[q], percent)
@@ -266,13 +265,31 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> D
     return wide.mapInPandas(run, "a bigint, b bigint")
 
 
-def _texts(docs: DataFrame, wanted: DataFrame, id: str, text: str) -> DataFrame:
-    """(cid, text) of the wanted classes, by the id and a hash of the text of one of their rows."""
+def _texts(docs: DataFrame, wanted: DataFrame, id: str, text: str, size: int) -> DataFrame:
+    """(cid, text, profile) of the wanted classes, by the id and a hash of the text of one of their rows."""
     d = docs.select(
         F.coalesce(F.hash(col(id)), F.lit(0)).alias("hid"), F.xxhash64(col(text)).alias("htext"), col(text).alias("text")
     )
     joined = d.join(sized_side(wanted.select("hid", "htext", "cid")), ["hid", "htext"])
-    return materialise(joined.select("cid", "text").dropDuplicates(["cid"]), "near-texts")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            forms = pa.array([profile(shingle_set(t.as_py(), size)) for t in batch.column("text")], pa.binary())
+            yield pa.RecordBatch.from_pydict({"cid": batch.column("cid"), "text": batch.column("text"), "profile": forms})
+
+    once = joined.select("cid", "text").dropDuplicates(["cid"])
+    return materialise(once.mapInArrow(run, "cid bigint, text string, profile binary"), "near-texts")
+
+
+def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """The roots after more links: only the components that these join are gone through again."""
+    for c in ("a", "b"):
+        links = links.join(roots.select(F.col("id").alias(c), F.col("root").alias(f"root_{c}")), c, "left")
+    between = links.select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b")).where("a <> b")
+    higher = components(between).select(F.col("id").alias("root"), F.col("root").alias("top"))
+    both = roots.join(higher, "root", "left").select("id", F.coalesce("top", "root").alias("root"))
+    alone = higher.join(roots.select(F.col("id").alias("root")), "root", "left_anti").select(F.col("root").alias("id"), F.col("top").alias("root"))
+    return materialise(both.union(alone), "roots")
 
 
 def near_classes(docs: DataFrame, id: str, text: str, size: int, percent: int, *more: Column) -> tuple[DataFrame, DataFrame]:
@@ -285,18 +302,18 @@ def near_classes(docs: DataFrame, id: str, text: str, size: int, percent: int, *
     classes = (
         rows.where("n > 0").groupBy("h1", "h2")
         .agg(F.min("doc_id").alias("doc_id"), F.max("signature").alias("signature"),
-             F.min(F.struct("hid", "htext")).alias("row"), F.max("profile").alias("profile"), F.max("n").alias("n"))
-        .select(F.monotonically_increasing_id().alias("cid"), "h1", "h2", "doc_id", "n", "signature", "profile", "row.hid", "row.htext")
+             F.min(F.struct("hid", "htext")).alias("row"), F.max("n").alias("n"))
+        .select(F.monotonically_increasing_id().alias("cid"), "h1", "h2", "doc_id", "n", "signature", "row.hid", "row.htext")
     )
     classes = materialise(classes, "classes")
-    signs = classes.select("cid", "n", "signature", "profile")
     index = classes.select("cid", F.posexplode(keys(F.col("signature"))).alias("place", "key"))
     shared = index.groupBy("key").agg(F.min("cid").alias("hub"), F.max("cid").alias("most")).where("hub < most")
     members = materialise(index.join(shared.select("key", "hub"), "key"), "members")
     hubs = members.where("cid <> hub").groupBy(F.col("cid").alias("b")).agg(F.min("hub").alias("x"), F.max("hub").alias("y"))
     tried = materialise(hubs.select(F.explode(F.array_distinct(F.array("x", "y"))).alias("a"), "b"), "tried")
     involved = members.select("cid").distinct()
-    texts = _texts(docs, classes.join(involved, "cid").select("hid", "htext", "cid"), id, text)
+    texts = _texts(docs, classes.join(involved, "cid").select("hid", "htext", "cid"), id, text, size)
+    signs = materialise(classes.select("cid", "n", "signature").join(texts.select("cid", "profile"), "cid"), "near-signs")
     links = materialise(_confirmed(tried, texts, size, percent), "near-links")
     roots = components(links)
     for limit in ROUNDS:
@@ -322,9 +339,9 @@ def near_classes(docs: DataFrame, id: str, text: str, size: int, percent: int, *
         found = materialise(found.groupBy("a", "b").agg(F.max("cut").alias("cut")), "near-candidates")
         new = materialise(found.join(tried, ["a", "b"], "left_anti").select("a", "b"), "near-new")
         if not new.isEmpty():
-            links = materialise(links.union(_confirmed(new, texts, size, percent)), "near-links")
+            links = materialise(_confirmed(new, texts, size, percent), "near-links")
             tried = materialise(tried.union(new), "tried")
-            roots = components(links)
+            roots = _joined(roots, links)
         if found.where("cut > 0").isEmpty():  # these were all candidates, and joining components adds none
             break
     placed = classes.join(roots.withColumnRenamed("id", "cid"), "cid", "left").select(

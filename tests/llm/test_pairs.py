@@ -339,3 +339,24 @@ def test_first_shared_key():
         shared = [c * minhash.CHUNK + d for c in range(minhash.CHUNKS) for d in range(minhash.CHUNK)
                   if all(a[c * minhash.CHUNK + e] == b[c * minhash.CHUNK + e] for e in range(minhash.CHUNK) if e != d)]
         assert minhash.first_shared((a != b)[None])[0] == (shared[0] if shared else minhash.VALUES)
+
+
+def test_profiles_refuse_pairs_well_below_the_limit():
+    """Sets of 146 shingles, as many copies have that are not near enough: at 0.74 hardly any is left, at 0.8 all are."""
+    rng = np.random.default_rng(11)
+    passed = {124: 0, 130: 0}
+    for both in passed:  # of 146 each: 0.738 and 0.802
+        for _ in range(200):
+            a = rng.integers(0, 1 << 63, 146, dtype=np.uint64)
+            b = np.concatenate([a[:both], rng.integers(0, 1 << 63, 146 - both, dtype=np.uint64)])
+            fa, fb = (np.frombuffer(minhash.profile(np.sort(x)), np.uint8)[None] for x in (a, b))
+            passed[both] += minhash.likely(fa, fb, np.array([146]), np.array([146]), 80)[0][0]
+    assert passed[130] == 200 and passed[124] < 20
+
+
+def test_joining_more_links_equals_components_of_all(spark):
+    rng = np.random.default_rng(13)
+    first, more = ([tuple(map(int, p)) for p in rng.integers(0, 60, (n, 2)) if p[0] != p[1]] for n in (22, 18))
+    frame = lambda links: spark.createDataFrame(links, "a bigint, b bigint")
+    got = minhash._joined(minhash.components(frame(first)), frame(more)).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, minhash.components(frame(first + more)).collect()))
