@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,9 +40,9 @@ def token_index(corpus: DataFrame) -> DataFrame:
     return one_row_each(corpus, ["paper_id"], both, "_t").select("paper_id", "_t.*")
 
 
-def lower_texts(corpus: DataFrame) -> DataFrame:
-    """(paper_id, title, abstract), stripped and in lower case."""
-    return corpus.select("paper_id", *[F.lower(strip(F.coalesce(F.col(c), F.lit("")))).alias(c) for c in ("title", "abstract")])
+def lower_texts(corpus: DataFrame, *more: str) -> DataFrame:
+    """(paper_id, title, abstract, more), the texts stripped and in lower case."""
+    return corpus.select("paper_id", *[F.lower(strip(F.coalesce(F.col(c), F.lit("")))).alias(c) for c in ("title", "abstract")], *more)
 
 
 def word_index(texts: DataFrame) -> DataFrame:
@@ -66,6 +67,68 @@ def places(found: DataFrame, *keys: str) -> DataFrame:
     )
 
 
+def paper_hits(queries: DataFrame, corpus: DataFrame) -> DataFrame:
+    """:func:`keyword_hits` of a corpus. A paper's keywords are looked up where it is read, so no posting is shuffled; only papers
+    whose id stands in several rows, and searches too many for every task, go through the token index."""
+    asked = materialise(query_keywords(queries), "asked")
+    if (asked.agg(F.sum(F.octet_length("keyword") + 64)).first()[0] or 0) > NEEDLE_BYTES:
+        return keyword_hits(queries, token_index(corpus))
+    single, copies = _by_copies(corpus)
+    found = _looked_up(single, asked)
+    return found if copies is None else found.unionByName(keyword_hits(queries, token_index(copies)).select(*found.columns))
+
+
+def _looked_up(corpus: DataFrame, asked: DataFrame) -> DataFrame:
+    """Keyword positions in title and abstract of each paper row by itself, from one pass over the tokens."""
+    given = {c: asked.schema[c].dataType.simpleString() for c in ("run_id", "query_no", "n_keywords")}
+    paper = f"paper_id {corpus.schema['paper_id'].dataType.simpleString()}"
+    schema = ", ".join([*(f"{c} {t}" for c, t in given.items()), paper, "in_title int", "in_abstract int"])
+    wanted = asked.select(*given, "keyword", "mask").collect()
+    if not wanted:
+        return corpus.sparkSession.createDataFrame([], schema)
+
+    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = {key: n for n, key in enumerate(dict.fromkeys(tuple(r)[:3] for r in wanted))}
+        types = {"int": pa.int32(), "bigint": pa.int64()}
+        keys = [pa.array(column, types.get(t)) for column, t in zip(zip(*number, strict=True), given.values(), strict=True)]
+        words = list(dict.fromkeys(r["keyword"] for r in wanted))
+        place = {w: n for n, w in enumerate(words)}
+        by_word = sorted((place[r["keyword"]], number[tuple(r)[:3]], r["mask"]) for r in wanted)
+        word, query, mask = (np.array(column, np.int64) for column in zip(*by_word, strict=True))
+        starts = np.searchsorted(word, np.arange(len(words) + 1))
+        vocabulary = pa.array(words)
+
+        def hits(tokens: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+            """Row and query as one number, ascending, and the mask of the query's keywords in that row."""
+            row = np.repeat(np.arange(len(tokens)), np.diff(tokens.offsets.to_numpy()))
+            at = pc.fill_null(pc.index_in(tokens.flatten(), value_set=vocabulary), -1).to_numpy(zero_copy_only=False)
+            row, at = np.divmod(np.unique(row[at >= 0] * len(words) + at[at >= 0]), len(words))
+            times = starts[at + 1] - starts[at]
+            entry = np.arange(times.sum()) + np.repeat(starts[at] - np.cumsum(times) + times, times)
+            key = np.repeat(row, times) * len(number) + query[entry]
+            order = np.argsort(key, kind="stable")
+            key, first = np.unique(key[order], return_index=True)
+            return key, np.bitwise_or.reduceat(mask[entry[order]], first) if len(first) else first
+
+        for batch in batches:
+            for s in range(0, batch.num_rows, COUNTED_ROWS):
+                part = batch.slice(s, COUNTED_ROWS)
+                placed = [hits(part.column(c)) for c in ("title", "abstract")]
+                every = np.union1d(placed[0][0], placed[1][0])
+                masks = []
+                for key, folded in placed:
+                    masks.append(np.zeros(len(every), np.int32))
+                    masks[-1][np.searchsorted(every, key)] = folded
+                row, which = np.divmod(every, len(number))
+                yield pa.RecordBatch.from_arrays(
+                    [*(k.take(pa.array(which)) for k in keys), part.column("paper_id").take(pa.array(row)), *map(pa.array, masks)],
+                    [*given, "paper_id", "in_title", "in_abstract"])
+
+    whole = F.col("title").isNotNull() & F.col("abstract").isNotNull()  # as in the token index, others have no tokens
+    shown = [F.when(whole, tokens(F.col(c))).otherwise(F.array().cast("array<string>")).alias(c) for c in ("title", "abstract")]
+    return corpus.select("paper_id", *shown).mapInArrow(look_up, schema)
+
+
 def strategy_hits(hits: DataFrame, *more: str) -> DataFrame:
     """(run_id, query_no, strategy_no, paper_id, matched, more) for the four keyword strategies.
 
@@ -181,12 +244,17 @@ def substring_papers(texts: DataFrame, needles: DataFrame) -> DataFrame:
     return words.join(sized_side(pairs), "word").select("paper_id", "needle_id").distinct()
 
 
-def _counted(texts: DataFrame, wanted: list[tuple[int, int, int]], needles: list[tuple[str, int]]) -> DataFrame:
+def _counted(
+    texts: DataFrame, wanted: list[tuple[int, int, int]], needles: list[tuple[str, int]], days: list[tuple[int, str]] | None = None
+) -> DataFrame:
     """(run_id, paper_id, matches) of each text row by itself, from one pass over the texts.
 
     ``wanted`` holds (run_id, needle_id, times). A row's hits are counted where it is read, so no hit is shuffled or kept.
+    With ``days``, distinct (run_id, day), a text comes with ``places`` and a run meets those of its days, whose fields are added.
     """
     schema = f"run_id bigint, paper_id {texts.schema['paper_id'].dataType.simpleString()}, matches bigint"
+    names = [] if days is None else texts.schema["places"].dataType.elementType.fields
+    schema += "".join(f", {f.name} {f.dataType.simpleString()}" for f in names)
     if not wanted:
         return texts.sparkSession.createDataFrame([], schema)
 
@@ -198,6 +266,9 @@ def _counted(texts: DataFrame, wanted: list[tuple[int, int, int]], needles: list
         for run, number, times in wanted:
             of.setdefault(number, []).append((int(np.searchsorted(runs, run)), times))
         asked = {n: tuple(np.array(column, np.int64) for column in zip(*places, strict=True)) for n, places in of.items()}
+        on_day: dict[str, np.ndarray] = {}
+        for run, day in days or ():
+            on_day.setdefault(day, np.zeros(len(runs), bool))[runs == run] = True
         automaton = ahocorasick.Automaton()
         for needle, number in needles:
             automaton.add_word(needle, number)
@@ -206,25 +277,36 @@ def _counted(texts: DataFrame, wanted: list[tuple[int, int, int]], needles: list
         for batch in batches:
             for s in range(0, batch.num_rows, COUNTED_ROWS):
                 part = batch.slice(s, COUNTED_ROWS)
-                rows, found, sums = [], [], []
+                if names:
+                    places, ends = part.column("places").values, part.column("places").offsets.to_pylist()
+                    day_of = places.slice(ends[0], ends[-1] - ends[0]).field("day").to_pylist()
+                rows, found, sums, at = [], [], [], []
                 for k, (title, abstract) in enumerate(zip(part.column("title"), part.column("abstract"), strict=True)):
                     hits = {n for text in (title.as_py(), abstract.as_py()) for _, n in automaton.iter(text)}
                     counts[:] = 0
                     for n in hits & asked.keys():
-                        at, times = asked[n]
-                        counts[at] += times  # a run asks for a needle once
+                        which, times = asked[n]
+                        counts[which] += times  # a run asks for a needle once
                     some = np.flatnonzero(counts)
-                    rows.append(np.full(len(some), k))
-                    found.append(runs[some])
-                    sums.append(counts[some])
+                    for place in range(ends[k], ends[k + 1]) if names else (None,):
+                        here = some
+                        if place is not None:
+                            day = day_of[place - ends[0]]
+                            here = some[on_day[day][some]] if day in on_day else some[:0]
+                            at.append(np.full(len(here), place))
+                        rows.append(np.full(len(here), k))
+                        found.append(runs[here])
+                        sums.append(counts[here])
                 if not rows:
                     continue
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(found), pa.int64()), part.column("paper_id").take(pa.array(np.concatenate(rows), pa.int64())),
-                     pa.array(np.concatenate(sums), pa.int64())], ["run_id", "paper_id", "matches"]
-                )
+                out = [pa.array(np.concatenate(found), pa.int64()), part.column("paper_id").take(pa.array(np.concatenate(rows), pa.int64())),
+                       pa.array(np.concatenate(sums), pa.int64())]
+                if names:
+                    out += places.take(pa.array(np.concatenate(at), pa.int64())).flatten()
+                yield pa.RecordBatch.from_arrays(out, ["run_id", "paper_id", "matches", *(f.name for f in names)])
 
-    return texts.select("paper_id", "title", "abstract").mapInArrow(scan, schema)
+    read = ["paper_id", "title", "abstract", *(["places"] if names else [])]
+    return texts.select(*read).mapInArrow(scan, schema)
 
 
 def _by_copies(texts: DataFrame) -> tuple[DataFrame, DataFrame | None]:
@@ -237,6 +319,17 @@ def _by_copies(texts: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     return texts.join(many, same, "left_anti"), texts.join(many, same, "left_semi")
 
 
+def _asked(runs: DataFrame) -> tuple[DataFrame, DataFrame, list | None, list | None]:
+    """Filter keywords as numbered needles and as (run_id, needle_id, times); both also as lists, if every task may hold them."""
+    wanted = filter_keywords(runs).withColumnRenamed("keyword", "needle")
+    needles = numbered_needles(wanted)
+    wanted = wanted.join(needles, "needle").select("run_id", "needle_id", "times")
+    small = _handed_out(needles)
+    if small is None or wanted.count() * 24 > NEEDLE_BYTES:
+        return needles, wanted, None, None
+    return needles, wanted, small, [tuple(r) for r in wanted.collect()]
+
+
 def substring_hits(runs: DataFrame, corpus: DataFrame) -> DataFrame:
     """(run_id, paper_id, matches): papers that contain at least one filter keyword of a run.
 
@@ -244,14 +337,10 @@ def substring_hits(runs: DataFrame, corpus: DataFrame) -> DataFrame:
     keyword pass every paper and are left to :func:`unfiltered_runs`. Hits are counted where a paper is read; only
     papers whose id stands in several rows, and searches too many for that, go through an aggregate.
     """
-    wanted = filter_keywords(runs).withColumnRenamed("keyword", "needle")
-    needles = numbered_needles(wanted)
-    wanted = wanted.join(needles, "needle").select("run_id", "needle_id", "times")
+    needles, wanted, small, asked = _asked(runs)
     texts = lower_texts(corpus)
     summed = lambda hits: hits.groupBy("run_id", "paper_id").agg(F.sum("matches").alias("matches"))
-    small = _handed_out(needles)
-    if small is not None and wanted.count() * 24 <= NEEDLE_BYTES:
-        asked = [tuple(r) for r in wanted.collect()]
+    if small is not None:
         single, copies = _by_copies(texts)
         found = _counted(single, asked, small)
         return found if copies is None else found.unionByName(summed(_counted(copies, asked, small)))
@@ -259,6 +348,24 @@ def substring_hits(runs: DataFrame, corpus: DataFrame) -> DataFrame:
     return summed(found.join(sized_side(wanted), "needle_id").withColumnRenamed("times", "matches"))
 
 
+def placed_hits(runs: DataFrame, texts: DataFrame) -> DataFrame:
+    """(run_id, paper_id, matches and the fields of a place): hits of :func:`substring_hits` at the places of a run's day.
+
+    ``runs`` holds as_of. ``texts`` holds paper_id, unique, title, abstract and ``places``, structs that name their ``day``,
+    as_of as text. A run meets the places of its day where the text is read, so hits are joined with no table of places.
+    """
+    days = runs.where(F.col("run_id").isNotNull() & F.col("as_of").isNotNull()).select("run_id", F.col("as_of").cast("string").alias("day"))
+    needles, wanted, small, asked = _asked(runs.where(F.col("run_id").isNotNull()))
+    if small is not None:
+        found = _counted(lower_texts(texts, "places"), asked, small, [tuple(r) for r in days.distinct().collect()])
+    else:
+        hits = substring_papers(lower_texts(texts), needles).join(sized_side(wanted), "needle_id")
+        hits = hits.groupBy("run_id", "paper_id").agg(F.sum("times").alias("matches"))
+        placed = texts.select("paper_id", F.inline("places"))
+        found = hits.join(sized_side(days.distinct()), "run_id").join(placed, ["paper_id", "day"])
+    return found.join(sized_side(days), ["run_id", "day"]).drop("day")  # a run that is there twice has its hits twice
+
+
 def unfiltered_runs(runs: DataFrame) -> DataFrame:
     """Runs without any filter keyword."""
     return runs.join(filter_keywords(runs).select("run_id").distinct(), "run_id", "left_anti")

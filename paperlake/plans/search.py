@@ -40,7 +40,7 @@ def strategy_union(
     reads the corpus twice more, so it is planned only when some query has no keywords.
     """
     if index is None:
-        hits = match.strategy_hits(match.keyword_hits(queries, match.token_index(corpus)))
+        hits = match.strategy_hits(match.paper_hits(queries, corpus))
     else:
         hits = postings.first_hits(queries, index, limits, most["bound"])
     phrases = match.phrase_queries(queries)
@@ -94,22 +94,26 @@ def feed_matches(runs: DataFrame, once: DataFrame) -> DataFrame:
 
 
 def preprint_papers(
-    runs: DataFrame, items: DataFrame, limits: DataFrame, most: dict[str, int]
+    runs: DataFrame, feed: DataFrame, limits: DataFrame, most: dict[str, int]
 ) -> DataFrame:
     """Preprints of each run that has the source switched on.
 
-    ``items`` comes from :func:`feed_window_items`, ``runs`` holds as_of. Both servers share one cap per run; an item
-    that lies in two windows counts once.
+    ``runs`` holds as_of. Both servers share one cap per run; an item that lies in two windows counts once. The feed is written
+    once, with its texts; items are then placed without them, however many reference days and windows they lie in.
     """
     wanted = runs.where(~F.col("no_preprint"))
     caps = limits.select("run_id", F.greatest("budget", F.lit(50)).alias("cap"))
     slots_at_most = max(most["budget"], 50)
     order = ["server_no", "window_no", "feed_pos", "paper_id"]
-    once = materialise(first_wins(items, ["as_of", "paper_id"], order), "feed")
-    capped = prefix_cap(
-        feed_matches(wanted, once).join(caps, "run_id"), ["run_id"], order, F.col("cap"), rank_name="position",
-        most=slots_at_most,
-    )
+    feed = feed.select("paper_id", "title", "abstract", "published", "server_no", "feed_pos")
+    feed = materialise(feed.withColumn("_row", F.monotonically_increasing_id()), "feed")
+    placed = feed_window_items(feed.drop("title", "abstract"), runs.select("as_of")).drop("published")
+    once = materialise(first_wins(placed, ["as_of", "paper_id"], order), "places")
+    place = F.struct(F.col("as_of").cast("string").alias("day"), F.col("paper_id").alias("item"), "server_no", "window_no", "feed_pos")
+    places = once.where(F.col("paper_id").isNotNull()).groupBy("_row").agg(F.collect_list(place).alias("places"))
+    texts = feed.select(F.col("_row"), "title", "abstract").join(sized_side(places), "_row").withColumnRenamed("_row", "paper_id")
+    hits = match.placed_hits(wanted, texts).drop("paper_id").withColumnRenamed("item", "paper_id")
+    capped = prefix_cap(hits.join(caps, "run_id"), ["run_id"], order, F.col("cap"), rank_name="position", most=slots_at_most)
 
     # A run without keywords takes the head of its day's feed: position k of the run meets item k.
     free = match.unfiltered_runs(wanted).select("run_id", "as_of").join(caps, "run_id")
@@ -182,7 +186,7 @@ def search(
     second = None
     if preprints is not None:
         dated = runs.withColumn("as_of", as_of)
-        second = preprint_papers(dated, feed_window_items(preprints, dated.select("as_of")), limits, most)
+        second = preprint_papers(dated, preprints, limits, most)
         titles = titles.unionByName(preprints.select("paper_id", "title"))
     union = materialise(ordered_union(by_query, second), "union")
     return select_papers(unique_titles(union, titles), runs, most)
